@@ -78,8 +78,9 @@ def test_tiles_keep_what_is_connected(n):
     whole = parts(zip(*np.nonzero(close)))
     assert parts(simhash.tile_links(values, values)) == whole
     cut = len(values) // 2
-    halves = [(i, j) for i, j in simhash.tile_links(values[:cut], values[:cut])] + [(i + cut, j + cut) for i, j in simhash.tile_links(values[cut:], values[cut:])]
-    assert parts(halves + simhash.tile_links(values[:cut], values[cut:])) == whole
+    a, b = values[:cut], values[cut:]
+    within = simhash.tile_links(a, a) + [(i + cut, j + cut) for i, j in simhash.tile_links(b, b)]
+    assert parts(within + simhash.tile_links(a, b)) == whole
 
 
 def test_components(spark):
