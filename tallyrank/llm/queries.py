@@ -5,8 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, simhash
-from .common import table
+from . import license_scan, line_dedup, simhash, token_packing
+from .bpe import Encoder
+from .common import scratch, table
+from .token_counts import TokenRollup, count_changes
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole table as one batch of inserts, delivered twice."""
+    rollup = TokenRollup(spark, scratch(spark, "token-rollup"))
+    changes = count_changes(table(spark, sf_dir, "documents"), Encoder(spark))
+    for _ in range(2):
+        rollup.apply("documents", changes)
+    return rollup.totals()
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +29,14 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.keep_summary(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op10_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_packing.pack_documents(table(spark, sf_dir, "documents"), Encoder(spark))
+
+
 _OP4_SQL = """
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -37,5 +56,5 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (WHERE gone))::BIGI
 FROM marked GROUP BY doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op4_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_simhash_near_dedup, op4_line_dedup, op9_license_scan, op10_token_packing)}
 ORACLES = {"op4_line_dedup": _OP4_SQL}
