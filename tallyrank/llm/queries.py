@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, line_dedup, simhash, token_packing
+from . import license_scan, line_dedup, quality, sentencepiece_codec, simhash, token_packing
 from .bpe import Encoder
 from .common import scratch, table
 from .token_counts import TokenRollup, count_changes
@@ -25,10 +25,19 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.keep_summary(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encode_documents(table(spark, sf_dir, "documents"), sentencepiece_codec.Codec(spark))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -56,5 +65,5 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (WHERE gone))::BIGI
 FROM marked GROUP BY doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_simhash_near_dedup, op4_line_dedup, op9_license_scan, op10_token_packing)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_simhash_near_dedup, op3_quality_rules, op4_line_dedup, op8_sentencepiece, op9_license_scan, op10_token_packing)}
 ORACLES = {"op4_line_dedup": _OP4_SQL}
