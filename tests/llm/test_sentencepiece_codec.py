@@ -70,7 +70,7 @@ def test_best_of_all_segmentations(pieces, model):
 def test_matches_the_librarys_viterbi(pieces, viterbi):
     r = random.Random(2)
     syllables = ["th", "er", "tion", "an", "queé", "schaft", "ing", "ció", "n", "ou", "xyz", "ß", "Q"]
-    texts = [" ".join("".join(r.choice(syllables) for _ in range(r.randrange(1, 6))) + r.choice(["", ",", "."]) for _ in range(200)) for _ in range(20)] + ["Hello world", "naïve café 梦 ﬁ ①", "Thntble rewhed; tionen!"]
+    texts = [" ".join("".join(r.choice(syllables) for _ in range(r.randrange(1, 6))) + r.choice(["", ",", "."]) for _ in range(60)) for _ in range(60)] + ["Hello world", "naïve", "café", "梦", "ﬁ", "①", "Thntble rewhed; tionen!"]
     for text in texts:
         assert ids_of(pieces, text) == viterbi.encode(text)
 
