@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, line_dedup, quality, sentencepiece_codec, simhash, token_packing
+from . import decontaminate, license_scan, line_dedup, quality, sentencepiece_codec, simhash, token_packing, url_filter
 from .bpe import Encoder
 from .common import scratch, table
 from .token_counts import TokenRollup, count_changes
@@ -34,6 +34,12 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.keep_summary(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels are the rules' verdicts and, by equal id, the low-quality rows of labels."""
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).cast("int").alias("bad"))
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), labels)
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -93,5 +99,5 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_simhash_near_dedup, op3_quality_rules, op4_line_dedup, op7_benchmark_decontamination, op8_sentencepiece, op9_license_scan, op10_token_packing)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_simhash_near_dedup, op3_quality_rules, op4_line_dedup, op5_url_filters, op7_benchmark_decontamination, op8_sentencepiece, op9_license_scan, op10_token_packing)}
 ORACLES = {"op4_line_dedup": _OP4_SQL, "op7_benchmark_decontamination": _OP7_SQL}
