@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, line_dedup, quality, sentencepiece_codec, simhash, token_packing, url_filter
+from . import decontaminate, license_scan, line_dedup, quality, sentencepiece_codec, simhash, token_packing, toxicity, url_filter
 from .bpe import Encoder
 from .common import scratch, table
 from .token_counts import TokenRollup, count_changes
@@ -40,6 +40,11 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), labels)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_texts(docs, toxicity.trained(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -99,5 +104,17 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_simhash_near_dedup, op3_quality_rules, op4_line_dedup, op5_url_filters, op7_benchmark_decontamination, op8_sentencepiece, op9_license_scan, op10_token_packing)}
+_ALL = (
+    op1_token_counts,
+    op2_simhash_near_dedup,
+    op3_quality_rules,
+    op4_line_dedup,
+    op5_url_filters,
+    op6_toxicity,
+    op7_benchmark_decontamination,
+    op8_sentencepiece,
+    op9_license_scan,
+    op10_token_packing,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {"op4_line_dedup": _OP4_SQL, "op7_benchmark_decontamination": _OP7_SQL}
