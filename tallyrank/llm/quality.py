@@ -185,7 +185,8 @@ def _chunk_estimates(rows: DataFrame) -> DataFrame:
         mean, cov = fast_mcd(part[_NAMES].to_numpy())
         return _row(key[0], mean, cov, float(len(part)))
 
-    fits = dealt.groupBy("pool", "chunk").applyInPandas(fit, _ESTIMATE)
+    # Without this the join's partitions by pool would serve, and a pool's chunks share one task.
+    fits = dealt.repartition("pool", "chunk").groupBy("pool", "chunk").applyInPandas(fit, _ESTIMATE)
     weighed = lambda c, i: (F.sum(F.col(c)[i] * F.col("scale")) / F.sum("scale"))
     return fits.groupBy("pool").agg(F.array(*(weighed("mean", i) for i in range(_D))).alias("mean"), F.array(*(weighed("cov", i) for i in range(_D * _D))).alias("cov"))
 
