@@ -152,9 +152,10 @@ def _pools(rows: DataFrame) -> DataFrame:
     small = F.col("n") < MIN_GROUP
     langs = sizes.where(small).groupBy("lang").agg(F.sum("n").alias("n_lang"))
     rest = langs.where(F.col("n_lang") < MIN_GROUP).agg(F.sum("n_lang").alias("n_rest"))
-    pools = (
+    pools = stored(
         sizes.alias("s").join(langs.alias("l"), F.col("s.lang").eqNullSafe(F.col("l.lang")), "left").join(F.broadcast(rest))
-        .select(F.col("s.lang").alias("p_lang"), F.col("s.source").alias("p_source"), F.when(~small, name("s.lang", "s.source")).when(F.col("n_lang") >= MIN_GROUP, name("s.lang")).when(F.col("n_rest") >= MIN_GROUP, F.lit("rest")).alias("pool"))
+        .select(F.col("s.lang").alias("p_lang"), F.col("s.source").alias("p_source"), F.when(~small, name("s.lang", "s.source")).when(F.col("n_lang") >= MIN_GROUP, name("s.lang")).when(F.col("n_rest") >= MIN_GROUP, F.lit("rest")).alias("pool")),
+        "pools",
     )
     met = rows.join(pools, F.col("lang").eqNullSafe(F.col("p_lang")) & F.col("source").eqNullSafe(F.col("p_source")), "left")
     return met.drop("p_lang", "p_source")
@@ -178,7 +179,8 @@ def _distance() -> Column:
 
 def _chunk_estimates(rows: DataFrame) -> DataFrame:
     """The average of the chunks' estimates per pool, by their rows."""
-    sizes = rows.groupBy("pool").agg(F.ceil(F.count("*") / CHUNK_ROWS).alias("chunks"))
+    # Stored, its size is known before the join is planned: a small table is sent to the rows, a large one met by splittable shuffles.
+    sizes = stored(rows.groupBy("pool").agg(F.ceil(F.count("*") / CHUNK_ROWS).alias("chunks")), "pool-sizes")
     dealt = rows.join(sizes, "pool").select("pool", F.pmod(F.xxhash64("doc_id", *_NAMES), "chunks").alias("chunk"), *_NAMES)
 
     def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
