@@ -24,11 +24,14 @@ ITEM = "P000000007"
 KS = [5, 10, 20]
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, name: str | None = None):
+    """Register a query under its function's name, or another where that is taken by what it calls."""
+
     def register(f: Callable[[Workspace], DataFrame]):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(workspace(spark, sf_dir))
+        key = name or f.__name__
+        QUERIES[key] = lambda spark, sf_dir: f(workspace(spark, sf_dir))
         if sql is not None:
-            ORACLES[f.__name__] = oracle(sql)
+            ORACLES[key] = oracle(sql)
         return f
 
     return register
@@ -150,12 +153,12 @@ def hydrate_ranked(w: Workspace) -> DataFrame:
 # Weights and cells
 
 
-@query("SELECT event_id, CASE event_type WHEN 'view' THEN 1.0 WHEN 'wishlist' THEN 2.0 WHEN 'add_to_cart' THEN 3.0 WHEN 'purchase' THEN 5.0 ELSE 1.0 END::DOUBLE AS weight FROM ev")
+@query("SELECT event_id, CASE event_type WHEN 'view' THEN 1.0 WHEN 'wishlist' THEN 2.0 WHEN 'add_to_cart' THEN 3.0 WHEN 'purchase' THEN 5.0 ELSE 1.0 END::DOUBLE AS weight FROM ev", name="event_weight")
 def event_weights(w: Workspace) -> DataFrame:
     return w.events.select("event_id", event_weight(F.col("event_type"), F.col("weight")).alias("weight"))
 
 
-@query("SELECT event_id, round(power(0.5, greatest(((SELECT max(us) FROM ev) - us) / 86400e6, 0) / 30.0), 6) AS decay FROM ev")
+@query("SELECT event_id, round(power(0.5, greatest(((SELECT max(us) FROM ev) - us) / 86400e6, 0) / 30.0), 6) AS decay FROM ev", name="recency_decay")
 def recency_decays(w: Workspace) -> DataFrame:
     latest = w.events.agg(F.max("timestamp").alias("reference"))
     return w.events.crossJoin(F.broadcast(latest)).select("event_id", F.round(recency_decay(F.col("timestamp"), F.col("reference"), 30.0), 6).alias("decay"))  # one row
@@ -199,12 +202,12 @@ def minmax_per_user(w: Workspace) -> DataFrame:
 # Text and features
 
 
-@query("SELECT doc_id, trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g')) AS cleaned FROM documents")
+@query("SELECT doc_id, trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g')) AS cleaned FROM documents", name="clean_text")
 def cleaned_text(w: Workspace) -> DataFrame:
     return read(w.spark, w.sf_dir, "documents").select("doc_id", clean_text(F.col("text")).alias("cleaned"))
 
 
-@query("SELECT product_id, text FROM itext")
+@query("SELECT product_id, text FROM itext", name="item_text")
 def item_texts(w: Workspace) -> DataFrame:
     return w.products.select("product_id", item_text().alias("text"))
 
@@ -323,7 +326,7 @@ def similar_collab(w: Workspace) -> DataFrame:
     return rounded(knn.similar(w.models.near, w.products, ITEM), "score").drop("user_id")
 
 
-@query("SELECT user_id, product_id, round(value, 6) AS score, (row_number() OVER (PARTITION BY user_id ORDER BY round(value, 9) DESC, product_id))::INT AS rank FROM im JOIN prod USING (product_id) WHERE category <> 'ECONOMY' QUALIFY rank <= 3")
+@query("SELECT user_id, product_id, round(value, 6) AS score, (row_number() OVER (PARTITION BY user_id ORDER BY round(value, 9) DESC, product_id))::INT AS rank FROM im JOIN prod USING (product_id) WHERE category <> 'ECONOMY' QUALIFY rank <= 3", name="rank_topk")
 def rank_best(w: Workspace) -> DataFrame:
     """Cells as scores, one category left out by candidates."""
     some = w.products.where("category != 'ECONOMY'")

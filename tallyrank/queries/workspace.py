@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +11,7 @@ from ..operators import content, features, interactions, knn, popularity
 from ..operators.ranking import rank_topk
 from ..operators.split import TemporalSplit, segments, temporal_split
 from ..plans import tuning
+from ..session import checkpointed
 from ..sources import adapters
 
 _made: dict[tuple[str, str], Workspace] = {}
@@ -26,10 +26,7 @@ def workspace(spark: SparkSession, sf_dir: str) -> Workspace:
 
 
 def forget() -> None:
-    """Drop all workspaces and what they hold."""
-    for w in _made.values():
-        for df in w.kept:
-            df.unpersist()
+    """Drop all workspaces; what they made is made anew."""
     _made.clear()
 
 
@@ -73,12 +70,10 @@ class Models:
 
 class Workspace:
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir, self.kept = spark, sf_dir, []
+        self.spark, self.sf_dir = spark, sf_dir
 
     def keep(self, df: DataFrame) -> DataFrame:
-        """Cached with room on disk: lost blocks are made again from their lineage."""
-        self.kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
-        return self.kept[-1]
+        return checkpointed(df)
 
     @cached_property
     def events(self) -> DataFrame:

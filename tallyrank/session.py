@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(app: str = "tallyrank", **settings: str) -> SparkSession:
@@ -13,14 +16,18 @@ def get_session(app: str = "tallyrank", **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def checkpointed(df):
-    """df written once to the shared folder (spark.checkpoint.dir), its lineage cut there.
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written once, as Parquet, to the shared folder (spark.checkpoint.dir), and read again.
 
-    Where the session names no folder, as in local tests, a temporary one is set.
+    Its lineage ends there, a lost executor takes nothing with it, and later joins know its
+    size when they are planned. Where the session names no folder, as in local tests, a
+    temporary one is set.
     """
-    import tempfile
-
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tallyrank-"))
-    return df.checkpoint()
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = "file://" + tempfile.mkdtemp(prefix="tallyrank-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
