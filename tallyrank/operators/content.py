@@ -7,9 +7,11 @@ cosines too); the max term is the best over everything seen; a small quality pri
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,9 @@ MEAN_WEIGHT = 0.5
 MAX_WEIGHT = 0.5
 QUALITY_WEIGHT = 0.05
 WINDOW = 10
+#: Users of a block, and cosines of a block of items, in tiled scoring.
+TILE_USERS = 256
+TILE_CELLS = 250_000
 AGGREGATES = ("mean", "max", "mean_max", "quality_only")
 
 
@@ -40,10 +45,16 @@ def content_profile(cells: DataFrame, features: DataFrame, window: int = WINDOW)
     return l2_normalize(summed, "user_id")
 
 
-def mean_scores(cells: DataFrame, cosines: DataFrame, window: int = WINDOW) -> DataFrame:
+def _lengths(cells: DataFrame, cosines: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(user_id, length) of the unscaled profiles, from the cosines within each window."""
     top = profile_window(cells, window).select("user_id", F.col("product_id").alias("j"), F.col("value").alias("w"))
     other = top.select("user_id", F.col("j").alias("i"), F.col("w").alias("w2"))
-    length = top.join(other, "user_id").join(cosines, ["i", "j"]).groupBy("user_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w2") * F.col("cos"))).alias("length"))
+    return top.join(other, "user_id").join(cosines, ["i", "j"]).groupBy("user_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w2") * F.col("cos"))).alias("length"))
+
+
+def mean_scores(cells: DataFrame, cosines: DataFrame, window: int = WINDOW) -> DataFrame:
+    top = profile_window(cells, window).select("user_id", F.col("product_id").alias("j"), F.col("value").alias("w"))
+    length = _lengths(cells, cosines, window)
     summed = top.join(cosines, "j").groupBy("user_id", F.col("i").alias("product_id")).agg(F.sum(F.col("w") * F.col("cos")).alias("dot"))
     return summed.join(length.where("length > 0"), "user_id").select("user_id", "product_id", (F.col("dot") / F.col("length")).alias("score"))
 
@@ -74,8 +85,69 @@ def seen_cosines(cells: DataFrame, features: DataFrame) -> DataFrame:
     return item_cosine(features, cells.select("product_id"))
 
 
-def recommend(cells: DataFrame, products: DataFrame, cosines: DataFrame, k: int, users: DataFrame | None = None) -> DataFrame:
-    return rank_topk(scores(cells, products, cosines, users), k, exclude=seen_items(cells))
+def recommend(cells: DataFrame, products: DataFrame, cosines: DataFrame, k: int) -> DataFrame:
+    """Each user's best k unseen items, as ranking the dense scores would give.
+
+    Scores are made tile by tile: a block of users against a block of items, with numpy. Of
+    each tile only the k best of a user leave it, so the dense table is never written. A
+    tile of cosines holds TILE_CELLS numbers or so, a block of users their histories.
+    """
+    n_users = cells.select("user_id").distinct().count()
+    n_ub, n_ib = -(-n_users // TILE_USERS) or 1, -(-cosines.count() // TILE_CELLS) or 1
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    window = profile_window(cells).select("user_id", "product_id", F.col("value").alias("w"))
+    history = cells.select("user_id", "product_id").join(window, ["user_id", "product_id"], "left").join(_lengths(cells, cosines), "user_id", "left")
+    history = history.withColumn("ub", block("user_id", n_ub)).groupBy("ub").agg(*(F.collect_list(F.coalesce(c, F.lit(0.0)) if c in ("w", "length") else F.col(c)).alias(c) for c in ("user_id", "product_id", "w", "length")))
+    tiles = quality_prior(products).select(F.col("product_id").alias("i"), "quality").withColumn("ib", block("i", n_ib)).groupBy("ib").agg(F.collect_list("i").alias("items"), F.collect_list("quality").alias("quality"))
+    known = cosines.withColumn("ib", block("i", n_ib)).groupBy("ib").agg(*(F.collect_list(c).alias(c) for c in ("i", "j", "cos")))
+    pairs = history.withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(n_ib - 1)))).join(tiles, "ib").join(known, "ib", "left")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                yield _tile_best({c: batch.column(c)[r].values for c in batch.schema.names if c not in ("ub", "ib")}, k)
+
+    # One tile a batch and task: tiles are megabytes.
+    best = pairs.repartition(min(n_ub * n_ib, 10_000), "ub", "ib").mapInArrow(run, "user_id string, product_id string, score double")
+    return rank_topk(best, k)
+
+
+def _tile_best(tile: dict[str, pa.Array | None], k: int) -> pa.RecordBatch:
+    """The k best unseen items of every user of a tile."""
+    codes = lambda a: a.dictionary_encode()
+    items = np.array(tile["items"].to_pylist(), object)
+    order = np.argsort(items)
+    items, quality = items[order], np.asarray(tile["quality"])[order]
+    row = {x: n for n, x in enumerate(items.tolist())}
+    seen_codes = codes(tile["product_id"])
+    column = {x: n for n, x in enumerate(seen_codes.dictionary.to_pylist())}
+    cosine = np.zeros((len(items), len(column)))
+    if tile["i"] is not None and len(tile["i"]):
+        i, j = codes(tile["i"]), codes(tile["j"])
+        rows = np.array([row.get(x, -1) for x in i.dictionary.to_pylist()])[np.asarray(i.indices)]
+        columns = np.array([column.get(x, -1) for x in j.dictionary.to_pylist()])[np.asarray(j.indices)]
+        both = (rows >= 0) & (columns >= 0)
+        cosine[rows[both], columns[both]] = np.asarray(tile["cos"])[both]
+    own = np.array([row.get(x, -1) for x in column])
+    users = codes(tile["user_id"])
+    by_user = np.argsort(np.asarray(users.indices), kind="stable")
+    ends = np.cumsum(np.bincount(np.asarray(users.indices), minlength=len(users.dictionary)))
+    place, w, length = np.asarray(seen_codes.indices), np.asarray(tile["w"]), np.asarray(tile["length"])
+    out: tuple[list, list, list] = ([], [], [])
+    for n, user in enumerate(users.dictionary.to_pylist()):
+        mine = by_user[ends[n - 1] if n else 0 : ends[n]]
+        met = cosine[:, place[mine]]
+        score = MAX_WEIGHT * np.maximum(met.max(axis=1), 0) + QUALITY_WEIGHT * quality
+        if length[mine[0]] > 0:
+            score += MEAN_WEIGHT * (met @ w[mine]) / length[mine[0]]
+        hidden = own[place[mine]]
+        score[hidden[hidden >= 0]] = -np.inf
+        top = np.argsort(-np.round(score, 9), kind="stable")[:k]
+        top = top[score[top] > -np.inf]
+        out[0].extend([user] * len(top))
+        out[1].extend(items[top])
+        out[2].extend(score[top])
+    return pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.float64())], ["user_id", "product_id", "score"])
 
 
 def similar(features: DataFrame, product_id: str, k: int = 10, exclude_self: bool = True) -> DataFrame:

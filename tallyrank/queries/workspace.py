@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import content, features, interactions, knn, popularity
-from ..operators.ranking import rank_topk
 from ..operators.split import TemporalSplit, segments, temporal_split
 from ..plans import tuning
 from ..session import checkpointed
@@ -60,7 +59,7 @@ class Models:
         if strategy == "collaborative":
             return knn.recommend(self.cells, self.work.products, self.near, k)
         if strategy == "content":
-            return rank_topk(self.content_scores, k, exclude=interactions.seen_items(self.cells))
+            return content.recommend(self.cells, self.work.products, self.cosines, k)
         raise ValueError(f"no strategy {strategy!r}")
 
     def member(self, strategy: str) -> DataFrame:

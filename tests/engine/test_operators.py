@@ -107,6 +107,18 @@ def test_padding_equals_dense_ranking(spark, world):
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
 
+@pytest.mark.parametrize("users, cosines_a_tile", [(256, 250_000), (7, 900)])
+def test_tiled_content_equals_dense_ranking(spark, world, users, cosines_a_tile, monkeypatch):
+    p, _, cells = world
+    cosines = content.seen_cosines(cells, features.item_features(p)).cache()
+    want = rank_topk(content.scores(cells, p, cosines), 15, exclude=interactions.seen_items(cells))
+    monkeypatch.setattr(content, "TILE_USERS", users)
+    monkeypatch.setattr(content, "TILE_CELLS", cosines_a_tile)
+    got = content.recommend(cells, p, cosines, 15).withColumnRenamed("score", "got")
+    met = want.join(got, ["user_id", "product_id", "rank"])
+    assert want.count() == got.count() == met.count() and met.where("abs(score - got) > 1e-9").count() == 0
+
+
 @pytest.mark.parametrize("strategy", ["popularity", "knn", "content", "hybrid"])
 def test_invariants(spark, world, strategy):
     p, _, cells = world
