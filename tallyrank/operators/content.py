@@ -19,6 +19,7 @@ from .features import item_cosine, l2_normalize, numeric_features
 from .interactions import profile_window, seen_items
 from .ranking import rank_topk
 
+# The terms' weights and the size of the profile window.
 MEAN_WEIGHT = 0.5
 MAX_WEIGHT = 0.5
 QUALITY_WEIGHT = 0.05

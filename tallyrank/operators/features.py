@@ -6,6 +6,10 @@ one-hot, and standardised numbers. All are aggregates of Column expressions.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +17,9 @@ from ..functions.text import char_ngrams, item_text, word_ngrams
 
 WORD_MIN_DF = 2
 CHAR_MIN_DF = 3
+#: Vectors of a block in nearest-vector search.
+TILE_VECTORS = 1024
+# What each block weighs in an item's vector.
 BLOCK_WEIGHTS = {"word": 1.0, "char": 0.4, "taxonomy": 0.6, "numeric": 0.25}
 TAXONOMY = ("category", "subcategory", "brand")
 NUMERIC = ("log_price", "rating", "log_rating_count")
@@ -107,16 +114,40 @@ def item_cosine(features: DataFrame, items: DataFrame | None = None) -> DataFram
 
 
 def embedding_topk(vectors: DataFrame, k: int, queries: DataFrame | None = None) -> DataFrame:
-    """(query_id, vec_id, cosine, rank): each query's k nearest other vectors by cosine.
+    """(query_id, vec_id, cosine, rank): each query's k nearest other vectors by cosine, ties by vec_id.
 
-    Unit vectors; queries (vec_id, embedding; the vectors themselves by default) are dealt in
-    blocks against all vectors, and each block keeps its k best per query before they meet.
+    queries (vec_id, embedding) are the vectors themselves by default. Blocks of queries meet
+    blocks of vectors, one matrix product a tile, and only the k best per query leave a tile.
+    Null embeddings are left out; a vector of zeros has cosine 0 with all.
     """
-    unit = lambda: F.transform("embedding", lambda x: x.cast("double") / F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, y: s + y.cast("double") * y.cast("double"))))
-    all_rows = vectors.select("vec_id", unit().alias("v"))
-    asked = (queries if queries is not None else vectors).select(F.col("vec_id").alias("query_id"), unit().alias("q"))
-    met = asked.join(all_rows, F.col("query_id") != F.col("vec_id"))
-    cosine = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("cosine", 9)), "vec_id")
-    scored = met.select("query_id", "vec_id", cosine.alias("cosine"))
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    def packed(rows: DataFrame, name: str) -> tuple[DataFrame, int]:
+        rows = rows.where("embedding is not null")
+        n = -(-rows.count() // TILE_VECTORS) or 1
+        named = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias(f"{name}_block"), F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
+        return named.groupBy(f"{name}_block").agg(F.collect_list("vec_id").alias(f"{name}_ids"), F.collect_list("embedding").alias(f"{name}_rows")), n
+
+    asked, n_q = packed(queries if queries is not None else vectors, "q")
+    held, n_v = packed(vectors, "v")
+    tiles = asked.withColumn("v_block", F.explode(F.sequence(F.lit(0), F.lit(n_v - 1)))).join(held, "v_block")
+
+    def unit(rows: pa.Array) -> np.ndarray:
+        m = np.asarray(rows.flatten()).reshape(len(rows), -1)
+        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                q_ids, v_ids = (np.asarray(batch.column(c)[r].values) for c in ("q_ids", "v_ids"))
+                order = np.argsort(v_ids, kind="stable")
+                v_ids = v_ids[order]
+                cosine = unit(batch.column("q_rows")[r].values) @ unit(batch.column("v_rows")[r].values)[order].T
+                cosine[q_ids[:, None] == v_ids[None, :]] = -np.inf
+                best = np.argsort(-np.round(cosine, 9), axis=1, kind="stable")[:, :k]
+                value = np.take_along_axis(cosine, best, axis=1).ravel()
+                keep = value > -np.inf
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, best.shape[1])[keep]), pa.array(v_ids[best].ravel()[keep]), pa.array(value[keep])], ["query_id", "vec_id", "cosine"])
+
+    found = tiles.repartition(min(n_q * n_v, 10_000), "q_block", "v_block").mapInArrow(run, "query_id long, vec_id long, cosine double")
+    ranked = Window.partitionBy("query_id").orderBy(F.desc(F.round("cosine", 9)), "vec_id")
+    return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)

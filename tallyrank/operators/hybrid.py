@@ -12,6 +12,7 @@ from . import content, knn, latent
 from .interactions import minmax_per_user, seen_items
 from .ranking import rank_topk
 
+# The rank constant, the members' depth and weights.
 RRF_K = 60
 DEPTH = 100
 WEIGHTS = {"content": 0.4, "collab": 0.5, "popularity": 0.1}

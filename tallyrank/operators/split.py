@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .interactions import positive_events
 
+# The bounds of the segments in training events.
 COLD_MAX = 25
 WARM_MIN = 60
 

@@ -248,3 +248,24 @@ def test_split_leaks_nothing(spark, world):
     assert min(counts.values()) >= 5
     named = {(r.segment, r.user_id) for r in segments(s.train_counts).collect()}
     assert named == {("all", u) for u in counts} | {("cold_start", u) for u, n in counts.items() if n <= 25} | {("warm", u) for u, n in counts.items() if n >= 60}
+
+
+@pytest.mark.parametrize("tile", [1024, 7])
+def test_embedding_search(spark, tile, monkeypatch):
+    monkeypatch.setattr(features, "TILE_VECTORS", tile)
+    r = np.random.default_rng(3)
+    m = r.normal(size=(40, 5)).round(1)
+    m[7] = m[9]
+    m[11] = 0
+    vectors = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)] + [(99, None)], "vec_id long, embedding array<float>")
+    unit = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+    cosine = (unit @ unit.T).round(6)
+    got = {}
+    for x in features.embedding_topk(vectors, 4).collect():
+        got.setdefault(x.query_id, []).append((x.rank, x.vec_id, x.cosine))
+    assert sorted(got) == list(range(40))
+    for q, own in got.items():
+        own.sort()
+        want = sorted((-cosine[q, v], v) for v in range(40) if v != q)[:4]
+        assert [round(c, 5) for _, _, c in own] == pytest.approx([-w for w, _ in want], abs=2e-5) and [n for n, _, _ in own] == [1, 2, 3, 4]
+    assert features.embedding_topk(vectors.limit(0), 3).count() == 0
