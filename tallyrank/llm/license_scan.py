@@ -5,7 +5,10 @@ over all documents. A block that holds at least ceil(t * |T|) of a template's to
 must hold one of its |T| - ceil(t * |T|) + 1 rarest, the prefix; an index from prefix
 tokens to templates proposes pairs, the length filter asks for enough tokens in the block,
 the positional filter for enough left behind the match on both sides, and what is left
-is counted. Templates are a small parameter, so they travel to the texts; no text moves.
+is counted. A text's blocks are all its runs of 64 words, whatever lines they stand in: the
+join first meets the whole text, whose words hold those of every block, and templates that
+pass slide over the blocks. Templates are a small parameter, so they travel to the texts; no
+text moves.
 """
 
 from __future__ import annotations
@@ -41,7 +44,7 @@ TEMPLATES = (
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 )
 THRESHOLD = 0.8
-#: A block is so many words of a line, and begins every half of that; templates must fit in half a block.
+#: A block is so many consecutive words of a text, and begins at every word; templates must fit in a block.
 BLOCK_WORDS = 64
 
 #: A-Z to a-z, every other ASCII character but a-z and 0-9 to a space; what lies beyond ASCII stays.
@@ -53,12 +56,28 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 def blocks_of(text: bytes, size: int = BLOCK_WORDS) -> Iterator[list[bytes]]:
-    """Overlapping blocks of each line; together they cover every run of size / 2 words of a line."""
-    for line in text.split(b"\n"):
-        words = words_of(line)
-        for at in range(0, max(1, len(words) - size // 2), size // 2):
-            if words:
-                yield words[at : at + size]
+    """Every run of so many words of the text; a shorter text is one block. most_held() is the maximum over them."""
+    words = words_of(text)
+    for at in range(max(1, len(words) - size + 1)):
+        if words:
+            yield words[at : at + size]
+
+
+def most_held(words: list[bytes], sought: set[bytes], size: int = BLOCK_WORDS) -> int:
+    """How many of the sought words stand in one run of so many words, at most over all runs."""
+    places = [(i, w) for i, w in enumerate(words) if w in sought]
+    held: dict[bytes, int] = {}
+    best = first = 0
+    for i, w in places:
+        held[w] = held.get(w, 0) + 1
+        while places[first][0] <= i - size:
+            gone = places[first][1]
+            held[gone] -= 1
+            if not held[gone]:
+                del held[gone]
+            first += 1
+        best = max(best, len(held))
+    return best
 
 
 class Templates:
@@ -135,8 +154,8 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, phra
     strings) and score 0. Repeated rows and null ids are each returned.
     """
     longest = max((len(t.split()) for _, t in templates), default=0)
-    if longest > block_words // 2:
-        raise ValueError(f"a template has {longest} words; blocks of {block_words} hold {block_words // 2} whole")
+    if longest > block_words:
+        raise ValueError(f"a template has {longest} words; blocks have {block_words}")
     joined = Templates(templates, token_frequencies(docs, templates), threshold)
     sought = [(p.encode(), label) for p, label in phrases.items()]
 
@@ -152,9 +171,9 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, phra
                         starts += at
                         base.add(label)
                 if text and not prefix.isdisjoint(words):
-                    for block in blocks_of(text, block_words):
-                        for k, share in joined.matches(block).items():
-                            best[joined.labels[k]] = max(share, best.get(joined.labels[k], 0))
+                    for k in joined.matches(words):
+                        if (held := most_held(words, joined.sets[k], block_words)) >= joined.need[k]:
+                            best[joined.labels[k]] = max(held / len(joined.sets[k]), best.get(joined.labels[k], 0))
                 rows.append((doc_id, len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | best.keys())), 1.0 if base else max(best.values(), default=0.0)))
             yield pa.RecordBatch.from_pydict(dict(zip(_FIELDS.names, zip(*rows, strict=True), strict=True)), _FIELDS)
 

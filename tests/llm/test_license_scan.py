@@ -57,3 +57,18 @@ def test_empty_and_misfit(spark):
     assert ls.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     with pytest.raises(ValueError):
         ls.scan(spark.createDataFrame([], "doc_id long, text string"), block_words=8)
+
+
+def test_notices_across_lines_and_blocks(spark):
+    wide = lambda pads: " ".join(w + " pad" * pads for w in MIT.split())
+    # Expected by hand: at two pads a word the notice spans 58 words, at three 64 words hold 15 of its 19, and 16 are needed; the GPL notice lacks one word of the AGPL one.
+    cases = [
+        ("Permission is hereby granted, free of charge, to any\nperson obtaining a copy of this software and associated\ndocumentation files", "mit", 1.0),
+        ("/*\n * This program is free software; you can redistribute it\n * and/or modify it under the terms of the GNU General Public\n * License as published", "agpl-3,gpl", 1.0),
+        ("# Redistribution and use in source and binary forms, with or\r\n# without modification, are permitted provided that the\r\n# following conditions are met:", "bsd", 1.0),
+        ("\n".join(MIT.split()), "mit", 1.0), ("pad " * 17 + wide(2), "mit", 1.0), ("pad " * 17 + wide(3), "", 0.0),
+        ("Permission is hereby granted, free of charge, to any\n" + "pad\n" * 50 + "person obtaining a copy of this software and associated\ndocumentation files", "", 0.0),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in ls.scan(docs).collect()}
+    assert got == {i: (label, score) for i, (_, label, score) in enumerate(cases)}
