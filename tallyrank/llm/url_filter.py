@@ -3,8 +3,8 @@
 DataFrame operations only. Segments that look variable (numbers, hashes, dates) become
 typed wildcards before anything is counted, so a host of any size is as many rows as it
 has path shapes. The tree is then walked down level by level: children of a node that
-are many and rare become one wildcard, and so do branches whose labelled rates don't
-differ significantly from those of their siblings. A template whose smoothed share of bad
+are many, rare and too seldom labelled to compare become one wildcard, and so do branches
+whose labelled rates don't differ significantly from those of their siblings. A template whose smoothed share of bad
 labels reaches the threshold is rejected.
 """
 
@@ -26,7 +26,7 @@ RULES = (
     ("org", "/es/", "block"),
 )
 MAX_DEPTH = 8
-#: A node with more children than this keeps only those that hold a share of its pages.
+#: A node with more children than this keeps, of those with fewer labels than MIN_LABELS, only those that hold a share of its pages.
 MAX_CHILDREN = 20
 MIN_CHILD_SHARE = 0.02
 #: Branches are compared when both sides have so many labels, and merged below this score.
@@ -92,7 +92,8 @@ def _level(rows: DataFrame, d: int) -> DataFrame:
     gap = F.abs(F.col("bad") / F.col("labels") - rest_bad / rest)
     compared = (F.col("labels") >= MIN_LABELS) & (rest >= MIN_LABELS)
     alike = F.when(compared, gap <= SAME_BELOW_Z * spread).otherwise(False)
-    rare = (F.col("branches") > MAX_CHILDREN) & (F.col("n") < MIN_CHILD_SHARE * F.col("all_n"))
+    # Fewer bad labels than MIN_LABELS never reach REJECT_AT on their own; children with more are merged by their rates alone.
+    rare = (F.col("branches") > MAX_CHILDREN) & (F.col("n") < MIN_CHILD_SHARE * F.col("all_n")) & (F.col("labels") < MIN_LABELS)
     typed = F.col("seg").startswith("{") | (F.col("seg") == "**") | (F.col("seg") == "")
     named = met.select("host", "template", "seg", F.when(~typed & (rare | alike), F.lit("*")).otherwise(F.col("seg")).alias("name"))
     moved = at.join(named, ["host", "template", "seg"]).withColumn("template", F.concat("template", F.lit("/"), "name")).select(*rows.columns)

@@ -110,3 +110,15 @@ def test_plan_is_native(spark):
     rows, _ = fixture()
     plan = uf.judge_urls(spark.createDataFrame(rows, "page_id long, url string"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def test_labelled_sections_below_the_share(spark):
+    # 100 sections of one hundredth each, ten of them bad throughout; 60 more with one page and no label.
+    urls = [(100 * s + i, f"http://hot.test/s{chr(97 + s // 10)}{chr(97 + s % 10)}/page") for s in range(100) for i in range(100)]
+    urls += [(20000 + s, f"http://hot.test/r{chr(97 + s // 10)}{chr(97 + s % 10)}/page") for s in range(60)]
+    labels = [(i, int(i < 1000)) for i, _ in urls if i < 10000]
+    got = uf.judge_urls(spark.createDataFrame(urls, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, bad int")).collect()
+    assert {r.page_id for r in got if r.verdict == "block"} == set(range(1000))
+    assert {r.template for r in got if r.page_id >= 20000} == {"/*/page"}
+    few = [x for x in urls if x[0] < 2000]
+    assert {r.page_id for r in uf.judge_urls(spark.createDataFrame(few, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, bad int")).collect() if r.verdict == "block"} == set(range(1000))
