@@ -25,6 +25,7 @@ RULES = (
     ("example.net", "/de/8", "block"),
     ("org", "/es/", "block"),
 )
+#: Below this level the tree goes on only under nodes with labels; without any, the rest of a path is one "**", which changes no verdict.
 MAX_DEPTH = 8
 #: A node with more children than this keeps, of those with fewer labels than MIN_LABELS, only those that hold a share of its pages.
 MAX_CHILDREN = 20
@@ -66,7 +67,7 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
 
 
 def shape_of(path: Column) -> Column:
-    """The path's segments, variable ones as typed wildcards; levels beyond the last are one."""
+    """The path's segments, variable ones as typed wildcards."""
 
     def one(segment: Column) -> Column:
         out = segment
@@ -75,8 +76,8 @@ def shape_of(path: Column) -> Column:
             out = F.when(segment.rlike(whole), F.concat(F.lit(name), F.regexp_extract(segment, whole, 1))).otherwise(out)
         return out
 
-    parts = F.transform(F.slice(F.split(path, "/"), 2, 1 << 20), one)
-    return F.when(F.size(parts) > MAX_DEPTH, F.concat(F.slice(parts, 1, MAX_DEPTH), F.array(F.lit("**")))).otherwise(parts)
+    parts = F.split(path, "/")
+    return F.transform(F.slice(parts, F.lit(2), F.size(parts)), one)
 
 
 def _level(rows: DataFrame, d: int) -> DataFrame:
@@ -100,6 +101,15 @@ def _level(rows: DataFrame, d: int) -> DataFrame:
     return moved.unionByName(rows.where(F.size("segments") <= d))
 
 
+def _ended(deep: DataFrame, d: int) -> DataFrame:
+    """deep with ended: whether the path's template is whole, as its node has no labels or no other path."""
+    nodes = deep.groupBy("host", "template").agg(F.sum("labels").alias("node_labels"), F.count("*").alias("shapes"))
+    rest = F.array_join(F.slice("segments", F.lit(d + 1), F.size("segments")), "/")
+    name = F.when(F.col("node_labels") == 0, F.lit("/**")).when(F.col("shapes") == 1, F.concat(F.lit("/"), rest))
+    named = deep.join(nodes, ["host", "template"]).withColumn("name", name)
+    return named.select(*(c for c in deep.columns if c != "template"), F.concat("template", F.coalesce("name", F.lit(""))).alias("template"), F.col("name").isNotNull().alias("ended"))
+
+
 def template_tree(pages: DataFrame) -> DataFrame:
     """host, segments, template, purity, n_labels of every path shape of (host, segments, bad).
 
@@ -107,8 +117,15 @@ def template_tree(pages: DataFrame) -> DataFrame:
     """
     rows = stored(pages.groupBy("host", "segments").agg(F.count("*").alias("n"), F.count("bad").alias("labels"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("bad")).withColumn("template", F.lit("")), "path-shapes")
     depth = rows.agg(F.max(F.size("segments"))).first()[0] or 0
-    for d in range(depth):
+    for d in range(min(depth, MAX_DEPTH)):
         rows = stored(_level(rows, d), "templates")
+    deep, d = rows.where(F.size("segments") > MAX_DEPTH), MAX_DEPTH
+    rows = rows.where(F.size("segments") <= MAX_DEPTH)
+    while d < depth and not deep.isEmpty():
+        ended = stored(_ended(deep, d), "deep-nodes")
+        level = stored(_level(ended.where("not ended").drop("ended"), d), "templates")
+        rows = rows.unionByName(ended.where("ended").drop("ended")).unionByName(level.where(F.size("segments") <= d + 1))
+        deep, d = level.where(F.size("segments") > d + 1), d + 1
     total = rows.groupBy("host", "template").agg(F.sum("labels").alias("n_labels"), F.sum("bad").alias("n_bad"))
     purity = (F.col("n_bad") + PRIOR_LABELS * PRIOR_BAD) / (F.col("n_labels") + PRIOR_LABELS)
     return rows.select("host", "segments", "template").join(total.select("host", "template", "n_labels", purity.alias("purity")), ["host", "template"])

@@ -122,3 +122,26 @@ def test_labelled_sections_below_the_share(spark):
     assert {r.template for r in got if r.page_id >= 20000} == {"/*/page"}
     few = [x for x in urls if x[0] < 2000]
     assert {r.page_id for r in uf.judge_urls(spark.createDataFrame(few, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, bad int")).collect() if r.verdict == "block"} == set(range(1000))
+
+
+def test_branches_below_the_named_levels(spark):
+    top = "http://deep.test/a/b/c/d/e/f/g/h"
+    tails = {"bad/x": 1, "good/x": 0, "mid/k/l/u": 1, "mid/k/l/v": 0}
+    urls = [(100 * k + i, f"{top}/{t}/p") for k, t in enumerate(tails) for i in range(50)] + [(900, "http://deep.test/z/b/c/d/e/f/g/h/i/j")]
+    labels = [(100 * k + i, bad) for k, bad in enumerate(tails.values()) for i in range(50)]
+    got = uf.judge_urls(spark.createDataFrame(urls, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, bad int")).collect()
+    assert {r.page_id for r in got if r.verdict == "block"} == {100 * k + i for k in (0, 2) for i in range(50)}
+    by = {r.page_id: r.template for r in got}
+    assert by[0].endswith("/h/bad/x/p") and by[900] == "/z/b/c/d/e/f/g/h/**"
+
+
+def test_named_levels_change_no_verdict(spark, monkeypatch):
+    r = random.Random(7)
+    urls = [(i, "http://h.test/" + "/".join(r.choice("abc") for _ in range(r.randrange(1, 6)))) for i in range(1200)]
+    labels = [(i, int(r.random() < (0.95 if "/b/c" in u else 0.1))) for i, u in urls if r.random() < 0.5 and "/a/a/" not in u]
+    monkeypatch.setattr(uf, "MAX_DEPTH", 1 << 20)
+    want = [x if x[7] else (*x[:5], None, *x[6:]) for x in slow(urls, labels)]
+    monkeypatch.setattr(uf, "MAX_DEPTH", 2)
+    got = uf.judge_urls(spark.createDataFrame(urls, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, bad int")).collect()
+    assert sorted(((*x[:5], x.template if x.n_labels else None, round(x.purity, 9), x.n_labels) for x in got), key=str) == sorted(want, key=str)
+    assert {x.verdict for x in got} == {"block", "allow"} and any(x.template.endswith("/**") for x in got)
