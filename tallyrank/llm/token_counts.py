@@ -17,7 +17,7 @@ import uuid
 from collections.abc import Iterable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import Encoder
@@ -26,27 +26,38 @@ from .common import slices
 KEY = ("doc_key", "tokenizer")
 CELL = ("source", "lang", "tokenizer")
 SUMS = ("n_docs", "n_tokens", "n_chars")
-_LEDGER = "doc_key string, tokenizer string, source string, lang string, n_tokens long, n_chars long, live boolean, batch long"
+_LEDGER = "doc_key string, tokenizer string, source string, lang string, n_tokens long, n_chars long, live boolean, batch long, n_docs long"
 _DELTAS = "source string, lang string, tokenizer string, n_docs long, n_tokens long, n_chars long"
 
 
+def _state() -> Column:
+    """What the ledger says of a key; rows written before n_docs was kept stand for one document."""
+    return F.struct("source", "lang", "n_tokens", "n_chars", "live", F.coalesce("n_docs", F.lit(1).cast("long")).alias("n_docs"))
+
+
 def count_changes(docs: DataFrame, encoder: Encoder, op: str = "insert") -> DataFrame:
     """docs as changes: whole texts tokenized.
 
-    doc_key is the doc_id, or a hash of the text where that is null. A null text has no tokens.
+    doc_key is the doc_id, or a hash of source, language and text where that is null; rows
+    without an id that are equal in these are one change whose n_docs, n_tokens and n_chars
+    count them all. Rows of one doc_id are states of one document. A null text has no tokens.
     """
-    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("#"), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)))
-    own = docs.select(key.alias("doc_key"), F.col("source").cast("string"), F.col("lang").cast("string"), F.col("text").cast("string"))
+    cell = F.to_json(F.struct(F.col("source").cast("string").alias("s"), F.col("lang").cast("string").alias("l")), {"ignoreNullFields": "false"})
+    whole = F.concat(cell, F.lit("\n"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("#"), F.sha2(whole, 256)))
+    own = docs.select(key.alias("doc_key"), F.col("doc_id").isNull().alias("no_id"), F.col("source").cast("string"), F.col("lang").cast("string"), F.col("text").cast("string"))
 
     def run(batches: Iterable[pa.RecordBatch]):
         encode = encoder.get().encode_ordinary
         for batch in slices(batches, 1000):
             texts = [x or "" for x in batch.column("text").to_pylist()]
             counts = [pa.array([len(f(x)) for x in texts], pa.int64()) for f in (encode, str)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_key", "source", "lang")), *counts], ["doc_key", "source", "lang", "n_tokens", "n_chars"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_key", "no_id", "source", "lang")), *counts], ["doc_key", "no_id", "source", "lang", "n_tokens", "n_chars"])
 
-    counted = own.mapInArrow(run, "doc_key string, source string, lang string, n_tokens long, n_chars long")
-    return counted.select("*", F.lit(encoder.name).alias("tokenizer"), F.lit(op).alias("op"))
+    counted = own.mapInArrow(run, "doc_key string, no_id boolean, source string, lang string, n_tokens long, n_chars long")
+    equal = counted.groupBy("doc_key", "no_id", "source", "lang", "n_tokens", "n_chars").agg(F.count("*").alias("n"))
+    n = F.when(F.col("no_id"), F.col("n")).otherwise(F.lit(1).cast("long"))
+    return equal.select("doc_key", "source", "lang", (n * F.col("n_tokens")).alias("n_tokens"), (n * F.col("n_chars")).alias("n_chars"), n.alias("n_docs"), F.lit(encoder.name).alias("tokenizer"), F.lit(op).alias("op"))
 
 
 class TokenRollup:
@@ -86,7 +97,7 @@ class TokenRollup:
         """Apply a batch once; False if it is committed already.
 
         changes: doc_key, tokenizer, op (insert, revise or delete), source, lang, n_tokens,
-        n_chars, and seq if a key can occur twice; then its highest seq counts, and among
+        n_chars, n_docs if a key can stand for several rows, and seq if a key can occur twice; then its highest seq counts, and among
         equals the largest row. An insert of a known key revises it, a revision of an
         unknown key inserts it, a delete of an unknown key is nothing. Null counts are 0.
         A null doc_key or an unknown op is refused when the batch is written.
@@ -98,19 +109,20 @@ class TokenRollup:
             return False
         number, attempt = len(done), f"{batch_id}.{uuid.uuid4().hex}"
         seq = F.col("seq") if "seq" in changes.columns else F.lit(0)
+        n_docs = F.coalesce("n_docs", F.lit(1)) if "n_docs" in changes.columns else F.lit(1)
         known = F.coalesce(F.col("op").isin("insert", "revise", "delete"), F.lit(False)) & F.col("doc_key").isNotNull()
         live = F.when(known, F.col("op") != "delete").otherwise(F.raise_error(F.lit("a change needs a doc_key and an op of insert, revise or delete")))
-        state = F.struct(seq.alias("seq"), live.alias("live"), F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"), F.coalesce("n_chars", F.lit(0)).cast("long").alias("n_chars"), "source", "lang")
-        now = changes.select(*KEY, state.alias("s")).groupBy(*KEY).agg(F.max("s").alias("s")).select(*KEY, "s.source", "s.lang", "s.n_tokens", "s.n_chars", "s.live", F.lit(number).cast("long").alias("batch"))
+        state = F.struct(seq.alias("seq"), live.alias("live"), F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"), F.coalesce("n_chars", F.lit(0)).cast("long").alias("n_chars"), "source", "lang", n_docs.cast("long").alias("n_docs"))
+        now = changes.select(*KEY, state.alias("s")).groupBy(*KEY).agg(F.max("s").alias("s")).select(*KEY, "s.source", "s.lang", "s.n_tokens", "s.n_chars", "s.live", F.lit(number).cast("long").alias("batch"), "s.n_docs")
         target = f"{self.path}/batches/{attempt}"
         now.write.parquet(f"{target}/ledger")
         now = self.spark.read.schema(_LEDGER).parquet(f"{target}/ledger")
-        signed = now.where("live").select(*CELL, F.lit(1).alias("sign"), "n_tokens", "n_chars")
+        signed = now.where("live").select(*CELL, F.lit(1).alias("sign"), *SUMS)
         if done:
             older = self._read("ledger", _LEDGER).join(now.select(*KEY), [*KEY], "left_semi")
-            last = older.groupBy(*KEY).agg(F.max_by(F.struct("source", "lang", "n_tokens", "n_chars", "live"), "batch").alias("s")).select("tokenizer", "s.*").where("live")
-            signed = signed.unionByName(last.select(*CELL, F.lit(-1).alias("sign"), "n_tokens", "n_chars"))
-        deltas = signed.groupBy(*CELL).agg(F.sum("sign").cast("long").alias("n_docs"), *(F.sum(F.col("sign") * F.col(c)).alias(c) for c in SUMS[1:]))
+            last = older.groupBy(*KEY).agg(F.max_by(_state(), "batch").alias("s")).select("tokenizer", "s.*").where("live")
+            signed = signed.unionByName(last.select(*CELL, F.lit(-1).alias("sign"), *SUMS))
+        deltas = signed.groupBy(*CELL).agg(*(F.sum(F.col("sign") * F.col(c)).alias(c) for c in SUMS))
         deltas.where("n_docs != 0 or n_tokens != 0 or n_chars != 0").write.parquet(f"{target}/deltas")
         self._commit(batch_id, {"id": batch_id, "batch": number, "attempt": attempt})
         return True
@@ -121,5 +133,5 @@ class TokenRollup:
 
     def recount(self) -> DataFrame:
         """The same totals from the ledger alone, for audits."""
-        last = self._read("ledger", _LEDGER).groupBy(*KEY).agg(F.max_by(F.struct("source", "lang", "n_tokens", "n_chars", "live"), "batch").alias("s")).select("tokenizer", "s.*").where("live")
-        return last.groupBy(*CELL).agg(F.count("*").alias("n_docs"), *(F.sum(c).alias(c) for c in SUMS[1:]))
+        last = self._read("ledger", _LEDGER).groupBy(*KEY).agg(F.max_by(_state(), "batch").alias("s")).select("tokenizer", "s.*").where("live")
+        return last.groupBy(*CELL).agg(*(F.sum(c).alias(c) for c in SUMS))

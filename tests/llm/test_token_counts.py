@@ -45,3 +45,16 @@ def test_counts_of_documents(spark):
     roll.apply("b", count_changes(docs, enc))
     n = lambda t: len(enc.get().encode_ordinary(t or ""))
     assert cells(roll.totals()) == [("s", "en", enc.name, 6, sum(map(n, texts)), sum(len(t or "") for t in texts)), (None, None, enc.name, 1, n("no id"), 5)]
+
+
+def test_rows_without_id_are_all_counted(spark):
+    enc = Encoder(spark)
+    rows = [(None, "same", "en", "a"), (None, "same", "en", "b"), (None, "same", "de", "a"), (None, "same", None, "a"), (None, "same", "en", "a"), (None, "other", "en", "a"), (None, None, "en", "a"), (None, "", "en", "a"), (7, "same", "en", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    roll = TokenRollup(spark, scratch(spark, "rollup"))
+    n = {t: len(enc.get().encode_ordinary(t)) for t in ("same", "other")}
+    want = [("a", "de", enc.name, 1, n["same"], 4), ("a", "en", enc.name, 6, 3 * n["same"] + n["other"], 17), ("a", None, enc.name, 1, n["same"], 4), ("b", "en", enc.name, 1, n["same"], 4)]
+    # The same rows again as another batch are the same documents; deleted, none is left.
+    for batch, op, left in (("x", "insert", want), ("y", "insert", want), ("z", "delete", [])):
+        roll.apply(batch, count_changes(docs, enc, op))
+        assert sorted(cells(roll.totals()), key=str) == sorted(cells(roll.recount()), key=str) == sorted(left, key=str)
