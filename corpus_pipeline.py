@@ -3,7 +3,7 @@
 toxicity       rows that the network scores at or above its threshold go
 line dedup     lines that three or more documents share stay in one document only
 near dedup     one document of each SimHash group stays, that of the smallest doc_id
-decontaminate  documents contaminated by the benchmark go
+decontaminate  rows contaminated by the benchmark go
 sentencepiece  ids of each text that is left
 
 All stages but the last return the columns of documents. The first needs a trained network
@@ -32,7 +32,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+    return decontaminate.clean_rows(docs, table(spark, sf_dir, "benchmark"))
 
 
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -105,13 +105,8 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shi
     return sizes, spans.select("doc_id", "mark", "item_id", "first", "last")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, share: int = MIN_SHARE_OF_WORDS) -> DataFrame:
-    """Per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
-
-    n_hit counts each word once however many windows cover it. Null and empty texts, and
-    tables without items, give zeros and the hash of the empty string. Null item ids are
-    left out. Repeated rows are each returned.
-    """
+def _judged(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, share: int = MIN_SHARE_OF_WORDS) -> DataFrame:
+    """contamination() with each row's mark."""
     sizes, runs = occurrences(docs, benchmark, window, shingle)
     runs = stored(runs, "runs")
     line = Window.partitionBy("doc_id", "mark").orderBy("first", "last")
@@ -123,12 +118,29 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     items = F.coalesce("items", F.array().cast("array<string>"))
     return met.select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"),
+        "doc_id", "mark", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"),
         F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"),
     )
 
 
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, share: int = MIN_SHARE_OF_WORDS) -> DataFrame:
+    """Per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+
+    n_hit counts each word once however many windows cover it. Null and empty texts, and
+    tables without items, give zeros and the hash of the empty string. Null item ids are
+    left out. Repeated rows are each returned.
+    """
+    return _judged(docs, benchmark, window, shingle, share).drop("mark")
+
+
+def clean_rows(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """docs without contaminated rows, each judged by itself whether its doc_id is null or repeated; all columns stay."""
+    gone = _judged(docs, benchmark, **options).where("contaminated").select(F.col("doc_id").alias("__gone"), F.col("mark").alias("__mark")).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__gone")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__mark"))
+    return docs.join(gone, same, "left_anti")
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without contaminated rows; all columns stay. A row without doc_id stays."""
+    """docs without the documents of which a row is contaminated, by doc_id; all columns stay. A row without doc_id stays."""
     gone = contamination(docs, benchmark, **options).where("contaminated").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")

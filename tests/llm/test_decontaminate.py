@@ -66,3 +66,18 @@ def test_empty_tables_and_clean(spark):
     bad = {d for d, t in rows if slow(t, items)[-1] and d is not None}
     left = decontaminate.clean(docs.withColumn("more", F.lit("x")), bench)
     assert left.columns == ["doc_id", "text", "more"] and sorted((r.doc_id for r in left.collect()), key=str) == sorted((d for d, _ in rows if d not in bad), key=str)
+
+
+def test_stage_judges_rows_without_or_with_repeated_ids(spark, monkeypatch):
+    import corpus_pipeline
+
+    rows, items = fixture(1)
+    dirty = next(t for i, t in items if i == 3)
+    rows += [(None, "a clean row without an id"), (77, dirty), (77, "a clean row of a repeated id"), (None, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(corpus_pipeline, "table", lambda *_: bench)
+    left = corpus_pipeline.decontamination_stage(spark, spark.createDataFrame(rows, "doc_id long, text string").withColumn("more", F.lit("x")), "")
+    assert left.columns == ["doc_id", "text", "more"]
+    got = [(r.doc_id, r.text) for r in left.collect()]
+    assert sorted(got, key=str) == sorted((x for x in rows if not slow(x[1], items)[-1]), key=str)
+    assert (None, dirty) not in got and (77, dirty) not in got and (77, "a clean row of a repeated id") in got
