@@ -54,7 +54,12 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(table(spark, sf_dir, "documents"))
+    return license_scan.scan(table(spark, sf_dir, "documents")).drop("blocks")
+
+
+def license_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op9_license_scan that SQL can say: the phrases."""
+    return op9_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
 
 
 def op10_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,6 +109,25 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+_LICENSE_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+phrases AS (
+  SELECT string_split(phrase, ' ') AS p, label
+  FROM (VALUES ('under the mit license', 'mit'), ('apache license version 2', 'apache-2'), ('cc by nc', 'cc-by-nc')) t(phrase, label)),
+places AS (
+  SELECT doc_id, label, i - 1 AS pos
+  FROM (SELECT doc_id, w, p, label, unnest(range(1, len(w) - len(p) + 2)) AS i FROM d, phrases WHERE len(w) >= len(p))
+  WHERE w[i : i + len(p) - 1] = p),
+found AS (
+  SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
+  FROM places GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+       coalesce(base_labels, '') AS base_labels
+FROM d LEFT JOIN found USING (doc_id)
+"""
+
 _ALL = (
     op1_token_counts,
     op2_simhash_near_dedup,
@@ -118,3 +142,6 @@ _ALL = (
 )
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {"op4_line_dedup": _OP4_SQL, "op7_benchmark_decontamination": _OP7_SQL}
+# Beside the ten, the columns of some that SQL can say, each from its operator's own rows.
+for _f, _sql in ((license_phrases, _LICENSE_SQL),):
+    QUERIES[_f.__name__], ORACLES[_f.__name__] = _f, _sql
