@@ -58,8 +58,9 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def license_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The columns of op9_license_scan that SQL can say: the phrases."""
-    return op9_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+    """The columns of op9_license_scan that SQL can say: the phrases. Word numbers are -1 where there is none."""
+    none = F.lit(-1).cast("long")
+    return op9_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", F.coalesce("first_word", none).alias("first_word"), F.coalesce("last_word", none).alias("last_word"), "base_labels")
 
 
 def op10_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,7 +124,7 @@ places AS (
 found AS (
   SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
   FROM places GROUP BY doc_id)
-SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, coalesce(first_word, -1)::BIGINT AS first_word, coalesce(last_word, -1)::BIGINT AS last_word,
        coalesce(base_labels, '') AS base_labels
 FROM d LEFT JOIN found USING (doc_id)
 """

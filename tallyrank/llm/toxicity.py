@@ -8,13 +8,15 @@ highest window. Training is multiple-instance: in every round each row's windows
 scored, and its highest one (for clean rows its highest two and a random one) carries the row's label.
 
 Training takes a sample of labelled rows of at most TRAIN_ROWS toxic and CLEAN_TIMES as many clean ones, chosen by a
-hash of their ids; scoring covers every text whole. One scan, no shuffle.
+hash of their ids, of texts up to TRAIN_CHARS; scoring covers every text whole. One scan, no shuffle.
+How the settings were chosen, without the held-out rows, is in toxicity_trials.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,16 +38,31 @@ BEGIN_BUCKETS = 1 << 15
 TRAIN_ROWS = 700
 CLEAN_TIMES = 3
 MAX_WORDS = 20_000
-#: A word needs so many training rows for one; so often it is hidden in training; its embedding shrinks so much a step.
-MIN_ROWS = 4
-HIDE = 0.15
-SHRINK = 0.02
-ROUNDS = 6
-STEPS = 60
+#: Longer texts aren't trained on, so what the driver gathers is at most TRAIN_ROWS * (1 + CLEAN_TIMES) * TRAIN_CHARS characters.
+TRAIN_CHARS = 40_000
 BATCH = 128
-RATE = 0.01
 THRESHOLD = 0.7
 
+
+@dataclass(frozen=True)
+class Settings:
+    """What cross-validation chooses between.
+
+    A word needs min_rows training rows for an embedding of its own; it is hidden in training
+    with the probability hide; embeddings shrink back to their start by shrink a step.
+    """
+
+    rounds: int = 6
+    steps: int = 60
+    rate: float = 0.02
+    min_rows: int = 4
+    hide: float = 0.15
+    shrink: float = 0.02
+    stride: int = STRIDE
+
+
+DEFAULT = Settings()
+
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
 
 
@@ -80,11 +97,11 @@ def beginnings(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return (np.stack(out, axis=1) % BEGIN_BUCKETS)[valid], valid.sum(axis=1)
 
 
-def windows_of(n: int) -> np.ndarray:
+def windows_of(n: int, stride: int = STRIDE) -> np.ndarray:
     """The first word of each window of n words; the last window ends with the text."""
     if n <= WINDOW:
         return np.zeros(min(n, 1), np.int64)
-    return np.append(np.arange(0, n - WINDOW, STRIDE), n - WINDOW)
+    return np.append(np.arange(0, n - WINDOW, stride), n - WINDOW)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -94,10 +111,10 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class Network:
     """Parameters: word, char (embeddings), W/b/U of both directions (z, r, n side by side), q (attention), w, c (output)."""
 
-    def __init__(self, vocabulary: dict[bytes, int], seed: int = 0):
+    def __init__(self, vocabulary: dict[bytes, int], seed: int = 0, stride: int = STRIDE):
         draw, d = np.random.default_rng(seed), WORD_SIZE + 2 * CHAR_SIZE
         new = lambda *shape, s: draw.normal(0, s, shape).astype(np.float32)
-        self.vocabulary = vocabulary
+        self.vocabulary, self.stride = vocabulary, stride
         self.p = {"word": new(len(vocabulary) + 1, WORD_SIZE, s=0.1), "char": new(CHAR_BUCKETS, CHAR_SIZE, s=0.1), "begin": new(BEGIN_BUCKETS, CHAR_SIZE, s=0.1), "q": new(2 * HIDDEN, s=0.3), "w": new(2 * HIDDEN, s=0.3), "c": np.zeros(1, np.float32)}
         for k in "fb":
             self.p |= {f"W{k}": new(d, 3 * HIDDEN, s=d**-0.5), f"U{k}": new(HIDDEN, 3 * HIDDEN, s=HIDDEN**-0.5), f"b{k}": np.zeros(3 * HIDDEN, np.float32)}
@@ -179,7 +196,7 @@ class Network:
         x = self.inputs(list(seen))
         flat = np.concatenate([np.array(i, np.int64) for i in ids])
         base = np.cumsum([0, *map(len, ids)])
-        firsts = [windows_of(len(i)) for i in ids]
+        firsts = [windows_of(len(i), self.stride) for i in ids]
         counts = np.array([len(f) for f in firsts])
         begin = np.concatenate([f + b for f, b in zip(firsts, base[:-1], strict=True)])
         size = np.repeat(np.minimum([len(i) for i in ids], WINDOW), counts)
@@ -210,7 +227,7 @@ class _Adam:
             self.p[k] -= self.rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.999**self.t)) + 1e-8)
 
 
-def train(texts: list[bytes | None], toxic: list[int], seed: int = 0, rounds: int = ROUNDS, steps: int = STEPS) -> Network:
+def train(texts: list[bytes | None], toxic: list[int], seed: int = 0, settings: Settings = DEFAULT) -> Network:
     """A network for labelled texts. Without both labels its scores are the share of toxic rows."""
     rows = [(words_of(t), y) for t, y in zip(texts, toxic, strict=True)]
     rows = [(w, y) for w, y in rows if w]
@@ -218,8 +235,8 @@ def train(texts: list[bytes | None], toxic: list[int], seed: int = 0, rounds: in
     for w, y in rows:
         totals[y].update(set(w))
     n = [max(1, sum(y == k for _, y in rows)) for k in (0, 1)]
-    known = sorted((w for w in totals[0].keys() | totals[1].keys() if totals[0][w] + totals[1][w] >= MIN_ROWS), key=lambda w: (-totals[0][w] - totals[1][w], w))[:MAX_WORDS]
-    net = Network({w: i for i, w in enumerate(known, 1)}, seed)
+    known = sorted((w for w in totals[0].keys() | totals[1].keys() if totals[0][w] + totals[1][w] >= settings.min_rows), key=lambda w: (-totals[0][w] - totals[1][w], w))[:MAX_WORDS]
+    net = Network({w: i for i, w in enumerate(known, 1)}, seed, settings.stride)
     if {y for _, y in rows} != {0, 1}:
         share = float(np.mean([y for _, y in rows])) if rows else 0.0
         net.p["w"][:] = 0
@@ -233,14 +250,14 @@ def train(texts: list[bytes | None], toxic: list[int], seed: int = 0, rounds: in
         held = np.zeros((2, len(net.p[name])))
         for w, y in rows:
             held[y, np.unique(codes_of(w)[0])] += 1
-        net.p[name][:, 0] = np.where(held.sum(axis=0) >= MIN_ROWS, odds(held[1], held[0]), 0)
+        net.p[name][:, 0] = np.where(held.sum(axis=0) >= settings.min_rows, odds(held[1], held[0]), 0)
     start = {k: net.p[k].copy() for k in ("word", "char", "begin")}
-    draw, adam = np.random.default_rng(seed + 1), _Adam(net.p, RATE)
-    for number in range(rounds):
+    draw, adam = np.random.default_rng(seed + 1), _Adam(net.p, settings.rate)
+    for number in range(settings.rounds):
         logits = net.text_logits([b" ".join(w) for w, _ in rows])[1]
         pool: list[list[tuple[int, int]]] = [[], []]
         for i, ((w, y), own) in enumerate(zip(rows, logits, strict=True)):
-            firsts = windows_of(len(w))
+            firsts = windows_of(len(w), settings.stride)
             if number == 0:
                 odd = net.inputs(w)[:, [0, WORD_SIZE + CHAR_SIZE]].max(axis=1)
                 own = np.array([odd[f : f + WINDOW].max() for f in firsts])
@@ -248,7 +265,7 @@ def train(texts: list[bytes | None], toxic: list[int], seed: int = 0, rounds: in
             pool[y] += [(i, int(firsts[j])) for j in top[: 1 if y else 2]]
             if y == 0:
                 pool[0].append((i, int(draw.choice(firsts))))
-        for _ in range(steps):
+        for _ in range(settings.steps):
             some = [pool[y][j] for y in (0, 1) for j in draw.integers(0, len(pool[y]), BATCH // 2)]
             seen: dict[bytes, int] = {}
             index, mask = np.zeros((len(some), WINDOW), np.int64), np.zeros((len(some), WINDOW), bool)
@@ -259,7 +276,7 @@ def train(texts: list[bytes | None], toxic: list[int], seed: int = 0, rounds: in
             words = list(seen)
             x = net.inputs(words)
             ids = np.array([net.vocabulary.get(w, 0) for w in words])
-            hidden = draw.random(len(words)) < HIDE  # as if unknown, so that characters count too
+            hidden = draw.random(len(words)) < settings.hide  # as if unknown, so that characters count too
             x[hidden, :WORD_SIZE] = net.p["word"][0]
             ids[hidden] = 0
             out, kept = net.forward(x, index, mask, keep=True)
@@ -272,10 +289,10 @@ def train(texts: list[bytes | None], toxic: list[int], seed: int = 0, rounds: in
             np.add.at(g["word"], ids, dx[:, :WORD_SIZE])
             np.add.at(g["char"], codes, np.repeat(dx[:, WORD_SIZE : WORD_SIZE + CHAR_SIZE] / sizes[:, None], sizes, axis=0))
             np.add.at(g["begin"], first, np.repeat(dx[:, WORD_SIZE + CHAR_SIZE :] / many[:, None], many, axis=0))
-            adam.rate = RATE * (1 - 0.9 * number / rounds)
+            adam.rate = settings.rate * (1 - 0.9 * number / settings.rounds)
             adam.step(g)
             for k, x in start.items():
-                net.p[k] -= SHRINK * (net.p[k] - x)
+                net.p[k] -= settings.shrink * (net.p[k] - x)
     return net
 
 
@@ -285,13 +302,17 @@ def held_out() -> Column:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> list[tuple[str, int]]:
-    """At most so many toxic rows and CLEAN_TIMES as many clean ones, by a hash of their ids; equal texts of a class once."""
+    """At most so many toxic rows and CLEAN_TIMES as many clean ones, by a hash of their ids; equal texts of a class once.
+
+    Of rows that repeat an id one text is taken. Texts over TRAIN_CHARS are left out.
+    """
     known = labels.where("doc_id is not null and toxic in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out())
     some = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows if y else CLEAN_TIMES * rows) for y in (0, 1)]
     chosen = F.broadcast(some[0].unionByName(some[1]))  # at most (1 + CLEAN_TIMES) * rows ids
-    found = documents_of(docs).join(chosen, "doc_id").select("doc_id", "text", "toxic").collect()
-    return sorted({(r.text or "", r.toxic) for r in found})
+    short = documents_of(docs).where(F.coalesce(F.char_length("text"), F.lit(0)) <= TRAIN_CHARS)
+    found = short.join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min_by(F.coalesce("text", F.lit("")), F.xxhash64("text")).alias("text")).collect()
+    return sorted({(r.text, r.toxic) for r in found})
 
 
 def trained(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Network:

@@ -105,3 +105,68 @@ def test_sample_is_bounded_and_leaves_out_held_out_rows(spark):
 def test_one_class_or_none():
     assert tx.train([], []).scores([b"a b"])[0] < 0.01
     assert tx.train([b"a", b"b"], [1, 1]).scores([b"a b", None])[1] > 0.9
+
+
+def slow_score(net, text):
+    """The network word by word and gate by gate, without any of its own functions."""
+    words = "".join(chr(b).lower() if b < 128 and chr(b).isalnum() else chr(b) if b > 127 else " " for b in text).split()
+    words = [w.encode("latin-1") for w in words]
+    if not words:
+        return 1 / (1 + np.exp(-float(net.p["c"][0])))
+
+    def vector(w):
+        marked = b" " + w + b" "
+        grams = [(marked[i] * 65599 + marked[i + 1] * 257 + marked[i + 2]) % tx.CHAR_BUCKETS for i in range(len(w))]
+        begins, code = [], 0
+        for i, b in enumerate(w[:10].ljust(10, b"\0")):
+            code = (code * 257 + b + 1) % 2147483647
+            if i + 1 == 4 or 4 < i + 1 <= min(len(w), 10):
+                begins.append(code % tx.BEGIN_BUCKETS)
+        return np.concatenate([net.p["word"][net.vocabulary.get(w, 0)], np.mean([net.p["char"][g] for g in grams], axis=0), np.mean([net.p["begin"][b] for b in begins], axis=0)]).astype(float)
+
+    def direction(xs, k):
+        h, out, n = np.zeros(tx.HIDDEN), [], tx.HIDDEN
+        for x in xs:
+            a, u = x @ net.p[f"W{k}"] + net.p[f"b{k}"], h @ net.p[f"U{k}"]
+            z, r = (1 / (1 + np.exp(-(a[i : i + n] + u[i : i + n]))) for i in (0, n))
+            h = (1 - z) * np.tanh(a[2 * n :] + r * u[2 * n :]) + z * h
+            out.append(h)
+        return out
+
+    best = -np.inf
+    starts = sorted({*range(0, max(1, len(words) - 24), 12), max(0, len(words) - 24)})
+    for at in starts:
+        xs = [vector(w) for w in words[at : at + 24]]
+        s = np.hstack([direction(xs, "f"), direction(xs[::-1], "b")[::-1]])
+        e = np.exp(s @ net.p["q"])
+        best = max(best, float((e / e.sum()) @ s @ net.p["w"] + net.p["c"][0]))
+    return 1 / (1 + np.exp(-best))
+
+
+def test_scores_match_a_plain_forward_pass():
+    rows = corpus(120)
+    net = tx.train([t.encode() for t, _ in rows], [y for _, y in rows], settings=tx.Settings(rounds=1, steps=10))
+    texts = [t.encode() for t, _ in rows[:25]] + [b"", b"...", b"one", "été ÉTÉ x".encode(), b"IDIOT, idiot " * 40]
+    assert np.allclose(net.scores(texts), [slow_score(net, t) for t in texts], atol=1e-5)
+
+
+def test_trials_see_no_held_out_row_and_each_fold_once(spark):
+    from tallyrank.llm.toxicity_trials import cross_validate, summary
+
+    rows = [(i, t, y) for i, (t, y) in enumerate(corpus(240))]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    sample = tx.training_sample(docs, labels)
+    held = {t for i, t, _ in rows if zlib.crc32(str(i).encode()) % 3 == 1}
+    assert not held & {t for t, _ in sample}
+    short = tx.Settings(rounds=2, steps=20)
+    found = cross_validate(spark, sample, {"a": short, "b": tx.Settings(rounds=1, steps=5)}, folds=2, seeds=(0,))
+    assert sorted((r.trial, r.seed, r.fold) for r in found.collect()) == [(t, 0, f) for t in "ab" for f in (0, 1)]
+    assert {r.trial: r.n for r in summary(found).collect()} == {"a": 2, "b": 2}
+
+
+def test_what_is_gathered_is_bounded(spark):
+    docs = spark.createDataFrame([(0, "a " * 30_000), (7, "short"), (7, "other"), (7, "short"), (9, None), (2, "held out")], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (7, 1), (9, 0), (2, 1)], "doc_id long, toxic int")
+    sample = tx.training_sample(docs, labels)
+    assert len(sample) == 2 and sample[0] == ("", 0) and sample[1] in (("short", 1), ("other", 1))
