@@ -6,7 +6,11 @@ rows: chunks of bounded size run the full search from random starts, their estim
 averaged into a start for the whole group, and concentration steps over all rows
 refine it. A step is one aggregation: rows are binned by Mahalanobis distance, each bin
 adds up count, sums and products, and the bins that hold the nearest share of a group give
-the next estimate. No group is gathered in one task, whatever its size.
+the next estimate. Steps go on until no group's determinant falls any more. No group is
+gathered in one task, whatever its size; equal rows are counted before they are dealt to chunks.
+
+Rows of a group too small for an estimate of its own are judged by that of their whole language,
+large groups included, or if that is small too by that of the whole corpus: no row stays unjudged.
 """
 
 from __future__ import annotations
@@ -28,9 +32,11 @@ SYMBOLS = "#*$%&|<>"
 #: The share of a group's rows that an estimate is made of.
 SUPPORT = 0.75
 CHUNK_ROWS = 2000
-#: Smaller groups are judged together, per language; what is still small together; then not at all.
+#: Smaller groups are judged by their language's estimate, smaller languages by the corpus's.
 MIN_GROUP = 100
-STEPS = 3
+#: Steps end when the logarithm of no group's determinant falls by more than this, or after so many.
+SETTLED = 0.01
+MAX_STEPS = 30
 STARTS = 20
 #: A row is rejected beyond this quantile of the distance that a normal population would have.
 QUANTILE = 1 - 1e-9
@@ -109,7 +115,11 @@ def chi2_quantile(p: float, d: int) -> float:
 
 
 def _floored(cov: np.ndarray, floor: np.ndarray) -> np.ndarray:
-    return cov + np.diag(np.maximum(floor - np.diag(cov), 0) + 1e-3 * floor)
+    """cov with at least the floor's variance in every direction, not along the axes alone: else a
+    far row that correlates the features would make the determinant small."""
+    unit = np.sqrt(np.outer(floor, floor))
+    size, way = np.linalg.eigh(cov / unit)
+    return (way * np.maximum(size, 1.0)) @ way.T * unit
 
 
 def concentrate(x: np.ndarray, mean: np.ndarray, cov: np.ndarray, h: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,26 +156,24 @@ def fast_mcd(x: np.ndarray, support: float = SUPPORT, starts: int = STARTS, floo
 
 
 def _pools(rows: DataFrame) -> DataFrame:
-    """rows with pool: language and source, or what a small group is judged with; null: not judged."""
+    """(p_lang, p_source, pool, feeds): what a group is judged by, and every pool whose estimate its rows are part of."""
     name = lambda *c: F.to_json(F.struct(*c), {"ignoreNullFields": "false"})
-    sizes = rows.groupBy("lang", "source").agg(F.count("*").alias("n"))
+    sizes = stored(rows.groupBy("lang", "source").agg(F.count("*").alias("n")), "group-sizes")
     small = F.col("n") < MIN_GROUP
-    langs = sizes.where(small).groupBy("lang").agg(F.sum("n").alias("n_lang"))
-    rest = langs.where(F.col("n_lang") < MIN_GROUP).agg(F.sum("n_lang").alias("n_rest"))
-    pools = stored(
-        sizes.alias("s").join(langs.alias("l"), F.col("s.lang").eqNullSafe(F.col("l.lang")), "left").join(F.broadcast(rest))
-        .select(F.col("s.lang").alias("p_lang"), F.col("s.source").alias("p_source"), F.when(~small, name("s.lang", "s.source")).when(F.col("n_lang") >= MIN_GROUP, name("s.lang")).when(F.col("n_rest") >= MIN_GROUP, F.lit("rest")).alias("pool")),
-        "pools",
-    )
-    met = rows.join(pools, F.col("lang").eqNullSafe(F.col("p_lang")) & F.col("source").eqNullSafe(F.col("p_source")), "left")
-    return met.drop("p_lang", "p_source")
+    langs = stored(sizes.groupBy(F.col("lang").alias("l")).agg(F.sum("n").alias("n_lang"), F.max(small).alias("some_small")), "language-sizes")
+    whole = not langs.where((F.col("n_lang") < MIN_GROUP) & F.col("some_small")).isEmpty()
+    by_lang = F.col("some_small") & (F.col("n_lang") >= MIN_GROUP)
+    met = sizes.join(langs, F.col("lang").eqNullSafe(F.col("l")))
+    pool = F.when(~small, name("lang", "source")).when(by_lang, name("lang")).otherwise(F.lit("whole"))
+    feeds = F.array_compact(F.array(F.when(~small, name("lang", "source")), F.when(by_lang, name("lang")), F.lit("whole" if whole else None)))
+    return stored(met.select(F.col("lang").alias("p_lang"), F.col("source").alias("p_source"), pool.alias("pool"), feeds.alias("feeds")), "pools")
 
 
-_ESTIMATE = "pool string, mean array<double>, cov array<double>, prec array<double>, scale double"
+_ESTIMATE = "pool string, mean array<double>, cov array<double>, prec array<double>, scale double, det double"
 
 
 def _row(pool: str, mean: np.ndarray, cov: np.ndarray, scale: float = 1.0) -> pd.DataFrame:
-    return pd.DataFrame({"pool": [pool], "mean": [mean.tolist()], "cov": [cov.ravel().tolist()], "prec": [np.linalg.inv(cov).ravel().tolist()], "scale": [scale]})
+    return pd.DataFrame({"pool": [pool], "mean": [mean.tolist()], "cov": [cov.ravel().tolist()], "prec": [np.linalg.inv(cov).ravel().tolist()], "scale": [scale], "det": [float(np.linalg.slogdet(cov)[1])]})
 
 
 def _distance() -> Column:
@@ -177,15 +185,27 @@ def _distance() -> Column:
     return F.greatest(total, F.lit(0.0))
 
 
-def _chunk_estimates(rows: DataFrame) -> DataFrame:
-    """The average of the chunks' estimates per pool, by their rows."""
+def _dealt(rows: DataFrame) -> DataFrame:
+    """(pool, chunk, w, features): rows dealt to chunks of CHUNK_ROWS or so, w equal rows as one.
+
+    Equal rows are spread evenly over as many chunks as there are, so copies without end are no hot chunk.
+    """
     # Stored, its size is known before the join is planned: a small table is sent to the rows, a large one met by splittable shuffles.
     sizes = stored(rows.groupBy("pool").agg(F.ceil(F.count("*") / CHUNK_ROWS).alias("chunks")), "pool-sizes")
-    dealt = rows.join(sizes, "pool").select("pool", F.pmod(F.xxhash64("doc_id", *_NAMES), "chunks").alias("chunk"), *_NAMES)
+    equal = rows.groupBy("pool", "doc_id", *_NAMES).agg(F.count("*").alias("n"))
+    met = equal.join(sizes, "pool").withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.least("n", "chunks") - 1)))
+    share = F.floor(F.col("n") / F.least("n", "chunks")) + (F.col("at") < F.col("n") % F.least("n", "chunks")).cast("long")
+    return met.select("pool", F.pmod(F.xxhash64("doc_id", *_NAMES) + F.col("at"), "chunks").alias("chunk"), share.alias("w"), *_NAMES)
+
+
+def _chunk_estimates(rows: DataFrame, floor: np.ndarray, support: float) -> DataFrame:
+    """The average of the chunks' estimates per pool, by their rows."""
+    dealt = _dealt(rows)
 
     def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        mean, cov = fast_mcd(part[_NAMES].to_numpy())
-        return _row(key[0], mean, cov, float(len(part)))
+        x = np.repeat(part[_NAMES].to_numpy(), part["w"].to_numpy(), axis=0)
+        mean, cov = fast_mcd(x, support, floor=floor)
+        return _row(key[0], mean, cov, float(len(x)))
 
     # Without this the join's partitions by pool would serve, and a pool's chunks share one task.
     fits = dealt.repartition("pool", "chunk").groupBy("pool", "chunk").applyInPandas(fit, _ESTIMATE)
@@ -202,7 +222,7 @@ def _with_precision(estimates: DataFrame) -> DataFrame:
     return estimates.mapInPandas(run, _ESTIMATE)
 
 
-def _step(rows: DataFrame, estimates: DataFrame) -> DataFrame:
+def _step(rows: DataFrame, estimates: DataFrame, floor: np.ndarray = _FLOOR, support: float = SUPPORT) -> DataFrame:
     """One concentration step of every pool over all its rows.
 
     The nearest bins that hold the support are taken whole, at most 2 ** (1 / 8) wide in
@@ -215,7 +235,7 @@ def _step(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("bin")
         total = part["n"].cumsum().to_numpy()
-        last = int(np.searchsorted(total, SUPPORT * total[-1]))
+        last = int(np.searchsorted(total, support * total[-1]))
         near, n = part.iloc[: last + 1], total[last]
         mean = near[[f"s{i}" for i in range(_D)]].sum().to_numpy() / n
         cov = np.empty((_D, _D))
@@ -223,29 +243,47 @@ def _step(rows: DataFrame, estimates: DataFrame) -> DataFrame:
             cov[i, j] = cov[j, i] = near[f"p{i}_{j}"].sum() / n - mean[i] * mean[j]
         middle = int(np.searchsorted(total, 0.5 * total[-1]))
         scale = 2.0 ** ((part["bin"].iloc[middle] + 1) / BINS_PER_OCTAVE) / chi2_quantile(0.5, _D)
-        return _row(key[0], mean, _floored(cov, _FLOOR), max(1.0, scale))
+        return _row(key[0], mean, _floored(cov, floor), max(1.0, scale))
 
     return sums.groupBy("pool").applyInPandas(fit, _ESTIMATE)
 
 
-def judge(docs: DataFrame, steps: int = STEPS, quantile: float = QUANTILE) -> DataFrame:
-    """Per row of docs: doc_id, the counts, base_failed, distance (null: not judged), kept.
+def _settled(rows: DataFrame, start: DataFrame, floor: np.ndarray, support: float) -> DataFrame:
+    """Concentration steps until no pool's determinant falls; a pool keeps its estimate of least determinant."""
+    now = start
+    for _ in range(MAX_STEPS):
+        after = _step(rows, now, floor, support)
+        old = now.select("pool", F.struct("det", "mean", "cov", "prec", "scale").alias("old"))
+        met = after.join(old, "pool").withColumn("fell", F.col("old.det") - F.col("det"))
+        better = lambda c: F.when(F.col("fell") > 0, F.col(c)).otherwise(F.col(f"old.{c}")).alias(c)
+        met = stored(met.select("pool", *(better(c) for c in ("mean", "cov", "prec", "scale", "det")), "fell"), "estimates")
+        now = met.drop("fell")
+        if (met.agg(F.max("fell")).first()[0] or 0.0) <= SETTLED:
+            break
+    return now
+
+
+def judge(docs: DataFrame, quantile: float = QUANTILE, floors: float = 1.0, support: float = SUPPORT) -> DataFrame:
+    """Per row of docs: doc_id, the counts, base_failed, distance (null where base_failed), kept.
 
-    A null or empty text has no words and fails the base rules. A row whose group is too
-    small even when pooled has no distance and is kept if it passed. Null languages and
-    sources are groups of their own. Repeated rows count as often as they occur.
+    A null or empty text has no words and fails the base rules. Null languages and
+    sources are groups of their own. Repeated rows count as often as they occur. floors
+    multiplies the least deviations of FEATURES, support is the share of rows an estimate is made of.
     """
+    floor = _FLOOR * floors**2
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     counted = stored(text_statistics(docs).select("*", failed.alias("base_failed"), *_features()), "text-statistics")
-    pooled = stored(_pools(counted.where("not base_failed")), "pooled-statistics")
-    rows = pooled.where("pool is not null").select("pool", "doc_id", *_NAMES)
-    now = stored(_with_precision(_chunk_estimates(rows)), "estimates")
-    for _ in range(steps):
-        now = stored(_step(rows, now), "estimates")
+    passed = counted.where("not base_failed")
+    pools = _pools(passed)
+    same = F.col("lang").eqNullSafe(F.col("p_lang")) & F.col("source").eqNullSafe(F.col("p_source"))
+    pooled = stored(passed.join(pools, same).drop("p_lang", "p_source"), "pooled-statistics")
+    rows = pooled.select(F.explode("feeds").alias("pool"), "doc_id", *_NAMES)
+    start = stored(_with_precision(_chunk_estimates(rows, floor, support)), "estimates")
+    now = _settled(rows, start, floor, support)
     # The median of the last estimate's own distances scales it.
-    scales = _step(rows, now).select("pool", F.col("scale").alias("by"))
+    scales = _step(rows, now, floor, support).select("pool", F.col("scale").alias("by"))
     final = stored(now.join(scales, "pool"), "estimates")
     limit = chi2_quantile(quantile, _D)
-    passed = pooled.join(final, "pool", "left").withColumn("distance", F.sqrt(_distance() / F.col("by")))
-    passed = passed.select("doc_id", *COUNTS, "base_failed", "distance", F.coalesce(F.col("distance") <= limit**0.5, F.lit(True)).alias("kept"))
-    return passed.unionByName(counted.where("base_failed").select("doc_id", *COUNTS, "base_failed", F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept")))
+    judged = pooled.join(final, "pool").withColumn("distance", F.sqrt(_distance() / F.col("by")))
+    judged = judged.select("doc_id", *COUNTS, "base_failed", "distance", (F.col("distance") <= limit**0.5).alias("kept"))
+    return judged.unionByName(counted.where("base_failed").select("doc_id", *COUNTS, "base_failed", F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept")))

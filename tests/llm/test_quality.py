@@ -48,7 +48,8 @@ def test_judge(spark):
         assert (x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words) == (n, chars, symbols, dup, rep)
         assert x.base_failed == (n < 50 or 100 * rep > 50 * n) and not (x.base_failed and x.kept)
     assert not any(by[d].kept for d in bad)
-    assert all(by[d].kept for d in range(450)) and by[3003].kept and by[3003].distance is None and by[None].kept
+    assert all(by[d].kept for d in range(450)) and by[3003].kept and by[None].kept
+    assert all((x.distance is None) == x.base_failed for x in got)
 
 
 def test_mcd_resists_and_agrees_with_its_steps():
@@ -74,6 +75,35 @@ def test_one_step_matches_numpy(spark):
     assert np.allclose(got["mean"], x[bins <= cut].mean(axis=0))
 
 
+def test_small_groups_are_judged_by_their_language_or_by_all(spark):
+    r = np.random.default_rng(6)
+    rows = [(i, prose(r, int(r.integers(60, 200))), "en", "large") for i in range(300)]
+    small = [(1000, prose(r, 100), "en", "tiny"), (1001, prose(r, 100).upper(), "en", "tiny"), (1002, prose(r, 100), "xx", None), (1003, " $ ".join(prose(r, 100).split()), "xx", None), (1004, prose(r, 90), None, "s")]
+    docs = spark.createDataFrame(rows + small, "doc_id long, text string, lang string, source string")
+    kept = {x.doc_id: x.kept for x in quality.judge(docs).collect()}
+    assert {d: kept[d] for d, *_ in small} == {1000: True, 1001: False, 1002: True, 1003: False, 1004: True} and all(kept[i] for i in range(300))
+    few = spark.createDataFrame(rows[:8] + [(9, " ".join(["###"] * 4 + prose(r, 100).upper().split()), "en", "large")], "doc_id long, text string, lang string, source string")
+    assert {x.doc_id: x.kept for x in quality.judge(few).collect()} == {i: i != 9 for i in [*range(8), 9]}
+
+
+def test_copies_are_dealt_evenly(spark, monkeypatch):
+    monkeypatch.setattr(quality, "CHUNK_ROWS", 10)
+    names = list(quality.FEATURES)
+    rows = spark.range(95).select(F.lit("p").alias("pool"), F.lit(None).cast("long").alias("doc_id"), *(F.lit(1.0).alias(c) for c in names)).unionByName(spark.range(25).select(F.lit("p").alias("pool"), F.col("id").alias("doc_id"), *(F.rand(3).alias(c) for c in names)))
+    got = quality._dealt(rows).groupBy("chunk").agg(F.sum("w").alias("n"), F.max("w").alias("most")).collect()
+    assert sum(x.n for x in got) == 120 and len(got) == 12 and max(x.most for x in got) == 8
+
+
+def test_steps_settle(spark):
+    r = np.random.default_rng(4)
+    x = np.vstack([r.normal(0, 1, (900, 6)), r.normal(9, 1, (100, 6))])
+    rows = spark.createDataFrame([("p", i, *map(float, v)) for i, v in enumerate(x)], "pool string, doc_id long, " + ", ".join(f"{c} double" for c in quality.FEATURES))
+    far = spark.createDataFrame(quality._row("p", np.full(6, 3.0), np.eye(6) * 20), quality._ESTIMATE)
+    now = quality._settled(rows, far, quality._FLOOR, 0.75).first()
+    again = quality._step(rows, spark.createDataFrame([now], quality._ESTIMATE)).first()
+    assert now.det - again.det <= quality.SETTLED and np.abs(now["mean"]).max() < 0.3
+
+
 def test_chi2():
     assert abs(quality.chi2_quantile(0.5, 6) - 5.348) < 0.02 and abs(quality.chi2_quantile(0.99, 6) - 16.812) < 0.1
 
