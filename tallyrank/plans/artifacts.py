@@ -10,6 +10,8 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..files import Folder
+
 
 def data_fingerprint(products: DataFrame, events: DataFrame) -> DataFrame:
     """One row, fingerprint: 12 hex digits of the counts, the latest time and the products' columns."""
@@ -24,33 +26,20 @@ class ArtifactStore:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._files = Folder(spark, self.path)
 
     def _write(self, name: str, text: str) -> None:
-        hidden, final = self._path(f"{self.path}/_{uuid.uuid4().hex}"), self._path(f"{self.path}/{name}")
-        out = self._fs.create(hidden, True)
-        out.write(bytearray(text.encode()))
-        out.close()
-        if not self._fs.rename(hidden, final):  # where a rename doesn't replace
-            self._fs.delete(final, False)
-            self._fs.rename(hidden, final)
+        self._files.write(name, text.encode())
 
     def _text(self, name: str) -> str | None:
-        at = self._path(f"{self.path}/{name}")
-        if not self._fs.exists(at):
-            return None
-        stream = self._fs.open(at)
-        text = bytes(stream.readAllBytes()).decode(errors="replace")
-        stream.close()
-        return text
+        found = self._files.read(name)
+        return None if found is None else found.decode(errors="replace")
 
     def save(self, version: str, tables: Mapping[str, DataFrame], meta: dict) -> None:
         folder = f"v={version}-{uuid.uuid4().hex[:8]}"
         for name, df in tables.items():
             df.write.parquet(f"{self.path}/{folder}/{name}")
-        self._fs.mkdirs(self._path(f"{self.path}/{folder}"))
+        self._files.make(folder)
         full = {"version": version, "folder": folder, "tables": sorted(tables), "trained_at": datetime.now(UTC).isoformat(), **meta}
         self._write(f"{folder}/meta.json", json.dumps(full, indent=2, default=str))
         self._write("CURRENT", folder)

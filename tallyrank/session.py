@@ -1,12 +1,18 @@
-"""A session with the settings that results depend on; the cluster's own settings stay."""
+"""A session with the settings that results depend on, and the shared folder that its tables go to."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .files import Folder
+
+_scopes: list[str] = []
+
 
 def get_session(app: str = "tallyrank", **settings: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
@@ -16,18 +22,54 @@ def get_session(app: str = "tallyrank", **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written once, as Parquet, to the shared folder (spark.checkpoint.dir), and read again.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see: spark.checkpoint.dir.
+
+    Where the session sets none, a local master gets a temporary folder and a cluster a RuntimeError:
+    a folder of one machine would lose what is written on the others.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="tallyrank-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path of this application, inside the innermost open scope."""
+    return "/".join([shared_dir(spark), spark.sparkContext.applicationId, *_scopes, f"{name}-{uuid.uuid4().hex}"])
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """What is stored inside is removed at the end; results have to be stored outside."""
+    name = f"scope-{uuid.uuid4().hex}"
+    _scopes.append(name)
+    where = "/".join(_scopes)
+    try:
+        yield
+    finally:
+        _scopes.pop()
+        Folder(spark, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}").remove(where)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all that this application has stored; DataFrames that read it are void afterwards."""
+    Folder(spark, shared_dir(spark)).remove(spark.sparkContext.applicationId)
+
+
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """df written once, as Parquet, to the shared folder, and read again.
 
     Its lineage ends there, a lost executor takes nothing with it, and later joins know its
-    size when they are planned. Where the session names no folder, as in local tests, a
-    temporary one is set.
+    size when they are planned.
     """
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="tallyrank-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+checkpointed = stored

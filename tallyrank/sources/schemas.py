@@ -28,7 +28,14 @@ REQUIRED_EVENT_COLUMNS = ("event_id", "user_id", "product_id", "event_type", "ti
 
 
 def conform(df: DataFrame, schema: T.StructType, defaults: bool = True) -> DataFrame:
-    """df in the schema's columns: missing ones null, unparsable values null, then the defaults."""
+    """df in the schema's columns: missing ones null, unparsable values null, then the defaults.
+
+    Documents of a document store carry their key as _id: it stands in where the schema's own key (its first column) is missing or null.
+    """
+    key = schema.fields[0].name
+    if "_id" in df.columns:
+        own = F.col("_id").cast("string")
+        df = df.withColumn(key, F.coalesce(F.col(key).cast("string"), own) if key in df.columns else own)
     out = []
     for field in schema.fields:
         if field.name not in df.columns:

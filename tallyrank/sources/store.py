@@ -14,9 +14,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..files import Folder
 from .schemas import EVENT, PRODUCT, REQUIRED_EVENT_COLUMNS, USER, conform
 
 SCHEMAS = {"products": PRODUCT, "users": USER, "events": EVENT}
+#: Files a day of events at most, by user.
+EVENT_FILES = 16
 KEYS = {"products": "product_id", "users": "user_id", "events": "event_id"}
 
 
@@ -56,45 +59,44 @@ def table_counts(products: DataFrame, users: DataFrame, events: DataFrame) -> Da
 
 @dataclass
 class Store:
+    """Tables under a path.
+
+    Events lie in one folder per day of their timestamp and are sorted by user and time within files, so that
+    since reads the days it needs and user_id skips row groups. Appends add files; compact()
+    rewrites them as few large ones and moves the pointer.
+    """
+
     spark: SparkSession
     path: str
 
-    def _fs(self, path: str):
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at, jvm.org.apache.hadoop.fs.Path
-
-    def _pointer(self, name: str) -> str:
-        return f"{self.path}/{name}/CURRENT"
+    @property
+    def _files(self) -> Folder:
+        return Folder(self.spark, self.path)
 
     def _folder(self, name: str) -> str | None:
-        fs, at, _ = self._fs(self._pointer(name))
-        if not fs.exists(at):
-            return None
-        stream = fs.open(at)
-        version = bytes(stream.readAllBytes()).decode()
-        stream.close()
-        return f"{self.path}/{name}/{version}"
-
-    def _point(self, name: str, version: str) -> None:
-        fs, at, path = self._fs(self._pointer(name))
-        hidden = path(f"{self.path}/{name}/_{uuid.uuid4().hex}")
-        out = fs.create(hidden, True)
-        out.write(bytearray(version.encode()))
-        out.close()
-        if not fs.rename(hidden, at):  # where a rename doesn't replace
-            fs.delete(at, False)
-            fs.rename(hidden, at)
+        version = self._files.read(f"{name}/CURRENT")
+        return f"{self.path}/{name}/{version.decode()}" if version else None
 
     def _read(self, name: str) -> DataFrame:
         folder = self._folder(name)
         schema: T.StructType = SCHEMAS[name]
-        return self.spark.read.schema(schema).parquet(folder) if folder else self.spark.createDataFrame([], schema)
+        if folder is None:
+            return self.spark.createDataFrame([], schema)
+        if name == "events":
+            return self.spark.read.schema(T.StructType([*schema.fields, T.StructField("day", T.DateType())])).parquet(folder)
+        return self.spark.read.schema(schema).parquet(folder)
+
+    @staticmethod
+    def _laid(name: str, df: DataFrame):
+        if name != "events":
+            return df.write
+        dated = df.select(*EVENT.names, F.to_date("timestamp").alias("day"))
+        return dated.repartition("day", F.pmod(F.xxhash64("user_id"), F.lit(EVENT_FILES))).sortWithinPartitions("day", "user_id", "timestamp").write.partitionBy("day")
 
     def _replace(self, name: str, df: DataFrame) -> None:
         version = f"v-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.path}/{name}/{version}")
-        self._point(name, version)
+        self._laid(name, df).parquet(f"{self.path}/{name}/{version}")
+        self._files.write(f"{name}/CURRENT", version.encode())
 
     def upsert_products(self, products: DataFrame) -> None:
         self._replace("products", latest(self._read("products"), conform(products, PRODUCT), "product_id"))
@@ -108,25 +110,34 @@ class Store:
         if folder is None:
             self._replace("events", rows)
         else:
-            rows.write.mode("append").parquet(folder)
+            self._laid("events", rows).mode("append").parquet(folder)
 
     append_event = insert_events
 
+    def compact(self) -> None:
+        """Rewrite the events, each event_id once. One writer at a time; readers keep the old version."""
+        if self._folder("events"):
+            self._replace("events", self._read("events").drop("day").dropDuplicates(["event_id"]))
+
     def products(self) -> DataFrame:
-        return self._read("products")
+        """In order of product_id."""
+        return self._read("products").orderBy("product_id")
 
     def users(self) -> DataFrame:
         return self._read("users")
 
     def events(self, since=None, user_id: str | None = None) -> DataFrame:
-        once = events_since(self._read("events"), since, user_id).dropDuplicates(["event_id"])
+        rows = self._read("events")
+        if since is not None and "day" in rows.columns:
+            rows = rows.where(F.col("day") >= F.date_sub(F.to_date(F.lit(since).cast("timestamp")), 1))  # prunes folders; a day more, as days depend on the time zone
+        once = events_since(rows.drop("day"), since, user_id).dropDuplicates(["event_id"])
         return once.orderBy("user_id", "timestamp", "event_id")
 
     def user_profile_counts(self, user_ids: list[str] | None = None) -> DataFrame:
-        return user_product_rollup(self._read("events").dropDuplicates(["event_id"]), user_ids).orderBy("user_id", "last_ts", "product_id")
+        return user_product_rollup(self._read("events").drop("day").dropDuplicates(["event_id"]), user_ids).orderBy("user_id", "last_ts", "product_id")
 
     def counts(self) -> dict[str, int]:
-        return {r.table_name: r.n_rows for r in table_counts(self.products(), self.users(), self._read("events").dropDuplicates(["event_id"])).collect()}
+        return {r.table_name: r.n_rows for r in table_counts(self._read("products"), self._read("users"), self._read("events").dropDuplicates(["event_id"])).collect()}
 
     def clear(self) -> None:
         for name, schema in SCHEMAS.items():

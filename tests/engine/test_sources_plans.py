@@ -1,8 +1,12 @@
+import re
 from datetime import UTC, datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from tallyrank import session
+from tallyrank.files import Folder
 from tallyrank.operators import content, features
 from tallyrank.operators.catalog import CatalogFilters
 from tallyrank.plans.artifacts import ArtifactStore
@@ -38,6 +42,57 @@ def test_store_contract(spark, tmp_path):
     assert sum(store.counts().values()) == 0
 
 
+def test_events_are_laid_out_by_day_and_compacted(spark, tmp_path, capsys):
+    store = Store(spark, f"file://{tmp_path}/store")
+    rows = [(f"E{i:03d}", f"U{i % 7}", "P1", "view", T0 - timedelta(days=i % 20), None, None) for i in range(100)]
+    for part in (rows[:40], rows[40:], rows[:3]):
+        store.insert_events(spark.createDataFrame(part, EVENT))
+    store.events(since="2025-12-28 00:00:00", user_id="U3").explain("formatted")
+    plan = capsys.readouterr().out
+    assert re.search(r"PartitionFilters: \[.*day#\d+ >= 2025-12-27", plan) and "EqualTo(user_id,U3)" in plan
+    want = sorted(r[0] for r in rows if r[4] >= datetime(2025, 12, 28, tzinfo=UTC) and r[1] == "U3")
+    assert sorted(r.event_id for r in store.events(since="2025-12-28 00:00:00", user_id="U3").collect()) == want
+    before = store._read("events").count()
+    store.compact()
+    assert (before, store._read("events").count(), store.counts()["events"]) == (103, 100, 100)
+    assert sorted(r.event_id for r in store.events(since="2025-12-28 00:00:00", user_id="U3").collect()) == want
+    assert [r.product_id for r in store.products().collect()] == []
+
+
+def test_document_keys_stand_in(spark):
+    rows = spark.createDataFrame([("a", None), ("b", "own")], "_id string, product_id string")
+    assert sorted(r.product_id for r in conform(rows, PRODUCT).collect()) == ["a", "own"]
+    assert [r.event_id for r in conform(spark.createDataFrame([(7,)], "_id int"), EVENT).collect()] == ["7"]
+
+
+def test_pointers_and_scratch(spark, tmp_path):
+    files = Folder(spark, f"file://{tmp_path}/f")
+    files.write("a/x", b"1")
+    files.write("a/x", b"2")
+    assert files.read("a/x") == b"2" and files.names("a") == ["x"] and files.read("none") is None
+    with pytest.raises(FileExistsError):
+        files.write("a/x", b"3", replace=False)
+    assert files.read("a/x") == b"2" and files.names("a") == ["x"]
+    with session.scratch_scope(spark):
+        inner = session.stored(spark.range(3), "inner")
+        path = inner.inputFiles()[0]
+        kept = inner.count()
+    assert kept == 3 and "scope-" in path and not Path(path.removeprefix("file://")).exists()
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Session:
+        conf = Conf()
+        sparkContext = type("C", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(RuntimeError):
+        session.shared_dir(Session())
+
+
 def test_conform_parses_or_nulls(spark):
     rows = spark.createDataFrame([("a", "x1"), ("b", "2.5")], "product_id string, price string")
     assert [r.price for r in conform(rows, PRODUCT).orderBy("product_id").collect()] == [None, 2.5]
