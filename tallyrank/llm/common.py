@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch, scratch_scope, stored
+
+__all__ = ["ascii_lower", "documents_of", "fresh", "scratch", "scratch_scope", "slices", "stored", "table", "utf8"]
+
 #: Space, tab, line feed, vertical tab, form feed and carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -17,29 +19,6 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir.
-
-    Where the session sets none (local tests) a temporary folder is made and set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tallyrank-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again, so that its lineage ends there."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -50,6 +29,16 @@ def ascii_lower(text: Column) -> Column:
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them until docs has no such column."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def documents_of(docs: DataFrame) -> DataFrame:
     """doc_id and text alone, so that no further column of docs can clash."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -60,8 +49,21 @@ def utf8(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
+#: A slice of more bytes is halved, down to one row.
+SLICE_BYTES = 1 << 24
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of so many at most, to bound what Python holds."""
+    """The same rows in batches of so many at most and SLICE_BYTES or one row, to bound what Python holds."""
+
+    def cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        if batch.num_rows > 1 and batch.nbytes > SLICE_BYTES:
+            middle = batch.num_rows // 2
+            yield from cut(batch.slice(0, middle))
+            yield from cut(batch.slice(middle))
+        else:
+            yield batch
+
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+            yield from cut(batch.slice(start, rows))

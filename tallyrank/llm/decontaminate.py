@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, ascii_lower, documents_of, stored
+from .common import WORD, ascii_lower, documents_of, fresh, stored
 
 WINDOW = 13
 SHINGLE = 3
@@ -135,8 +135,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
 def clean_rows(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs without contaminated rows, each judged by itself whether its doc_id is null or repeated; all columns stay."""
-    gone = _judged(docs, benchmark, **options).where("contaminated").select(F.col("doc_id").alias("__gone"), F.col("mark").alias("__mark")).distinct()
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__gone")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__mark"))
+    i, m = fresh(docs, "__gone", "__mark")
+    gone = _judged(docs, benchmark, **options).where("contaminated").select(F.col("doc_id").alias(i), F.col("mark").alias(m)).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col(i)) & (F.xxhash64(docs["text"].cast("string")) == F.col(m))
     return docs.join(gone, same, "left_anti")
 
 

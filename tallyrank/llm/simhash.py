@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents_of, slices, stored, utf8
+from .common import documents_of, fresh, slices, stored, utf8
 from .components import connected_components
 
 SHINGLE_WORDS = 4
@@ -53,14 +53,15 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, fp): fp holds the 64 bits as a signed long."""
+    """docs with fp, the 64 bits of its text as a signed long, in place of text; docs has doc_id, text and at most mark (long)."""
+    rest = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1000):
             found = np.array([fingerprint(x, shingle) for x in utf8(batch.column("text"))], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(found.view(np.int64))], [*rest, "fp"])
 
-    return documents_of(docs).mapInArrow(run, "doc_id long, fp long")
+    return docs.mapInArrow(run, ", ".join(f"{c} long" for c in (*rest, "fp")))
 
 
 def tile_links(a: np.ndarray, b: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
@@ -153,6 +154,13 @@ def links(values: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -
     return full.select("a", "b", "itself").mapInArrow(_compare(radius), "u long, v long")
 
 
+def _groups(prints: DataFrame, radius: int, tile_rows: int) -> DataFrame:
+    """(fp, root) of every distinct fingerprint; root names its group."""
+    values = stored(prints.select("fp").distinct(), "values")
+    roots = stored(connected_components(links(values, radius, tile_rows)), "roots")
+    return values.join(roots, values.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
     """(doc_id, fp, component_id): the smallest doc_id of each row's near-duplicate group.
 
@@ -160,21 +168,37 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, radius: int =
     doc_id joins its fingerprint's group but never names one; a group of nulls alone has
     a null name. Repeated rows are each returned. An empty table gives no rows.
     """
-    prints = stored(fingerprints(docs, shingle), "fingerprints")
-    values = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "values")
-    roots = stored(connected_components(links(values, radius, tile_rows)), "roots")
-    member = values.join(roots, values.fp == roots.node).select("fp", "root", "first")
-    named = member.groupBy("root").agg(F.min("first").alias("least"))
-    linked = member.join(named, "root").select("fp", "least")
-    names = stored(values.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")), "groups")
+    prints = stored(fingerprints(documents_of(docs), shingle), "fingerprints")
+    groups = stored(_groups(prints, radius, tile_rows), "groups")
+    firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first")).join(groups, "fp")
+    named = firsts.groupBy("root").agg(F.min("first").alias("component_id"))
+    names = stored(groups.join(named, "root").select("fp", "component_id"), "names")
     return prints.join(names, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs without the rows whose group has a smaller doc_id; all columns stay.
+def keep_one(docs: DataFrame, shingle: int = SHINGLE_WORDS, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """docs with one row of each near-duplicate group: that of the smallest doc_id; all columns stay.
 
-    A null doc_id always stays. Rows that repeat a doc_id go or stay together.
+    Rows without doc_id come after all others. Of rows with one doc_id the smallest by a
+    hash of their columns (but maps) stays, and of wholly equal rows any one.
     """
-    groups = near_duplicates(docs, **options)
-    gone = groups.where("doc_id > component_id").select("doc_id").distinct()
-    return docs.join(gone.withColumnRenamed("doc_id", "__gone"), F.col("doc_id") == F.col("__gone"), "left_anti")
+    hashed = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    mark = F.xxhash64(*hashed)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), mark.alias("mark"))
+    prints = stored(fingerprints(own, shingle), "fingerprints")
+    groups = stored(_groups(prints, radius, tile_rows), "groups")
+    # Equal rows are counted and a group's first is a minimum, both added up before they move: a group may be any size.
+    rows = stored(prints.groupBy("fp", "doc_id", "mark").agg(F.count("*").alias("n")).join(groups, "fp").select("root", "doc_id", "mark", "n"), "members")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")
+    first = rows.groupBy("root").agg(F.min(order).alias("first")).select(F.col("root").alias("r"), "first.*")
+    met = rows.join(first.select("r", F.col("doc_id").alias("f_id"), F.col("mark").alias("f_mark")), F.col("root") == F.col("r"))
+    is_first = F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("mark") == F.col("f_mark"))
+    i, m = fresh(docs, "__id", "__mark")
+    acted = stored(met.select(F.col("doc_id").alias(i), F.col("mark").alias(m), is_first.alias("is_first"), F.col("n").alias("copies")).where("not is_first or copies > 1"), "acted-on")
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col(i)) & (mark == F.col(m))
+    left = docs.join(acted.select(i, m), same, "left_anti")
+    repeated = acted.where("is_first").select(i, m)
+    if repeated.isEmpty():
+        return left
+    once = docs.join(repeated, same).dropDuplicates([i, m]).select(*docs.columns)
+    return left.unionByName(once)

@@ -6,7 +6,8 @@ sums over the batches' small delta tables and never need a recount. A batch is w
 under a fresh name and counts once its commit file exists; the same batch id again
 does nothing. One writer at a time; readers see committed batches only.
 
-Layout under path: batches/<attempt>/{ledger,deltas} and commits/<batch id>, which names the attempt.
+Layout under path: batches/<attempt>/{ledger,deltas} and commits/<batch id>, which names the attempt;
+bases/<attempt> names a compaction of all batches up to a number.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..files import Folder
 from .bpe import Encoder
 from .common import slices
 
@@ -63,36 +65,50 @@ def count_changes(docs: DataFrame, encoder: Encoder, op: str = "insert") -> Data
 class TokenRollup:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._files = Folder(spark, self.path)
 
     def _commits(self) -> list[dict]:
         """The committed batches, oldest first."""
-        folder = self._path(f"{self.path}/commits")
-        if not self._fs.exists(folder):
-            return []
-        names = [x.getPath().toString() for x in self._fs.listStatus(folder) if not x.getPath().getName().startswith(("_", "."))]
-        found = []
-        for name in names:
-            stream = self._fs.open(self._path(name))
-            found.append(json.loads(bytes(stream.readAllBytes())))
-            stream.close()
-        return sorted(found, key=lambda c: c["batch"])
+        return sorted((json.loads(self._files.read(f"commits/{x}")) for x in self._files.names("commits")), key=lambda c: c["batch"])
+
+    def _base(self) -> dict | None:
+        """The newest compaction: it stands for every batch up to its number."""
+        found = [json.loads(self._files.read(f"bases/{x}")) for x in self._files.names("bases")]
+        return max(found, key=lambda c: c["batch"], default=None)
 
     def _commit(self, batch_id: str, entry: dict) -> None:
         """The rename is what commits: before it, readers see none of the batch."""
-        hidden, final = (self._path(f"{self.path}/commits/{x}") for x in (f"_{uuid.uuid4().hex}", batch_id))
-        out = self._fs.create(hidden, True)
-        out.write(bytearray(json.dumps(entry).encode()))
-        out.close()
-        if self._fs.exists(final) or not self._fs.rename(hidden, final):
-            raise RuntimeError(f"batch {batch_id} was committed by another writer")
+        try:
+            self._files.write(f"commits/{batch_id}", json.dumps(entry).encode(), replace=False)
+        except FileExistsError:
+            raise RuntimeError(f"batch {batch_id} was committed by another writer") from None
 
     def _read(self, part: str, schema: str) -> DataFrame:
-        paths = [f"{self.path}/batches/{c['attempt']}/{part}" for c in self._commits()]
+        base, commits = self._base(), self._commits()
+        paths = [f"{self.path}/batches/{c['attempt']}/{part}" for c in commits if base is None or c["batch"] > base["batch"]]
+        paths += [f"{self.path}/batches/{base['attempt']}/{part}"] if base else []
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
+    def compact(self) -> None:
+        """One table of each key's last state and one of the totals in place of all batches so far; the results stay.
+
+        The ledger is sorted by key within files, so that a batch's keys skip row groups. What it stands for isn't deleted.
+        """
+        done = self._commits()
+        if not done:
+            return
+        last = done[-1]["batch"]
+        attempt = f"base-{last:09d}.{uuid.uuid4().hex}"
+        target = f"{self.path}/batches/{attempt}"
+        states = self._read("ledger", _LEDGER).groupBy(*KEY).agg(F.max_by(F.struct(*(c for c in self._ledger_columns() if c not in KEY)), "batch").alias("s")).select(*KEY, "s.*")
+        states.sortWithinPartitions(*KEY).select(*self._ledger_columns()).write.parquet(f"{target}/ledger")
+        self._read("deltas", _DELTAS).groupBy(*CELL).agg(*(F.sum(c).alias(c) for c in SUMS)).write.parquet(f"{target}/deltas")
+        self._files.write(f"bases/{attempt}", json.dumps({"batch": last, "attempt": attempt}).encode())
+
+    @staticmethod
+    def _ledger_columns() -> list[str]:
+        return [c.split()[0] for c in _LEDGER.split(", ")]
+
     def apply(self, batch_id: str, changes: DataFrame) -> bool:
         """Apply a batch once; False if it is committed already.
 

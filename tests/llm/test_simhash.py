@@ -91,6 +91,24 @@ def test_components(spark):
 
 
 def test_keep_one_and_empty(spark):
-    docs = spark.createDataFrame([(5, "a b c d e", "x"), (2, "a b c d e", "y"), (9, "quite other words here now", None), (None, "a b c d e", "z")], "doc_id long, text string, extra string")
-    assert sorted((r.doc_id or 0, r.extra) for r in simhash.keep_one(docs).collect()) == [(0, "z"), (2, "y"), (9, None)]
+    docs = spark.createDataFrame([(5, "a b c d e", "x"), (2, "a b c d e", "y"), (9, "quite other words here now", None), (None, "a b c d e", "z"), (9, "quite other words here now", None), (None, "alone", "p"), (None, "alone", "q")], "doc_id long, text string, extra string").withColumn("__id", F.lit(1)).withColumn("m", F.create_map(F.lit("k"), F.lit(1)))
+    left = simhash.keep_one(docs)
+    assert left.columns == ["doc_id", "text", "extra", "__id", "m"]
+    got = sorted((r.doc_id or 0, r.text, r.extra) for r in left.collect())
+    assert got[1:] == [(2, "a b c d e", "y"), (9, "quite other words here now", None)] and got[0][:2] == (0, "alone") and got[0][2] in ("p", "q")
     assert simhash.keep_one(docs.limit(0)).count() == 0
+
+
+def test_keep_one_against_brute_force(spark):
+    rows = list(enumerate(texts(3))) + [(None, "one"), (3, texts(3)[3]), (3, "another text of the same id"), (None, texts(3)[8]), (None, texts(3)[8]), (400, texts(3)[8] + " ")]
+    groups = {}
+    prints = [slow_print(t) for _, t in rows]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 4 and label[i] != label[j]:
+                label = [label[j] if g == label[i] else g for g in label]
+    for (d, t), g in zip(rows, label):
+        groups.setdefault(g, []).append((d is None, d or 0))
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == sorted(min(g) for g in groups.values())

@@ -58,3 +58,18 @@ def test_rows_without_id_are_all_counted(spark):
     for batch, op, left in (("x", "insert", want), ("y", "insert", want), ("z", "delete", [])):
         roll.apply(batch, count_changes(docs, enc, op))
         assert sorted(cells(roll.totals()), key=str) == sorted(cells(roll.recount()), key=str) == sorted(left, key=str)
+
+
+def test_compaction_changes_nothing(spark):
+    roll = TokenRollup(spark, scratch(spark, "rollup"))
+    batch = lambda *rows: spark.createDataFrame([(*r, *[0] * (8 - len(r))) for r in rows], SCHEMA)
+    roll.compact()
+    roll.apply("one", batch(("a", "t", "insert", "s", "en", 5, 50), ("b", "t", "insert", "s", "en", 7, 70)))
+    roll.apply("two", batch(("a", "t", "revise", "s", "de", 6, 60), ("b", "t", "delete", "s", "en", 0, 0)))
+    before = cells(roll.totals())
+    roll.compact()
+    assert before == cells(roll.totals()) == cells(roll.recount()) == [("s", "de", "t", 1, 6, 60)]
+    assert not roll.apply("one", batch(("zz", "t", "insert", "s", "en", 1, 1))) and roll.apply("three", batch(("a", "t", "delete", "s", "de", 0, 0), ("b", "t", "insert", "s", "en", 2, 2)))
+    roll.compact()
+    assert cells(roll.totals()) == cells(roll.recount()) == [("s", "en", "t", 1, 2, 2)]
+    assert len(roll._read("ledger", "doc_key string").inputFiles()) <= 4
