@@ -5,11 +5,12 @@ words, fewer for items that are shorter). One scan joins the documents' shingle
 the benchmark's: what survives tells how often each shingle stands in the corpus, and so
 the order by rarity. A window can only occur where its rarest shingle does, so that prefix
 proposes (document, item, offset) and the windows' length and position bounds apply to it;
-then the surviving shingles on a proposed offset are laid out as runs, and a run as long as
-the window is an exact occurrence: it agrees in every consecutive shingle hash of 64 bits.
+then the surviving shingles on a proposed offset are laid out as runs, a run as long as
+the window agrees in every consecutive shingle hash, and the words of the few documents with
+such runs are compared with the item's one by one, so that no occurrence rests on hashes.
 
-Text never moves between tasks and the survivors are a few bytes each. The benchmark's
-shingles are broadcast up to a checked count; a larger benchmark is joined by shuffling.
+The survivors are a few bytes each. The benchmark's shingles are broadcast up to a checked count, a
+larger benchmark in several parts of that size with a scan for each, and beyond MAX_PARTS by shuffling.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ WINDOW = 13
 SHINGLE = 3
 #: Rows of two longs each, some 50 MB as a hash table, which every executor can hold.
 BROADCAST_ROWS = 1_000_000
+MAX_PARTS = 8
 #: A document is contaminated when so many times its hit words reach its words.
 MIN_SHARE_OF_WORDS = 20
 
@@ -39,13 +41,18 @@ def shingles(words: Column, k: int) -> Column:
     return F.when(n >= k, F.transform(F.sequence(F.lit(0), n - k), lambda i: F.xxhash64(*(at(i, j) for j in range(k))))).otherwise(F.array().cast("array<bigint>"))
 
 
+def _items(benchmark: DataFrame) -> DataFrame:
+    """(item_id, w, copy): the words of each item, and of each further text of the same id."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("w")).where(F.col("item_id").isNotNull() & (F.size("w") > 0)).distinct()
+    return items.withColumn("copy", F.row_number().over(Window.partitionBy("item_id").orderBy("w")))
+
+
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
     """One row per shingle of each item: item_id, k (its words), need (a window's shingles), ipos, h.
 
     Items without words have none; rows that repeat an item_id are one item with all their texts.
     """
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("w")).where(F.col("item_id").isNotNull() & (F.size("w") > 0)).distinct()
-    items = items.withColumn("copy", F.row_number().over(Window.partitionBy("item_id").orderBy("w")))
+    items = _items(benchmark)
     n = F.size("w")
     k = F.least(F.lit(shingle), n)
     need = F.least(F.lit(window), n) - k + 1
@@ -69,18 +76,23 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shi
     if not sizes_k:
         none = docs.sparkSession.createDataFrame([], "doc_id long, mark long, item_id string, first int, last int")
         return own.select("doc_id", "mark", F.size("w").cast("long").alias("n_words")), none
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
+    n_parts = -(-wanted.count() // BROADCAST_ROWS) if BROADCAST_ROWS else MAX_PARTS + 1
+    if n_parts > MAX_PARTS:
+        parts = [wanted]
+    else:
+        parts = [F.broadcast(wanted.where(F.pmod("h", F.lit(n_parts)) == p)) for p in range(n_parts)]
     # A document with no words still gives a row, by the outer explode, and with it its size.
     hashed = own.select("doc_id", "mark", F.size("w").alias("n_words"), *(shingles(F.col("w"), k).alias(f"s{k}") for k in sizes_k))
     found = None
     for k in sizes_k:
         rows = hashed.select("doc_id", "mark", "n_words", F.lit(k).alias("k"), F.posexplode_outer(f"s{k}").alias("pos", "h"))
-        marked = rows.join(wanted.withColumn("known", F.lit(True)), ["k", "h"], "left").where("known or coalesce(pos, 0) = 0")
-        found = marked if found is None else found.unionByName(marked)
-    survivors = stored(found.select("doc_id", "mark", "n_words", "k", "pos", "h", "known"), "survivors")
-    sizes = survivors.where((F.col("k") == sizes_k[0]) & (F.coalesce("pos", F.lit(0)) == 0)).select("doc_id", "mark", F.col("n_words").cast("long").alias("n_words"))
-    hits = survivors.where("known").drop("known").distinct()
+        for p, part in enumerate(parts):
+            marked = rows.join(part.withColumn("known", F.lit(True)), ["k", "h"], "left").withColumn("part", F.lit(p))
+            marked = marked.where("known or part = 0 and coalesce(pos, 0) = 0")
+            found = marked if found is None else found.unionByName(marked)
+    survivors = stored(found.select("doc_id", "mark", "n_words", "k", "pos", "h", "known", "part"), "survivors")
+    sizes = survivors.where((F.col("k") == sizes_k[0]) & (F.col("part") == 0) & (F.coalesce("pos", F.lit(0)) == 0)).select("doc_id", "mark", F.col("n_words").cast("long").alias("n_words"))
+    hits = survivors.where("known").drop("known", "part").distinct()
 
     rarity = hits.groupBy("k", "h").agg(F.count("*").alias("n"))
     ranked = bench.join(rarity, ["k", "h"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
@@ -102,7 +114,23 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shi
     line = Window.partitionBy("doc_id", "mark", "item_id", "copy", "offset").orderBy("pos")
     runs = verified.withColumn("run", F.col("pos") - F.row_number().over(line)).groupBy("doc_id", "mark", "item_id", "copy", "offset", "run")
     spans = runs.agg(F.min("pos").alias("first"), (F.max("pos") + F.max("k") - 1).alias("last"), F.count("*").alias("n"), F.max("need").alias("need")).where("n >= need")
-    return sizes, spans.select("doc_id", "mark", "item_id", "first", "last")
+    return sizes, _verified(docs, benchmark, stored(spans.select("doc_id", "mark", "item_id", "copy", "offset", "first", "last"), "spans"), window)
+
+
+def _verified(docs: DataFrame, benchmark: DataFrame, spans: DataFrame, window: int) -> DataFrame:
+    """spans cut to the stretches whose words are the item's, where these are as long as a window."""
+    items = _items(benchmark).select("item_id", "copy", F.col("w").alias("iw"))
+    held = spans.select(F.col("doc_id").alias("s_id"), F.col("mark").alias("s_mark")).distinct()
+    own = documents_of(docs).select("doc_id", F.xxhash64("text").alias("mark"), "text")
+    # Only documents with a span: their keys are stored, so they are sent to the scan where they are few.
+    met = own.join(stored(held, "span-documents"), own.doc_id.eqNullSafe(F.col("s_id")) & (own.mark == F.col("s_mark")), "left_semi").distinct()
+    words = met.select(F.col("doc_id").alias("s_id"), F.col("mark").alias("s_mark"), words_of(F.col("text")).alias("w"))
+    both = spans.join(words, spans.doc_id.eqNullSafe(F.col("s_id")) & (spans.mark == F.col("s_mark"))).join(items, ["item_id", "copy"])
+    other = F.filter(F.sequence("first", "last"), lambda p: ~F.get(F.col("w"), p).eqNullSafe(F.get(F.col("iw"), p - F.col("offset"))))
+    bounds = F.concat(F.array(F.col("first") - 1), other, F.array(F.col("last") + 1))
+    least = F.least(F.lit(window), F.size("iw"))
+    cut = both.select("doc_id", "mark", "item_id", least.alias("least"), F.explode(F.arrays_zip(F.slice(bounds, 1, F.size(bounds) - 1).alias("a"), F.slice(bounds, 2, F.size(bounds) - 1).alias("b"))).alias("z"))
+    return cut.select("doc_id", "mark", "item_id", (F.col("z.a") + 1).alias("first"), (F.col("z.b") - 1).alias("last"), "least").where("last - first + 1 >= least").drop("least")
 
 
 def _judged(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, share: int = MIN_SHARE_OF_WORDS) -> DataFrame:

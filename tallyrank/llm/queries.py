@@ -31,7 +31,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.keep_summary(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
+    return line_dedup.keep_summary(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "kept_sha256", "keep_runs")
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,9 +81,14 @@ shared AS (
   GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
 marked AS (
   SELECT k.*, s.key IS NOT NULL AND k.doc_id < s.last_doc AS gone FROM keyed k LEFT JOIN shared s ON k.key = s.key)
-SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (WHERE gone))::BIGINT AS n_dropped,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM marked GROUP BY doc_id
+runs AS (
+  SELECT doc_id, string_agg((first - 1) || '-' || (last - 1), ',' ORDER BY first) AS keep_runs
+  FROM (SELECT doc_id, min(pos) AS first, max(pos) AS last
+        FROM (SELECT doc_id, pos, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM marked WHERE NOT gone) GROUP BY doc_id, island)
+  GROUP BY doc_id)
+SELECT m.doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (WHERE gone))::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256, coalesce(any_value(keep_runs), '') AS keep_runs
+FROM marked m LEFT JOIN runs r ON m.doc_id = r.doc_id GROUP BY m.doc_id
 """
 
 _OP7_SQL = r"""

@@ -22,7 +22,14 @@ def slow(rows, min_chars=20, min_docs=3):
     for d, t in rows:
         lines = (t or "").split("\n")
         stay = [x for x in lines if d is None or len(held.get(low(x.strip(BLANKS)), ())) < min_docs or d >= max(held[low(x.strip(BLANKS))])]
-        out.append((d, len(lines), len(lines) - len(stay), hashlib.sha256("\n".join(stay).encode()).hexdigest()))
+        kept = [i for i, x in enumerate(lines) if d is None or len(held.get(low(x.strip(BLANKS)), ())) < min_docs or d >= max(held[low(x.strip(BLANKS))])]
+        runs = []
+        for i in kept:
+            if runs and runs[-1][1] == i - 1:
+                runs[-1][1] = i
+            else:
+                runs.append([i, i])
+        out.append((d, len(lines), len(lines) - len(stay), hashlib.sha256("\n".join(stay).encode()).hexdigest(), ",".join(f"{a}-{b}" for a, b in runs)))
     return sorted(out, key=str)
 
 
@@ -36,8 +43,8 @@ ROWS = [
 
 
 def test_against_brute_force(spark):
-    docs = spark.createDataFrame(ROWS, "doc_id long, text string").withColumn("mark", F.lit("clash")).withColumn("dropped", F.lit(1))
-    got = [tuple(r) for r in line_dedup.keep_summary(docs).select("doc_id", "n_lines", "n_dropped", "kept_sha256").collect()]
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string").withColumn("mark", F.lit("clash")).withColumn("dropped", F.lit(1)).withColumn("__id", F.lit(1))
+    got = [tuple(r) for r in line_dedup.keep_summary(docs).select("doc_id", "n_lines", "n_dropped", "kept_sha256", "keep_runs").collect()]
     assert sorted(got, key=str) == slow(ROWS)
 
 
