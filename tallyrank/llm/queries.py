@@ -35,9 +35,36 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels are the rules' verdicts and, by equal id, the low-quality rows of labels."""
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).cast("int").alias("bad"))
-    return url_filter.judge_urls(table(spark, sf_dir, "pages"), labels)
+    """The rules' verdicts are the labels that the tree learns from: no table labels pages."""
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"))
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op5_url_filters that SQL can say; verdict is empty where no rule fits."""
+    found = op5_url_filters(spark, sf_dir)
+    return found.select("page_id", "host", "path", F.coalesce("rule", F.lit("")).alias("rule"), F.when(F.col("rule").isNotNull(), F.col("verdict")).otherwise("").alias("ruled"))
+
+
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op3_quality_rules that SQL can say: counts and base rules."""
+    return op3_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def token_rollup_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches, the first delivered twice and the ledger compacted after it: all documents; those with blanks at an
+    end revised to the text without; and every copy of an earlier document's text deleted. Documents and characters left."""
+    rollup, encoder = TokenRollup(spark, scratch(spark, "token-rollup")), Encoder(spark)
+    docs = table(spark, sf_dir, "documents")
+    every = count_changes(docs, encoder)
+    for _ in range(2):
+        rollup.apply("documents", every)
+    rollup.compact()
+    trimmed = F.trim(F.coalesce("text", F.lit("")))
+    rollup.apply("trimmed", count_changes(docs.where(trimmed != F.col("text")).withColumn("text", trimmed), encoder, "revise"))
+    first = docs.groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("h")).agg(F.min("doc_id").alias("first"))
+    copies = docs.withColumn("h", F.sha2(F.coalesce("text", F.lit("")), 256)).join(first, "h").where("doc_id > first").select(*docs.columns)
+    rollup.apply("copies", count_changes(copies, encoder, "delete"))
+    return rollup.totals().select("source", "lang", "n_docs", "n_chars")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +107,7 @@ shared AS (
   SELECT key, max(doc_id) AS last_doc FROM keyed WHERE length(key) >= 20
   GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
 marked AS (
-  SELECT k.*, s.key IS NOT NULL AND k.doc_id < s.last_doc AS gone FROM keyed k LEFT JOIN shared s ON k.key = s.key)
+  SELECT k.*, s.key IS NOT NULL AND k.doc_id < s.last_doc AS gone FROM keyed k LEFT JOIN shared s ON k.key = s.key),
 runs AS (
   SELECT doc_id, string_agg((first - 1) || '-' || (last - 1), ',' ORDER BY first) AS keep_runs
   FROM (SELECT doc_id, min(pos) AS first, max(pos) AS last
@@ -134,6 +161,34 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base,
 FROM d LEFT JOIN found USING (doc_id)
 """
 
+_URL_SQL = r"""
+WITH u AS (SELECT page_id, coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), '') AS h, coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+p AS (SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM u),
+rules AS (SELECT * FROM (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'block'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')) t(rh, rp, verdict)),
+fit AS (
+  SELECT page_id, host, path, rh || rp AS rule, verdict, row_number() OVER (PARTITION BY page_id, host, path ORDER BY length(rh || rp) DESC) AS nth
+  FROM (SELECT DISTINCT * FROM p) JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp))
+SELECT p.page_id, p.host, p.path, coalesce(rule, '') AS rule, coalesce(verdict, '') AS ruled
+FROM p LEFT JOIN fit ON p.page_id = fit.page_id AND p.host = fit.host AND p.path = fit.path AND nth = 1
+"""
+
+_QUALITY_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+grams AS (SELECT doc_id, i, w[i : i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)),
+often AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM grams) WHERE n > 1),
+repeats AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM often) GROUP BY doc_id),
+lines AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+       (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(repeats.n, 0)::BIGINT AS n_repeat_words,
+       len(w) < 50 OR 100 * coalesce(repeats.n, 0) > 50 * len(w) AS base_failed
+FROM d JOIN lines ON d.doc_id = lines.doc_id LEFT JOIN repeats ON d.doc_id = repeats.doc_id
+"""
+
+_ROLLUP_SQL = """
+SELECT source, lang, count(*)::BIGINT AS n_docs, sum(length(trim(coalesce(text, ''), ' ')))::BIGINT AS n_chars
+FROM documents WHERE doc_id IN (SELECT min(doc_id) FROM documents GROUP BY coalesce(text, '')) GROUP BY source, lang
+"""
+
 _ALL = (
     op1_token_counts,
     op2_simhash_near_dedup,
@@ -149,5 +204,5 @@ _ALL = (
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {"op4_line_dedup": _OP4_SQL, "op7_benchmark_decontamination": _OP7_SQL}
 # Beside the ten, the columns of some that SQL can say, each from its operator's own rows.
-for _f, _sql in ((license_phrases, _LICENSE_SQL),):
+for _f, _sql in ((license_phrases, _LICENSE_SQL), (url_rules, _URL_SQL), (quality_counts, _QUALITY_SQL), (token_rollup_batches, _ROLLUP_SQL)):
     QUERIES[_f.__name__], ORACLES[_f.__name__] = _f, _sql

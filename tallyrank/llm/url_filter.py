@@ -131,6 +131,22 @@ def template_tree(pages: DataFrame) -> DataFrame:
     return rows.select("host", "segments", "template").join(total.select("host", "template", "n_labels", purity.alias("purity")), ["host", "template"])
 
 
+def rules_left_out(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
+    """What the tree says of each rule's pages when it learns from the other rules alone.
+
+    (rule, verdict, learnt, n): pages that the rule decides, by the rule's verdict and the learnt one. Pages that
+    another rule fits once this one is left out are labelled by that one, and aren't counted.
+    """
+    out = None
+    for h, p, v in rules:
+        rest = [r for r in rules if r[:2] != (h, p)]
+        all_rules = judge_urls(pages, rules=rules).where(F.col("rule") == h + p).select("page_id").distinct()
+        learnt = judge_urls(pages, rules=rest).where("rule is null").join(all_rules, "page_id", "left_semi")
+        part = learnt.groupBy(F.col("verdict").alias("learnt")).agg(F.count("*").alias("n"), F.max("n_labels").alias("most_labels")).select(F.lit(h + p).alias("rule"), F.lit(v).alias("verdict"), "learnt", "n", "most_labels")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def judge_urls(pages: DataFrame, labels: DataFrame | None = None, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
     """Per row of pages: page_id, host, path, rule, verdict, template, purity, n_labels.
 

@@ -145,3 +145,10 @@ def test_named_levels_change_no_verdict(spark, monkeypatch):
     got = uf.judge_urls(spark.createDataFrame(urls, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, bad int")).collect()
     assert sorted(((*x[:5], x.template if x.n_labels else None, round(x.purity, 9), x.n_labels) for x in got), key=str) == sorted(want, key=str)
     assert {x.verdict for x in got} == {"block", "allow"} and any(x.template.endswith("/**") for x in got)
+
+
+def test_rules_left_out(spark):
+    urls = [(i, f"http://a.example.com/en/{i}") for i in range(60)] + [(100 + i, f"http://a.example.com/en/7{i:02d}x") for i in range(5)] + [(200 + i, f"http://b.net/de/{i}") for i in range(9)]
+    got = {(r.rule, r.learnt): r.n for r in uf.rules_left_out(spark.createDataFrame(urls, "page_id long, url string")).collect()}
+    # Without com/en/ its pages have no label but the few of example.com/en/7, which allow; without net/de/ there is none.
+    assert got == {("com/en/", "allow"): 59, ("net/de/", "allow"): 9}
