@@ -105,7 +105,8 @@ def vector_for(features: DataFrame, product_id: str) -> DataFrame:
 def item_cosine(features: DataFrame, items: DataFrame | None = None) -> DataFrame:
     """(i, j, cos) of every item i with the items j (all, or those named): feature rows are unit rows.
 
-    Both sides are packed per feature first, so a feature's rows meet once.
+    A join on the feature and a sum over pairs: for items j that are few (the seen, the shown, one). It grows
+    with the square of a common feature's items.
     """
     left = features.select("feature", F.col("product_id").alias("i"), F.col("value").alias("vi"))
     right = features if items is None else features.join(items.select("product_id").distinct(), "product_id", "left_semi")

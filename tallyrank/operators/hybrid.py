@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import content, knn, latent
-from .interactions import minmax_per_user, seen_items
+from .interactions import minmax_per_user
 from .ranking import rank_topk
 
 # The rank constant, the members' depth and weights.
@@ -30,17 +32,93 @@ def recommend_rrf(members: Sequence[tuple[float, DataFrame]], top_k: int, candid
 
 
 def collaborative_scores(cells: DataFrame, products: DataFrame, near: DataFrame, factors: DataFrame, knn_weight: float = 0.5) -> DataFrame:
-    """Neighbour and latent scores, each scaled per user over the whole catalogue, blended. Dense."""
-    n_items = products.select("product_id").distinct().agg(F.count("*").alias("n"))
-    a = knn.scaled_scores(knn.scores(cells, near), n_items).withColumn("score", F.col("score") * knn_weight)
-    dense = cells.select("user_id").distinct().join(products.select("product_id").distinct())
-    full = dense.join(latent.scores(cells, factors), ["user_id", "product_id"], "left").select("user_id", "product_id", F.coalesce("score", F.lit(0.0)).alias("score"))
-    b = minmax_per_user(full).withColumn("score", F.col("score") * (1 - knn_weight))
-    return a.unionByName(b).groupBy("user_id", "product_id").agg(F.sum("score").alias("score"))
+    """Neighbour and latent scores, each scaled per user over the whole catalogue, blended. Dense by definition: for few users."""
+    return _collaborative(cells, products, near, factors, None, (knn_weight,)).drop("knn_weight", "rank")
 
 
 def recommend_collaborative(cells: DataFrame, products: DataFrame, near: DataFrame, factors: DataFrame, k: int, knn_weight: float = 0.5) -> DataFrame:
-    return rank_topk(collaborative_scores(cells, products, near, factors, knn_weight), k, exclude=seen_items(cells))
+    return _collaborative(cells, products, near, factors, k, (knn_weight,)).drop("knn_weight")
+
+
+def collaborative_variants(cells: DataFrame, products: DataFrame, near: DataFrame, factors: DataFrame, k: int, knn_weights: Sequence[float]) -> DataFrame:
+    """recommend_collaborative for several weights in one pass: (user_id, product_id, score, rank, knn_weight)."""
+    return _collaborative(cells, products, near, factors, k, tuple(knn_weights))
+
+
+def _collaborative(cells: DataFrame, products: DataFrame, near: DataFrame, factors: DataFrame, k: int | None, knn_weights: tuple[float, ...]) -> DataFrame:
+    """Each user's k best unseen items by the blend for each weight; without k all items, seen ones too, and rank null.
+
+    A chunk of users meets the whole catalogue in one matrix product; the catalogue's ids and factors are
+    checked against latent.MAX_BLOCK. The neighbour scores come as sparse rows.
+    """
+    known, block = latent.factor_block(factors)
+    ids = [r.product_id for r in products.select("product_id").distinct().orderBy("product_id").collect()]
+    latent._checked(len(ids), max(1, block.shape[1]))
+    row = {p: n for n, p in enumerate(known)}
+    full = np.zeros((len(ids), block.shape[1]))
+    held = [(n, row[p]) for n, p in enumerate(ids) if p in row]
+    if held:
+        full[[n for n, _ in held]] = block[[m for _, m in held]]
+    spark = cells.sparkSession
+    shipped = spark.sparkContext.broadcast((ids, full))
+    places = spark.createDataFrame(list(zip(ids, range(len(ids)), strict=True)), "product_id string, i int")
+    scored = knn.scores_and_seen(cells, near).join(cells.select("user_id", "product_id", "value"), ["user_id", "product_id"], "left").join(places, "product_id")
+    lists = scored.groupBy("user_id").agg(F.collect_list(F.struct("i", F.coalesce("value", F.lit(0.0)).alias("v"), F.col("score").alias("s"), "seen")).alias("c"))
+    people = cells.select("user_id").distinct().join(lists, "user_id", "left")
+    empty = F.array().cast("array<struct<i:int,v:double,s:double,seen:boolean>>")
+    rows = people.select("user_id", F.coalesce("c", empty).alias("c")).select("user_id", *(F.col(f"c.{x}").alias(x) for x in ("i", "v", "s", "seen")))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, v = shipped.value
+        names = np.array(names, object)
+        step = max(1, latent.CHUNK_NUMBERS // max(1, len(names)))
+        for batch in batches:
+            for a in range(0, batch.num_rows, step):
+                b = min(a + step, batch.num_rows)
+                yield from chunk(batch, names, v, a, b)
+
+    def unit(m: np.ndarray) -> np.ndarray:
+        low, high = m.min(axis=1, keepdims=True), m.max(axis=1, keepdims=True)
+        return np.where(high - low > 1e-12, (m - low) / np.where(high - low > 1e-12, high - low, 1), 0.0)
+
+    def chunk(batch: pa.RecordBatch, names: np.ndarray, v: np.ndarray, a: int, b: int) -> Iterator[pa.RecordBatch]:
+        if not len(names):
+            return
+        hidden = unit(latent.projections(batch, v, a, b) @ v.T)
+        at = np.asarray(batch.column("i").offsets)
+        flat = slice(int(at[a]), int(at[b]))
+        who = np.repeat(np.arange(b - a), np.diff(at[a : b + 1]))
+        item, score = np.asarray(batch.column("i").values)[flat], np.asarray(batch.column("s").values)[flat]
+        seen = batch.column("seen").values.to_numpy(zero_copy_only=False)[flat]
+        near_scores = np.zeros((b - a, len(names)))
+        near_scores[who, item] = score
+        near_scores = unit(near_scores)
+        users = batch.column("user_id").slice(a, b - a)
+        for w in knn_weights:
+            total = w * near_scores + (1 - w) * hidden
+            if k is None:
+                pick = np.tile(np.arange(len(names)), (b - a, 1))
+                keep = np.ones_like(pick, bool)
+            else:
+                order = np.round(total, 9)
+                order[who[seen], item[seen]] = -np.inf
+                m = min(k, len(names))
+                # Ties at the border of the best m go by id, so all that tie are sorted.
+                if m < len(names):
+                    edge = -np.partition(-order, m - 1, axis=1)[:, m - 1]
+                    pick = np.full((b - a, m), -1)
+                    for n in range(b - a):
+                        some = np.flatnonzero(order[n] >= edge[n])
+                        pick[n] = some[np.argsort(-order[n][some], kind="stable")[:m]]
+                else:
+                    pick = np.argsort(-order, axis=1, kind="stable")
+                keep = np.take_along_axis(order, pick, axis=1) > -np.inf
+            rank = np.tile(np.arange(1, pick.shape[1] + 1, dtype=np.int32), (b - a, 1))[keep]
+            value = np.take_along_axis(total, pick, axis=1)[keep]
+            whose = users.take(pa.array(np.repeat(np.arange(b - a), keep.sum(axis=1))))
+            yield pa.RecordBatch.from_arrays([whose, pa.array(names[pick[keep]], pa.string()), pa.array(value), pa.array(rank), pa.array(np.full(len(value), float(w)))], ["user_id", "product_id", "score", "rank", "knn_weight"])
+
+    return rows.mapInArrow(run, "user_id string, product_id string, score double, rank int, knn_weight double")
 
 
 def blended_scores(members: Sequence[tuple[float, DataFrame]]) -> DataFrame:

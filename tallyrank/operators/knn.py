@@ -9,9 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
 from .interactions import item_popularity, minmax_per_user, seen_items
 from .ranking import padded, rank_topk
 
+#: Candidates up to this many are sent to the scores; more are met by a shuffle.
+BROADCAST_ITEMS = 100_000
+
 
 def cooccurrence(cells: DataFrame, normalise: bool = True) -> DataFrame:
     """(i, j, dot) with i <= j over user rows of unit length (or as they are)."""
@@ -49,6 +53,16 @@ def scores(cells: DataFrame, near: DataFrame) -> DataFrame:
     return met.groupBy("user_id", F.col("j").alias("product_id")).agg(F.sum(F.col("value") * F.col("sim")).alias("score"))
 
 
+def scores_and_seen(cells: DataFrame, near: DataFrame) -> DataFrame:
+    """(user_id, product_id, score, seen): scores, and zeros for seen items without one.
+
+    Laid out by user, so that what follows per user (scaling, ranking) doesn't move a row again.
+    """
+    met = cells.join(near.select(F.col("i").alias("product_id"), "j", "sim"), "product_id").select("user_id", F.col("j").alias("product_id"), (F.col("value") * F.col("sim")).alias("score"), F.lit(False).alias("seen"))
+    own = cells.select("user_id", "product_id", F.lit(0.0).alias("score"), F.lit(True).alias("seen"))
+    return met.unionByName(own).repartition("user_id").groupBy("user_id", "product_id").agg(F.sum("score").alias("score"), F.max("seen").alias("seen"))
+
+
 def scaled_scores(found: DataFrame, n_items: DataFrame) -> DataFrame:
     """scores scaled to 0..1 over the whole catalogue, without its zero rows.
 
@@ -59,20 +73,32 @@ def scaled_scores(found: DataFrame, n_items: DataFrame) -> DataFrame:
     of_user = Window.partitionBy("user_id")
     low = F.when(F.count("*").over(of_user) < F.col("n"), 0.0).otherwise(F.min("score").over(of_user))
     high = F.max("score").over(of_user)
-    return met.select("user_id", "product_id", F.when(high - low > 1e-12, (F.col("score") - low) / (high - low)).otherwise(0.0).alias("score"))
+    scaled = F.when(high - low > 1e-12, (F.col("score") - low) / (high - low)).otherwise(0.0)
+    return met.withColumn("score", scaled).select(*found.columns)
 
 
 def recommend(cells: DataFrame, products: DataFrame, near: DataFrame, k: int, candidates: DataFrame | None = None) -> DataFrame:
     """Each user's best k unseen items by scaled score; unscored items follow by id.
 
-    candidates (product_id) restrict what can be listed, not how scores are scaled.
+    candidates (product_id) restrict what can be listed, not how scores are scaled. Only users
+    with less than k unseen items of a score above zero meet unscored ones.
     """
     n_items = products.select("product_id").distinct().agg(F.count("*").alias("n"))
-    found, seen = scaled_scores(scores(cells, near), n_items), seen_items(cells)
+    found = scaled_scores(scores_and_seen(cells, near), n_items)
     if candidates is not None:
         products = products.join(candidates.select("product_id").distinct(), "product_id", "left_semi")
-        found = found.join(products.select("product_id"), "product_id", "left_semi")
-    return rank_topk(padded(found, seen, products, seen, k), k, exclude=seen)
+        found = found.join(F.broadcast(products.select("product_id")) if candidates.count() <= BROADCAST_ITEMS else products.select("product_id"), "product_id", "left_semi")
+    top = checkpointed(rank_topk(found.where("not seen"), k))
+    full = top.where(F.round("score", 9) > 0).groupBy("user_id").agg(F.count("*").alias("n")).where(F.col("n") >= k)
+    short = checkpointed(cells.select("user_id").distinct().join(full.select("user_id"), "user_id", "left_anti"))
+    if short.isEmpty():
+        return top
+    own = cells.join(short, "user_id", "left_semi")
+    seen, rest = seen_items(own), scaled_scores(scores(own, near), n_items)
+    if candidates is not None:
+        rest = rest.join(products.select("product_id"), "product_id", "left_semi")
+    padding = rank_topk(padded(rest, seen, products, seen, k), k, exclude=seen)
+    return top.join(short, "user_id", "left_anti").unionByName(padding)
 
 
 def similar(near: DataFrame, products: DataFrame, product_id: str, k: int = 10, exclude_self: bool = True) -> DataFrame:

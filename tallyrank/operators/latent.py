@@ -1,8 +1,10 @@
 """Truncated singular vectors of the user by item table, by block power iterations.
 
 The items' factor block is small (items times factors) and checked against a bound; each
-iteration ships it to the tasks, which multiply their users' rows with it and back, and
-adds up one vector per item. The scores of a user are its row times V times V transposed.
+iteration ships it to the tasks, which multiply their users' rows with it and back and
+add up whole blocks of items. The scores of a user are its row times V times V transposed, made for
+a chunk of users against all items by one matrix product; of the dense result only what is
+asked for leaves a task.
 """
 
 from __future__ import annotations
@@ -11,68 +13,119 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 FACTORS = 64
 ITERATIONS = 15
 OVERSAMPLE = 10
 #: Numbers in the factor block: half a gigabyte of doubles.
 MAX_BLOCK = 1 << 26
+#: So many items or fewer are solved exactly, by one pass with a block as wide as they are many.
+EXACT_ITEMS = 512
+#: Items of a block of partial sums, and numbers of a chunk of dense scores.
+BLOCK_ITEMS = 4096
+CHUNK_NUMBERS = 1 << 22
+
+
+def _checked(n_items: int, width: int) -> None:
+    if n_items * width > MAX_BLOCK:
+        raise ValueError(f"{n_items} items with {width} factors exceed the block of {MAX_BLOCK} numbers")
 
 
 def item_factors(cells: DataFrame, products: DataFrame | None = None, n_factors: int = FACTORS, iterations: int = ITERATIONS, seed: int = 42) -> pd.DataFrame:
     """product_id and factors (arrays) of the items that have cells, in order of id."""
-    ids = [r.product_id for r in cells.select("product_id").distinct().orderBy("product_id").collect()]
     n_users = cells.select("user_id").distinct().count()
-    n_items = products.select("product_id").distinct().count() if products is not None else len(ids)
+    items = cells.select("product_id").distinct()
+    n_own = items.count()
+    n_items = products.select("product_id").distinct().count() if products is not None else n_own
     f = min(n_factors, max(2, min(n_users, n_items) - 1))
-    width = min(f + OVERSAMPLE, max(1, len(ids)))
-    if len(ids) * width > MAX_BLOCK:
-        raise ValueError(f"{len(ids)} items with {width} factors exceed the block of {MAX_BLOCK} numbers")
-    if not ids:
+    width = min(f + OVERSAMPLE, max(1, n_own))
+    if n_own <= EXACT_ITEMS:
+        width, iterations = n_own, 0
+    _checked(n_own, width)
+    if not n_own:
         return pd.DataFrame({"product_id": [], "factors": []})
-    place = {p: i for i, p in enumerate(ids)}
+    ids = [r.product_id for r in items.orderBy("product_id").collect()]
     spark = cells.sparkSession
-    rows = cells.groupBy("user_id").agg(F.collect_list(F.struct("product_id", "value")).alias("row")).select("row").persist()
-    places = spark.sparkContext.broadcast(place)
+    places = spark.createDataFrame(list(zip(ids, range(n_own), strict=True)), "product_id string, i int")
+    rows = checkpointed(cells.join(places, "product_id").groupBy("user_id").agg(F.collect_list("i").alias("i"), F.collect_list("value").alias("v")).select("i", "v"))
 
     def gram(block: np.ndarray) -> np.ndarray:
         """X'X times block."""
         shipped = spark.sparkContext.broadcast(block)
 
-        def run(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            q, at = shipped.value, places.value
+        def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            q = shipped.value
             out = np.zeros_like(q)
             for part in parts:
-                for row in part["row"]:
-                    i = [at[x["product_id"]] for x in row]
-                    v = np.array([x["value"] for x in row])
-                    out[i] += np.outer(v, v @ q[i])
-            yield pd.DataFrame({"i": np.arange(len(q)), "y": list(out)})
-
-        summed = rows.mapInPandas(run, "i int, y array<double>").select("i", F.posexplode("y").alias("c", "y")).groupBy("i", "c").agg(F.sum("y").alias("y"))
-        found = summed.toPandas()
+                lists, values = part.column("i"), part.column("v")
+                at, flat_i, flat_v = np.asarray(lists.offsets), np.asarray(lists.values), np.asarray(values.values)
+                for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    i, v = flat_i[a:b], flat_v[a:b]
+                    out[i] += np.outer(v, v @ q[i])  # a user's items are distinct
+            for b in range(0, len(q), BLOCK_ITEMS):
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([out[b : b + BLOCK_ITEMS].tobytes()], pa.binary())], ["b", "y"])
+
+        def add(part: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"b": part["b"].iloc[:1], "y": [sum(np.frombuffer(y) for y in part["y"]).tobytes()]})
+
+        found = rows.mapInArrow(run, "b int, y binary").groupBy("b").applyInPandas(add, "b int, y binary").collect()
         shipped.unpersist()
-        out = np.zeros_like(block)
-        out[found["i"], found["c"]] = found["y"]
-        return out
+        return np.concatenate([np.frombuffer(r.y) for r in sorted(found, key=lambda r: r.b)]).reshape(block.shape)
 
-    block = np.linalg.qr(np.random.default_rng(seed).normal(size=(len(ids), width)))[0]
+    block = np.linalg.qr(np.random.default_rng(seed).normal(size=(n_own, width)))[0]
     for _ in range(iterations):
         block = np.linalg.qr(gram(block))[0]
     small = block.T @ gram(block)
     values, vectors = np.linalg.eigh((small + small.T) / 2)
     best = np.argsort(-values)[:f]
-    rows.unpersist()
     return pd.DataFrame({"product_id": ids, "factors": (block @ vectors[:, best]).tolist()})
 
 
+def factor_block(factors: DataFrame) -> tuple[list[str], np.ndarray]:
+    """The items with factors in order of id, and their factors: bounded by MAX_BLOCK numbers."""
+    width = factors.agg(F.max(F.size("factors"))).first()[0] or 0
+    _checked(factors.count(), width)
+    found = factors.select("product_id", "factors").orderBy("product_id").collect()
+    return [r.product_id for r in found], np.array([r.factors for r in found], float).reshape(len(found), width)
+
+
+def user_rows(cells: DataFrame, ids: list[str]) -> DataFrame:
+    """(user_id, i, v): each user's cells with items as places in ids; a user without such items has empty lists."""
+    places = cells.sparkSession.createDataFrame(list(zip(ids, range(len(ids)), strict=True)), "product_id string, i int")
+    return cells.join(places, "product_id", "left").groupBy("user_id").agg(F.collect_list(F.when(F.col("i").isNotNull(), F.struct("i", "value"))).alias("c")).select("user_id", F.col("c.i").alias("i"), F.col("c.value").alias("v"))
+
+
+def projections(batch: pa.RecordBatch, block: np.ndarray, first: int, last: int) -> np.ndarray:
+    """Rows first to last of the users' cells (i, v) times the block."""
+    lists, values = batch.column("i"), batch.column("v")
+    at, flat_i, flat_v = np.asarray(lists.offsets), np.asarray(lists.values), np.asarray(values.values)
+    out = np.zeros((last - first, block.shape[1]))
+    for n, (a, b) in enumerate(zip(at[first:last].tolist(), at[first + 1 : last + 1].tolist(), strict=True)):
+        out[n] = flat_v[a:b] @ block[flat_i[a:b]]
+    return out
+
+
 def scores(cells: DataFrame, factors: DataFrame) -> DataFrame:
     """(user_id, product_id, score) of each user with cells and each item with factors: dense."""
-    long = factors.select("product_id", F.posexplode("factors").alias("c", "v"))
-    users = cells.join(long, "product_id").groupBy("user_id", "c").agg(F.sum(F.col("value") * F.col("v")).alias("u"))
-    return users.join(long, "c").groupBy("user_id", "product_id").agg(F.sum(F.col("u") * F.col("v")).alias("score"))
+    ids, block = factor_block(factors)
+    shipped = cells.sparkSession.sparkContext.broadcast((ids, block))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, v = shipped.value
+        step = max(1, CHUNK_NUMBERS // max(1, len(names)))
+        for batch in batches:
+            for a in range(0, batch.num_rows, step):
+                b = min(a + step, batch.num_rows)
+                dense = projections(batch, v, a, b) @ v.T
+                who = batch.column("user_id").slice(a, b - a).take(pa.array(np.repeat(np.arange(b - a), len(names))))
+                yield pa.RecordBatch.from_arrays([who, pa.array(names * (b - a), pa.string()), pa.array(dense.ravel())], ["user_id", "product_id", "score"])
+
+    return user_rows(cells, ids).mapInArrow(run, "user_id string, product_id string, score double")
 
 
 def explained(cells: DataFrame, factors: DataFrame) -> float:

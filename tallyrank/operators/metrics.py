@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 EPS = 1e-12
 MAX_LISTS = 200
 
@@ -61,8 +63,13 @@ def personalisation(recs: DataFrame, ks: Sequence[int], most: int = MAX_LISTS) -
     numbered by counting ranges, so only the chosen ones are brought together.
     """
     lists = _at(recs, ks).groupBy("k", "user_id").agg(F.collect_set("product_id").alias("items"), F.count("*").alias("n")).where("n > 1")
-    sizes = lists.groupBy("k").agg(F.count("*").alias("n_lists"))
-    numbered = lists.withColumn("nth", F.row_number().over(Window.partitionBy("k").orderBy("user_id"))).join(F.broadcast(sizes), "k")
+    # Numbered by ranges of (k, user_id): a count within each range, moved up by the ranges before it.
+    ranged = checkpointed(lists.repartitionByRange("k", "user_id").withColumn("part", F.spark_partition_id()))
+    inner = ranged.withColumn("in_part", F.row_number().over(Window.partitionBy("k", "part").orderBy("user_id")))
+    counts = ranged.groupBy("k", "part").agg(F.count("*").alias("n_part"))
+    before = counts.withColumn("before", F.coalesce(F.sum("n_part").over(Window.partitionBy("k").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row for each partition
+    sizes = counts.groupBy("k").agg(F.sum("n_part").alias("n_lists"))
+    numbered = inner.join(F.broadcast(before), ["k", "part"]).withColumn("nth", F.col("in_part") + F.col("before")).join(F.broadcast(sizes), "k")  # a row for each k
     step = F.greatest(F.lit(1), F.floor(F.col("n_lists") / most))
     chosen = numbered.where((F.pmod(F.col("nth") - 1, step) == 0) & ((F.col("nth") - 1) / step < most)).select("k", "nth", "items")
     a, b = chosen.select("k", F.col("nth").alias("i"), F.col("items").alias("x")), chosen.select("k", F.col("nth").alias("j"), F.col("items").alias("y"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,11 +20,27 @@ from .evaluate import evaluate
 STRATEGIES = ("content", "collaborative", "popularity", "hybrid")
 
 
-def fusion_params(best: dict | None = None) -> dict[str, float]:
-    """Weights of the hybrid; popularity takes what content and collaborative leave."""
-    best = best or {}
-    c, k = float(best.get("content_weight", 0.4)), float(best.get("collab_weight", 0.5))
-    return {"content_weight": c, "collab_weight": k, "popularity_weight": max(0.0, 1 - c - k), "knn_weight": float(best.get("knn_weight", 0.5))}
+@dataclass(frozen=True)
+class FusionWeights:
+    """Shares of the hybrid's members, and of the neighbours within the collaborative one."""
+
+    content: float = 0.4
+    collab: float = 0.5
+    knn: float = 0.5
+
+    @property
+    def popularity(self) -> float:
+        """What the other two leave."""
+        return max(0.0, 1 - self.content - self.collab)
+
+    @classmethod
+    def of_trial(cls, trial: dict) -> FusionWeights:
+        given = {f.name: trial.get(f"{f.name}_weight") for f in fields(cls)}
+        return cls(**{name: float(x) for name, x in given.items() if x is not None})
+
+    def as_params(self) -> dict[str, float]:
+        """How an artifact stores them."""
+        return {f"{name}_weight": getattr(self, name) for name in ("content", "collab", "popularity", "knn")}
 
 
 class Fitted:
@@ -78,10 +95,7 @@ def tune(split: TemporalSplit, fitted: Fitted) -> DataFrame:
     """
     spark = fitted.cells.sparkSession
     trials = tuning.grid(spark)
-    collab = None
-    for w in tuning.KNN_WEIGHTS:
-        part = fitted.collaborative(hybrid.DEPTH, w).withColumn("knn_weight", F.lit(w))
-        collab = part if collab is None else collab.unionByName(part)
+    collab = checkpointed(hybrid.collaborative_variants(fitted.cells, fitted.products, fitted.near, fitted.factors, hybrid.DEPTH, tuning.KNN_WEIGHTS))
     recs = checkpointed(tuning.trial_recommendations(trials, fitted.recommend("content", hybrid.DEPTH), collab, fitted.recommend("popularity", hybrid.DEPTH)))
     named = segments(split.train_counts).where("segment in ('all', 'cold_start')")
     scored = tuning.score_trials(recs, split.truth("val"), named, fitted.products, fitted.settings.tuning_coverage_weight)
@@ -96,7 +110,7 @@ def train(spark: SparkSession, store: Store, artifacts: ArtifactStore, settings:
         raise RuntimeError("the store holds no products or no events: insert them first")
     split = temporal_split(events, settings.eval_holdout_per_user + settings.tuning_val_size, settings.tuning_val_size)
     item_features = checkpointed(features.item_features(products))
-    held = fit(split.train, products, settings, fusion_params(), item_features)
+    held = fit(split.train, products, settings, FusionWeights().as_params(), item_features)
     best: dict = {}
     if tune_weights:
         trials = [r.asDict() for r in tune(split, held).limit(15).collect()]
@@ -105,7 +119,7 @@ def train(spark: SparkSession, store: Store, artifacts: ArtifactStore, settings:
         base = evaluate({"collaborative": baseline}, split.truth("val"), segments(split.train_counts).where("segment = 'all'"), products, interactions.popularity_share(held.cells), [10]).first()
         lift = tuning.lift(best.get("ndcg") or 0.0, base.ndcg if base else 0.0)
         artifacts.save_json("tuning.json", {"best": best, "top_trials": trials, "baseline_ndcg": base.ndcg if base else None, "baseline_coverage": base.coverage if base else None, "ndcg_lift": lift, "grid": {"content_weight": tuning.CONTENT_WEIGHTS, "collab_weight": tuning.COLLAB_WEIGHTS, "knn_weight": tuning.KNN_WEIGHTS}})
-    params = fusion_params(best)
+    params = FusionWeights.of_trial(best).as_params()
     held.params = params
     version = data_fingerprint(products, events).first().fingerprint
     most = max(settings.eval_top_k)

@@ -379,6 +379,18 @@ def collaborative_recs(w: Workspace) -> DataFrame:
     return rounded(hybrid.recommend_collaborative(w.models.cells, w.products, w.models.near, _factors(w), 10), "score")
 
 
+@query("SELECT user_id, product_id, round(score, 6) AS score FROM m_lraw")
+def svd_scores_2f(w: Workspace) -> DataFrame:
+    """svd_scores with two factors, which SQL can find by squaring."""
+    return rounded(latent.scores(w.models.cells, w.models.two_factors), "score")
+
+
+@query("SELECT user_id, product_id, round(score, 6) AS score, rank::INT AS rank FROM m_brecs WHERE n = 0.5 AND rank <= 10")
+def collaborative_recs_2f(w: Workspace) -> DataFrame:
+    """collaborative_recs with two factors."""
+    return rounded(w.models.blends(10).drop("knn_weight"), "score")
+
+
 def _members(w: Workspace) -> list[tuple[float, DataFrame]]:
     m = w.models
     return [(0.4, m.member("content")), (0.5, m.member("collaborative")), (0.1, m.member("popularity"))]
@@ -524,6 +536,29 @@ def tuning_objective(w: Workspace) -> DataFrame:
     return rounded(w.trial_scores.select("trial", "objective"), "objective")
 
 
+@query(f"SELECT trial::INT AS trial, c AS content_weight, k AS collab_weight, n AS knn_weight, round(objective, 6) AS objective, round(ndcg, 6) AS ndcg, round(coverage, 6) AS coverage FROM ({_SCORED.replace('tuser', 't3user').replace('trecs', 't3recs')}) JOIN trials3 USING (trial)")
+def tuning_grid_full(w: Workspace) -> DataFrame:
+    """All 63 trials; the collaborative member with two latent factors."""
+    columns = ["objective", "ndcg", "coverage"]
+    return rounded(w.full_trial_scores.select("trial", "content_weight", "collab_weight", "knn_weight", *columns), *columns)
+
+
+@query("SELECT split_part(u.user_id, '#', 1) AS model, segment, k, count(*)::BIGINT AS n_users, " + ", ".join(f'round(avg("{c}"), 6) AS "{c}"' for c in _METRICS) + " FROM evuser u JOIN t_seg s ON split_part(u.user_id, '#', 2) = s.user_id GROUP BY ALL")
+def eval_models(w: Workspace) -> DataFrame:
+    """Four models over the split of the events table; the collaborative one, and the hybrid's member, with two latent factors."""
+    from ..plans.evaluate import summarise
+
+    m, s = w.tuning_models, w.tuning_split
+    blend = m.blends(100).drop("knn_weight")
+    fused = hybrid.recommend_rrf([(0.4, m.member("content")), (0.5, blend), (0.1, m.member("popularity"))], 20)
+    lists = {"content": m.member("content").where("rank <= 20"), "collaborative": blend.where("rank <= 20"), "popularity": m.member("popularity").where("rank <= 20"), "hybrid": fused}
+    found = None
+    for name, recs in lists.items():
+        part = summarise(name, recs, s.truth(), segments(s.train_counts), KS)
+        found = part if found is None else found.unionByName(part)
+    return rounded(found, *_METRICS)
+
+
 @query()
 def live_profile_batch(w: Workspace) -> DataFrame:
     """Profiles of everyone after all that they did, folded event by event from nothing."""

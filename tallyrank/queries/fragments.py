@@ -70,6 +70,30 @@ def _models(cells: str, p: str) -> dict[str, str]:
     }
 
 
+SQUARINGS = 20
+
+
+def _latent(cells: str, p: str) -> dict[str, str]:
+    """The two largest singular vectors, from high powers of X'X by repeated squaring, and the blends of their scores with the neighbours'."""
+    out = {f"{p}_g0": f"SELECT a.product_id AS i, b.product_id AS j, sum(a.value * b.value) AS v FROM {cells} a JOIN {cells} b USING (user_id) GROUP BY ALL"}
+    for g in ("g", "h"):
+        for n in range(SQUARINGS):
+            out[f"{p}_{g}{n + 1}"] = f"SELECT a.i, b.j, sum(a.v * b.v) / (SELECT sum(v * v) FROM {p}_{g}{n}) AS v FROM {p}_{g}{n} a JOIN {p}_{g}{n} b ON a.j = b.i GROUP BY a.i, b.j"
+        top = f"{p}_{g}{SQUARINGS}"
+        out[f"{p}_v{g}"] = f"SELECT i, v / sqrt(sum(v * v) OVER ()) AS x FROM {top} WHERE j = (SELECT i FROM {top} WHERE i = j ORDER BY v DESC, i LIMIT 1)"
+        if g == "g":
+            out[f"{p}_first"] = f"SELECT sum(a.x * g.v * b.x) AS size FROM {p}_g0 g JOIN {p}_vg a ON a.i = g.i JOIN {p}_vg b ON b.i = g.j"
+            out[f"{p}_h0"] = f"SELECT a.i, b.i AS j, coalesce(g.v, 0) - size * a.x * b.x AS v FROM {p}_first, {p}_vg a CROSS JOIN {p}_vg b LEFT JOIN {p}_g0 g ON g.i = a.i AND g.j = b.i"
+    out[f"{p}_coef"] = f"SELECT user_id, sum(value * a.x) AS c1, sum(value * b.x) AS c2 FROM {cells} JOIN {p}_vg a ON a.i = product_id JOIN {p}_vh b ON b.i = product_id GROUP BY user_id"
+    out[f"{p}_lraw"] = f"SELECT user_id, a.i AS product_id, c1 * a.x + c2 * b.x AS score FROM {p}_coef, {p}_vg a JOIN {p}_vh b ON a.i = b.i"
+    out[f"{p}_ldense"] = f"SELECT user_id, product_id, seen, coalesce(score, 0) AS raw FROM {p}_grid LEFT JOIN {p}_lraw USING (user_id, product_id)"
+    out[f"{p}_lscore"] = f"SELECT user_id, product_id, CASE WHEN max(raw) OVER w - min(raw) OVER w > 1e-12 THEN (raw - min(raw) OVER w) / (max(raw) OVER w - min(raw) OVER w) ELSE 0 END AS latent FROM {p}_ldense WINDOW w AS (PARTITION BY user_id)"
+    out[f"{p}_brecs"] = f"""
+  SELECT n, user_id, product_id, score, row_number() OVER (PARTITION BY n, user_id ORDER BY round(score, 9) DESC, product_id) AS rank FROM (
+    SELECT n, user_id, product_id, n * score + (1 - n) * latent AS score FROM {p}_kscore JOIN {p}_lscore USING (user_id, product_id), (SELECT unnest([0.3, 0.5, 0.7]::DOUBLE[]) AS n) WHERE NOT seen) QUALIFY rank <= 100"""
+    return out
+
+
 def _clean(x: str) -> str:
     return f"trim(regexp_replace(lower(coalesce({x}, '')), '[^a-z0-9]+', ' ', 'g'))"
 
@@ -139,6 +163,8 @@ FRAGMENTS: dict[str, str] = {
     **_split("ev", 7, 2, "t"),
     **_models("s_cells", "sm"),
     **_models("t_cells", "tm"),
+    **_latent("im", "m"),
+    **_latent("t_cells", "tm"),
     "fused": "SELECT user_id, product_id, sum(w / (60 + rank)) AS score FROM (SELECT 0.4 AS w, user_id, product_id, rank FROM m_crecs WHERE rank <= 100 UNION ALL SELECT 0.5, user_id, product_id, rank FROM m_krecs WHERE rank <= 100 UNION ALL SELECT 0.1, user_id, product_id, rank FROM m_poprecs WHERE rank <= 100) GROUP BY ALL",
     "krecs20": "SELECT * FROM sm_krecs WHERE rank <= 20",
     "precs20": "SELECT * FROM sm_poprecs WHERE rank <= 20",
@@ -154,6 +180,23 @@ FRAGMENTS: dict[str, str] = {
     "trecs": "SELECT trial, user_id || '#' || trial AS user_id, user_id AS person, product_id, score, row_number() OVER (PARTITION BY trial, user_id ORDER BY round(score, 9) DESC, product_id) AS rank FROM tfused QUALIFY rank <= 10",
     "ttruth": "SELECT user_id || '#' || trial AS user_id, product_id FROM t_val, trials",
     "tuser": _per_user("trecs", "ttruth", "10"),
+    "trials3": """
+  SELECT c, k, n, row_number() OVER (ORDER BY c, k, n) AS trial FROM (SELECT unnest([0.0, 0.2, 0.3, 0.4, 0.5, 0.6]::DOUBLE[]) AS c), (SELECT unnest([0.3, 0.4, 0.5, 0.6, 0.7, 0.8]::DOUBLE[]) AS k), (SELECT unnest([0.3, 0.5, 0.7]::DOUBLE[]) AS n) WHERE round(c + k, 9) < 1""",
+    "t3fused": """
+  SELECT trial, user_id, product_id, sum(CASE m WHEN 'c' THEN c WHEN 'k' THEN k ELSE greatest(0, 1 - c - k) END / (60 + rank)) AS score FROM trials3 JOIN (
+    SELECT 'c' AS m, NULL::DOUBLE AS w, user_id, product_id, rank FROM tm_crecs WHERE rank <= 100 UNION ALL SELECT 'k', n, user_id, product_id, rank FROM tm_brecs
+    UNION ALL SELECT 'p', NULL, user_id, product_id, rank FROM tm_poprecs WHERE rank <= 100) ON (m <> 'c' OR c > 0) AND (m <> 'k' OR w = n)
+  WHERE user_id IN (SELECT user_id FROM t_val) GROUP BY ALL""",
+    "t3recs": "SELECT trial, user_id || '#' || trial AS user_id, user_id AS person, product_id, score, row_number() OVER (PARTITION BY trial, user_id ORDER BY round(score, 9) DESC, product_id) AS rank FROM t3fused QUALIFY rank <= 10",
+    "t3truth": "SELECT user_id || '#' || trial AS user_id, product_id FROM t_val, trials3",
+    "t3user": _per_user("t3recs", "t3truth", "10"),
+    "thfused": "SELECT user_id, product_id, sum(w / (60 + rank)) AS score FROM (SELECT 0.4 AS w, user_id, product_id, rank FROM tm_crecs WHERE rank <= 100 UNION ALL SELECT 0.5, user_id, product_id, rank FROM tm_brecs WHERE n = 0.5 UNION ALL SELECT 0.1, user_id, product_id, rank FROM tm_poprecs WHERE rank <= 100) GROUP BY ALL",
+    "evrecs": """
+  SELECT 'content#' || user_id AS user_id, product_id, rank FROM tm_crecs WHERE rank <= 20 UNION ALL SELECT 'collaborative#' || user_id, product_id, rank FROM tm_brecs WHERE n = 0.5 AND rank <= 20
+  UNION ALL SELECT 'popularity#' || user_id, product_id, rank FROM tm_poprecs WHERE rank <= 20
+  UNION ALL SELECT 'hybrid#' || user_id, product_id, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, product_id) AS rank FROM thfused QUALIFY rank <= 20""",
+    "evtruth": "SELECT m || '#' || user_id AS user_id, product_id FROM t_test, (SELECT unnest(['content', 'collaborative', 'popularity', 'hybrid']) AS m)",
+    "evuser": _per_user("evrecs", "evtruth"),
 }
 
 

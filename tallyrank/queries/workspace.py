@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import content, features, interactions, knn, popularity
+from ..operators import content, features, hybrid, interactions, knn, latent, popularity
 from ..operators.split import TemporalSplit, segments, temporal_split
 from ..plans import tuning
 from ..session import checkpointed
@@ -39,6 +39,18 @@ class Models:
     def near(self) -> DataFrame:
         return self.work.keep(knn.neighbours(knn.similarity(self.cells)))
 
+    @cached_property
+    def two_factors(self) -> DataFrame:
+        """What SQL can follow of the latent part: the two largest singular vectors. The default is latent.FACTORS."""
+        made = latent.item_factors(self.cells, self.work.products, 2)
+        return self.work.keep(self.work.spark.createDataFrame(made, "product_id string, factors array<double>"))
+
+    def blends(self, k: int, weights: tuple[float, ...] = (0.5,)) -> DataFrame:
+        """Collaborative lists with the latent part, one for each neighbour weight."""
+        if ("blends", k, weights) not in self.lists:
+            self.lists["blends", k, weights] = self.work.keep(hybrid.collaborative_variants(self.cells, self.work.products, self.near, self.two_factors, k, weights))
+        return self.lists["blends", k, weights]
+
     @cached_property
     def cosines(self) -> DataFrame:
         return self.work.keep(content.seen_cosines(self.cells, self.work.features))
@@ -123,6 +135,15 @@ class Workspace:
         named = segments(s.train_counts).where("segment in ('all', 'cold_start')")
         return self.keep(trials.join(tuning.score_trials(recs, s.truth("val"), named, self.products), "trial"))
 
+    @cached_property
+    def full_trial_scores(self) -> DataFrame:
+        """All trials of the grid, with the latent part in the collaborative member."""
+        m, s = self.tuning_models, self.tuning_split
+        trials = tuning.grid(self.spark)
+        recs = self.keep(tuning.trial_recommendations(trials, m.member("content"), m.blends(100, tuning.KNN_WEIGHTS), m.member("popularity")))
+        named = segments(s.train_counts).where("segment in ('all', 'cold_start')")
+        return self.keep(trials.join(tuning.score_trials(recs, s.truth("val"), named, self.products), "trial"))
+
     def _kept_split(self, s: TemporalSplit) -> TemporalSplit:
         return TemporalSplit(*(self.keep(df) for df in (s.train, s.val, s.test, s.train_counts)))
 

@@ -269,3 +269,58 @@ def test_embedding_search(spark, tile, monkeypatch):
         want = sorted((-cosine[q, v], v) for v in range(40) if v != q)[:4]
         assert [round(c, 5) for _, _, c in own] == pytest.approx([-w for w, _ in want], abs=2e-5) and [n for n, _, _ in own] == [1, 2, 3, 4]
     assert features.embedding_topk(vectors.limit(0), 3).count() == 0
+
+
+@pytest.mark.parametrize("weights", [(0.5,), (0.3, 0.9)])
+def test_collaborative_blend_matches_numpy(spark, world, weights, monkeypatch):
+    monkeypatch.setattr(latent, "CHUNK_NUMBERS", 500)
+    p, _, cells = world
+    near = knn.neighbours(knn.similarity(cells), 6)
+    factors = spark.createDataFrame(latent.item_factors(cells, p, n_factors=4), "product_id string, factors array<double>")
+    ids = sorted(r.product_id for r in p.collect())
+    users, items, m = dense(cells)
+    v = np.linalg.svd(m)[2][:4].T
+    hidden, raw, seen = np.zeros((len(users), len(ids))), np.zeros((len(users), len(ids))), np.zeros((len(users), len(ids)), bool)
+    hidden[:, [ids.index(i) for i in items]] = m @ v @ v.T
+    for r in knn.scores(cells, near).collect():
+        raw[users.index(r.user_id), ids.index(r.product_id)] = r.score
+    for r in cells.collect():
+        seen[users.index(r.user_id), ids.index(r.product_id)] = True
+    unit = lambda x: (x - x.min(axis=1, keepdims=True)) / np.maximum(x.max(axis=1, keepdims=True) - x.min(axis=1, keepdims=True), 1e-300)
+    got = hybrid.collaborative_variants(cells, p, near, factors, 12, weights).collect()
+    for w in weights:
+        total = w * unit(raw) + (1 - w) * unit(hidden)
+        for n, u in enumerate(users):
+            own = sorted((r.rank, r.product_id, r.score) for r in got if r.user_id == u and r.knn_weight == w)
+            order = sorted((-round(total[n, i], 6), ids[i]) for i in range(len(ids)) if not seen[n, i])[:12]
+            assert [r for r, _, _ in own] == list(range(1, 13)) and [round(s, 6) for _, _, s in own] == pytest.approx([-s for s, _ in order], abs=2e-6)
+    full = hybrid.collaborative_scores(cells, p, near, factors, 0.5)
+    assert full.count() == len(users) * len(ids) and full.columns == ["user_id", "product_id", "score"]
+
+
+def test_exact_and_iterated_factors_agree(spark, world, monkeypatch):
+    p, _, cells = world
+    exact = latent.item_factors(cells, p, n_factors=3)
+    monkeypatch.setattr(latent, "EXACT_ITEMS", 0)
+    monkeypatch.setattr(latent, "BLOCK_ITEMS", 16)
+    found = latent.item_factors(cells, p, n_factors=3, iterations=60)
+    a, b = np.array(exact["factors"].tolist()), np.array(found["factors"].tolist())
+    assert list(exact["product_id"]) == list(found["product_id"]) and np.allclose(a @ a.T, b @ b.T, atol=1e-4)
+    monkeypatch.setattr(latent, "MAX_BLOCK", 100)
+    with pytest.raises(ValueError):
+        latent.item_factors(cells, p)
+
+
+def test_users_with_few_scores_are_padded_and_others_are_not(spark):
+    """u1 has one neighbour to be told of, u2 none, u3 plenty."""
+    cells = spark.createDataFrame([("u1", "p00", 1.0), ("u2", "p09", 2.0), ("u3", "p01", 1.0), ("u3", "p02", 1.0)], "user_id string, product_id string, value double")
+    near = spark.createDataFrame([("p00", "p05", 0.5)] + [("p01", f"p{i:02d}", 0.1 * i) for i in range(3, 8)], "i string, j string, sim double")
+    products = spark.createDataFrame([(f"p{i:02d}",) for i in range(10)], "product_id string")
+    got = {}
+    for r in knn.recommend(cells, products, near, 4).collect():
+        got.setdefault(r.user_id, []).append((r.rank, r.product_id, round(r.score, 6)))
+    assert sorted(got["u1"]) == [(1, "p05", 1.0), (2, "p01", 0.0), (3, "p02", 0.0), (4, "p03", 0.0)]
+    assert sorted(got["u2"]) == [(1, "p00", 0.0), (2, "p01", 0.0), (3, "p02", 0.0), (4, "p03", 0.0)]
+    assert [p for _, p, _ in sorted(got["u3"])] == ["p07", "p06", "p05", "p04"]
+    some = products.where("product_id in ('p03', 'p05', 'p08')")
+    assert {r.user_id: r.n for r in knn.recommend(cells, products, near, 4, some).groupBy("user_id").agg(F.count("*").alias("n")).collect()} == {"u1": 3, "u2": 3, "u3": 3}
