@@ -67,6 +67,13 @@ def facets(products: DataFrame) -> DataFrame:
     return values.unionByName(ends)
 
 
+def finite(rows: DataFrame) -> DataFrame:
+    """rows with null for every number that is none: NaN and both infinities, as replies can't carry them."""
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    ends = (float("inf"), float("-inf"))
+    return rows.select(*(F.when(~F.isnan(c) & ~F.col(c).isin(*ends), F.col(c)).alias(c) if kind in ("double", "float") else F.col(c) for c, kind in kinds.items()))
+
+
 def hydrate(ranked: DataFrame, products: DataFrame, cells: DataFrame) -> DataFrame:
     """ranked (user_id, product_id, score, rank) with the products' columns and share of popularity; unknown ids go."""
     met = ranked.join(products, "product_id").join(popularity_share(cells), "product_id", "left")

@@ -6,7 +6,7 @@ one-hot, and standardised numbers. All are aggregates of Column expressions.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -102,6 +102,22 @@ def vector_for(features: DataFrame, product_id: str) -> DataFrame:
     return own
 
 
+def vectors_for(features: DataFrame, product_ids: Sequence[str]) -> DataFrame:
+    """(product_id, feature, value) of the items named; KeyError for the first that has none."""
+    own = features.where(F.col("product_id").isin(list(product_ids)))
+    known = {r.product_id for r in own.select("product_id").distinct().collect()}  # at most those asked for
+    for p in product_ids:
+        if p not in known:
+            raise KeyError(p)
+    return own
+
+
+def feature_counts(features: DataFrame) -> DataFrame:
+    """One row: n_items with features, and n_features, the words and character n-grams in use."""
+    text = F.col("feature").startswith("word:") | F.col("feature").startswith("char:")
+    return features.agg(F.count_distinct("product_id").alias("n_items"), F.count_distinct(F.when(text, F.col("feature"))).alias("n_features"))
+
+
 def item_cosine(features: DataFrame, items: DataFrame | None = None) -> DataFrame:
     """(i, j, cos) of every item i with the items j (all, or those named): feature rows are unit rows.
 

@@ -34,6 +34,12 @@ def interaction_matrix(events: DataFrame, products: DataFrame | None = None, use
     return cells.select("user_id", "product_id", F.log1p("value").alias("value"))
 
 
+def interaction_frame(cells: DataFrame, halflife_days: float = 30.0, reference=None) -> DataFrame:
+    """cells beside how they were made: (user_id, product_id, value, halflife_days, reference_time)."""
+    when = F.lit(reference).cast("timestamp") if reference is not None else F.current_timestamp()
+    return cells.select("user_id", "product_id", "value", F.lit(float(halflife_days)).alias("halflife_days"), when.alias("reference_time"))
+
+
 def seen_items(cells: DataFrame) -> DataFrame:
     return cells.select("user_id", "product_id").distinct()
 

@@ -128,6 +128,12 @@ def scores(cells: DataFrame, factors: DataFrame) -> DataFrame:
     return user_rows(cells, ids).mapInArrow(run, "user_id string, product_id string, score double")
 
 
+def explain(cells: DataFrame, factors: DataFrame, near: DataFrame) -> DataFrame:
+    """One row: explained_variance (see explained), n_factors, and knn_nnz, the entries of the neighbour table."""
+    width = factors.agg(F.coalesce(F.max(F.size("factors")), F.lit(0)).alias("n_factors"))
+    return width.crossJoin(F.broadcast(near.agg(F.count("*").alias("knn_nnz")))).select(F.lit(float(explained(cells, factors))).alias("explained_variance"), "n_factors", "knn_nnz")  # one row each
+
+
 def explained(cells: DataFrame, factors: DataFrame) -> float:
     """The share of the table's squared values that the factors keep."""
     whole = cells.agg(F.sum(F.col("value") * F.col("value"))).first()[0] or 0.0

@@ -98,6 +98,9 @@ def tune(split: TemporalSplit, fitted: Fitted) -> DataFrame:
     collab = checkpointed(hybrid.collaborative_variants(fitted.cells, fitted.products, fitted.near, fitted.factors, hybrid.DEPTH, tuning.KNN_WEIGHTS))
     recs = checkpointed(tuning.trial_recommendations(trials, fitted.recommend("content", hybrid.DEPTH), collab, fitted.recommend("popularity", hybrid.DEPTH)))
     named = segments(split.train_counts).where("segment in ('all', 'cold_start')")
+    s = fitted.settings
+    if s.tuning_max_users is not None:
+        named = named.join(tuning.sample_users(split.truth("val"), s.tuning_max_users, s.tuning_seed), "user_id", "left_semi")
     scored = tuning.score_trials(recs, split.truth("val"), named, fitted.products, fitted.settings.tuning_coverage_weight)
     return trials.join(scored, "trial").orderBy(F.desc("objective"), "trial")
 

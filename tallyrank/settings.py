@@ -15,7 +15,8 @@ class Settings:
     eval_top_k: tuple[int, ...] = (5, 10, 20)
     eval_holdout_per_user: int = 5
     tuning_val_size: int = 2
-    tuning_max_users: int = 300
+    #: None: all users with validation items, which one job covers; a number: that many by a seeded hash.
+    tuning_max_users: int | None = None
     tuning_seed: int = 7
     tuning_coverage_weight: float = 0.05
     default_top_k: int = 10
@@ -27,5 +28,5 @@ class Settings:
         for f in fields(cls):
             text = os.environ.get(f.name.upper())
             if text is not None:
-                found[f.name] = tuple(map(int, text.split(","))) if f.name == "eval_top_k" else type(f.default)(text)
+                found[f.name] = tuple(map(int, text.split(","))) if f.name == "eval_top_k" else int(text) if f.default is None else type(f.default)(text)
         return cls(**found)

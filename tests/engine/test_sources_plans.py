@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from tallyrank import session
 from tallyrank.files import Folder
-from tallyrank.operators import content, features
+from tallyrank.operators import catalog, content, features, interactions
 from tallyrank.operators.catalog import CatalogFilters
 from tallyrank.plans.artifacts import ArtifactStore
 from tallyrank.plans.service import ModelNotReadyError, Request, Service
-from tallyrank.plans.train import train
+from tallyrank.plans.train import FusionWeights, train
 from tallyrank.settings import Settings
 from tallyrank.sources import adapters
 from tallyrank.sources.schemas import EVENT, PRODUCT, conform
@@ -178,3 +178,62 @@ def test_windowed_counts(spark, tmp_path):
     q = profiles.windowed_counts(profiles.event_stream(spark, f"{tmp_path}/e")).writeStream.outputMode("complete").format("memory").queryName("counts").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.sql("select sum(n) n from counts").first().n == events.count()
+
+
+def test_replies_hold_no_number_that_is_none(spark):
+    rows = spark.createDataFrame([("a", float("nan"), 1), ("b", float("inf"), 2), ("c", 1.5, None), ("d", None, 4)], "p string, x double, n int")
+    assert [(r.x, r.n) for r in catalog.finite(rows).orderBy("p").collect()] == [(None, 1), (None, 2), (1.5, None), (None, 4)]
+
+
+def test_retrain_reports_its_state(spark, tmp_path):
+    service = Service(spark, Store(spark, f"file://{tmp_path}/s"), ArtifactStore(spark, f"file://{tmp_path}/a"), Settings())
+    assert service.train_status()["status"] == "idle" and service.health() == {"status": "degraded", "store": True, "model": False}
+    assert service.retrain(background=False)["status"] == "failed" and "holds no products" in service.train_status()["message"]
+    service._training.acquire()
+    assert "already in progress" in service.retrain()["message"]
+    service._training.release()
+
+
+def test_service_tells_what_it_holds(trained):
+    service, _ = trained
+    info = service.model_info()
+    assert info["n_factors"] == 8 and info["knn_nnz"] > 0 and 0 < info["explained_variance"] <= 1 and service.health()["status"] == "ok"
+
+
+def test_frames_and_vectors(spark):
+    cells = spark.createDataFrame([("u", "p", 1.0)], "user_id string, product_id string, value double")
+    assert tuple(interactions.interaction_frame(cells, 7, "2026-01-01 00:00:00").first())[:4] == ("u", "p", 1.0, 7.0)
+    rows = spark.createDataFrame([("a", "word:x", 0.6), ("a", "numeric:y", 0.8), ("b", "char:z", 1.0)], "product_id string, feature string, value double")
+    assert features.vectors_for(rows, ["a"]).count() == 2 and tuple(features.feature_counts(rows).first()) == (2, 2)
+    with pytest.raises(KeyError):
+        features.vectors_for(rows, ["a", "nope"])
+
+
+def test_fusion_weights():
+    assert FusionWeights().as_params() == {"content_weight": 0.4, "collab_weight": 0.5, "popularity_weight": pytest.approx(0.1), "knn_weight": 0.5}
+    assert FusionWeights.of_trial({"content_weight": 0.6, "collab_weight": 0.7, "ndcg": 1}).popularity == 0
+
+
+def test_settings_from_environment(monkeypatch):
+    monkeypatch.setenv("TUNING_MAX_USERS", "12")
+    monkeypatch.setenv("EVAL_TOP_K", "3,4")
+    s = Settings.from_env()
+    assert (s.tuning_max_users, s.eval_top_k, Settings().tuning_max_users) == (12, (3, 4), None)
+
+
+def test_idle_states_expire(spark, tmp_path):
+    items = spark.createDataFrame([("P1", "f", 1.0)], "product_id string, feature string, value double")
+    path = f"{tmp_path}/events"
+    Path(path).mkdir()
+    days = [("E1", "U1", 0), ("E2", "U2", 40), ("E3", "U2", 80), ("E4", "U1", 81)]
+    found = []
+    stream = profiles.profile_stream(profiles.live_events(profiles.event_stream(spark, path, maxFilesPerTrigger="1")), items, idle="10 days")
+    query = stream.writeStream.outputMode("update").option("checkpointLocation", f"{tmp_path}/c").foreachBatch(lambda df, _: found.extend(df.collect())).start()
+    try:
+        for i, (e, u, day) in enumerate(days):
+            spark.createDataFrame([(e, u, "P1", "purchase", T0 + timedelta(days=day), 1.0, None)], EVENT).coalesce(1).write.mode("append").parquet(path)
+            query.processAllAvailable()
+    finally:
+        query.stop()
+    # When U2 comes again on day 80 the watermark still stands at day 40, so its state is there; U1's went on the way.
+    assert [(r.user_id, r.n_events) for r in found] == [("U1", 1), ("U2", 1), ("U2", 2), ("U1", 1)]
