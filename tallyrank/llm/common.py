@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch, scratch_scope, stored
 
-__all__ = ["ascii_lower", "documents_of", "fresh", "scratch", "scratch_scope", "slices", "stored", "table", "utf8"]
+__all__ = ["ascii_lower", "bucketed", "documents_of", "fresh", "scratch", "scratch_scope", "slices", "stored", "table", "utf8"]
 
 #: Space, tab, line feed, vertical tab, form feed and carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -44,6 +45,18 @@ def documents_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
+    """Like stored(), in buckets of the column: joins and windows by it (and more) then move no row.
+
+    As many buckets as shuffle partitions; a df that is dealt by the column already writes a file each.
+    """
+    spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column).option("path", scratch(spark, name)).saveAsTable(table)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # its name alone: out goes on reading the files
+    return out
+
+
 def utf8(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of a string column, without decoding them."""
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, line_dedup, quality, sentencepiece_codec, simhash, token_packing, toxicity, url_filter
+from . import decontaminate, importance, license_scan, line_dedup, pivot_search, quality, sentencepiece_codec, simhash, token_alignment, token_packing, toxicity, url_filter
 from .bpe import Encoder
 from .common import scratch, table
 from .token_counts import TokenRollup, count_changes
@@ -94,6 +94,26 @@ def op10_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_packing.pack_documents(table(spark, sf_dir, "documents"), Encoder(spark))
 
 
+def op11_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return pivot_search.top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return ranked.select("doc_id", "n_features", "weight", "score", "rank", "n_words")
+
+
+def importance_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op12_importance_resampling for SQL, with rank -1 where a row wasn't drawn."""
+    return op12_importance_resampling(spark, sf_dir).withColumn("rank", F.coalesce("rank", F.lit(-1).cast("long")))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_alignment.align(table(spark, sf_dir, "documents"), token_alignment.Tokenizers(spark))
+    return found.withColumn("groups_sha256", F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))).drop("groups")
+
+
 _OP4_SQL = """
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -189,6 +209,50 @@ SELECT source, lang, count(*)::BIGINT AS n_docs, sum(length(trim(coalesce(text,
 FROM documents WHERE doc_id IN (SELECT min(doc_id) FROM documents GROUP BY coalesce(text, '')) GROUP BY source, lang
 """
 
+_OP11_SQL = """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, v.vec_id, list_sum(list_transform(range(1, least(len(q.e), len(v.e)) + 1), lambda i: q.e[i] * v.e[i]))::BIGINT AS score
+  FROM v AS q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
+# The checksum's table is made by its rule, and applied to each distinct word's bytes.
+_OP12_SQL = r"""
+WITH crc_table AS MATERIALIZED (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+b AS (
+  SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word
+  FROM benchmark),
+occurring AS (SELECT doc_id, unnest(w) AS word FROM d),
+dictionary AS (
+  SELECT word, xor(list_reduce(list_concat([4294967295], list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
+                               lambda c, x: xor(c // 256, t[xor(c % 256, x) + 1])), 4294967295) % 10000 AS bucket
+  FROM (SELECT word, hex(encode(word)) AS h FROM (SELECT word FROM occurring UNION SELECT word FROM b)), crc_table),
+s AS (SELECT bucket, count(*) AS s FROM occurring JOIN dictionary USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM b JOIN dictionary USING (word) GROUP BY bucket),
+sums AS (SELECT (SELECT count(*) FROM occurring) + 10000 AS big_s, (SELECT count(*) FROM b) + 10000 AS big_t),
+gains AS (
+  SELECT bucket, floor(1000 * ln(((coalesce(t, 0) + 1)::DOUBLE * big_s) / ((s + 1)::DOUBLE * big_t)))::BIGINT AS gain
+  FROM s LEFT JOIN t USING (bucket), sums),
+weights AS (
+  SELECT d.doc_id, len(any_value(d.w))::BIGINT AS n_features, coalesce(floor(sum(gain) / nullif(len(any_value(d.w)), 0)), 0)::BIGINT AS weight
+  FROM d LEFT JOIN occurring USING (doc_id) LEFT JOIN dictionary USING (word) LEFT JOIN gains USING (bucket) GROUP BY d.doc_id),
+scored AS (
+  SELECT *, weight + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM weights),
+ranked AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, coalesce(CASE WHEN rank <= 10 * n // 100 THEN rank END, -1)::BIGINT AS rank, n_features AS n_words
+FROM scored LEFT JOIN ranked USING (doc_id)
+"""
+
 _ALL = (
     op1_token_counts,
     op2_simhash_near_dedup,
@@ -200,9 +264,12 @@ _ALL = (
     op8_sentencepiece,
     op9_license_scan,
     op10_token_packing,
+    op11_topk_search,
+    op12_importance_resampling,
+    op13_token_alignment,
 )
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLES = {"op4_line_dedup": _OP4_SQL, "op7_benchmark_decontamination": _OP7_SQL}
-# Beside the ten, the columns of some that SQL can say, each from its operator's own rows.
-for _f, _sql in ((license_phrases, _LICENSE_SQL), (url_rules, _URL_SQL), (quality_counts, _QUALITY_SQL), (token_rollup_batches, _ROLLUP_SQL)):
+ORACLES = {"op4_line_dedup": _OP4_SQL, "op7_benchmark_decontamination": _OP7_SQL, "op11_topk_search": _OP11_SQL}
+# Beside the thirteen, the columns of some that SQL can say, each from its operator's own rows.
+for _f, _sql in ((license_phrases, _LICENSE_SQL), (url_rules, _URL_SQL), (quality_counts, _QUALITY_SQL), (token_rollup_batches, _ROLLUP_SQL), (importance_draw, _OP12_SQL)):
     QUERIES[_f.__name__], ORACLES[_f.__name__] = _f, _sql
