@@ -1,8 +1,10 @@
 """Content recommendations: a user's strongest items against the catalogue's features.
 
-All scores come from the cosines between seen items and the catalogue. The mean term is
-their weighted sum over the profile window divided by the profile's length (which is made of
-cosines too); the max term is the best over everything seen; a small quality prior is added.
+The mean term is the product of an item with the profile, the weighted sum of the items in the
+profile window made unit; the max term is the best product with anything seen; a small quality prior is
+added. A block of users meets a block of items inside a task, where the products of its items with those that
+the users have seen are made from their sparse rows (operators.sparse) and dropped again: no table of
+cosines is stored, and no join is on a feature.
 """
 
 from __future__ import annotations
@@ -16,17 +18,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .features import item_cosine, l2_normalize, numeric_features
-from .interactions import profile_window, seen_items
+from .interactions import profile_window
 from .ranking import rank_topk
+from . import sparse
+from .sparse import PRODUCT_COLUMNS, block_count, block_of, coded
 
 # The terms' weights and the size of the profile window.
 MEAN_WEIGHT = 0.5
 MAX_WEIGHT = 0.5
 QUALITY_WEIGHT = 0.05
 WINDOW = 10
-#: Users of a block, and cosines of a block of items, in tiled scoring.
+#: Users of a block in tiled scoring.
 TILE_USERS = 256
-TILE_CELLS = 250_000
 AGGREGATES = ("mean", "max", "mean_max", "quality_only")
 
 
@@ -46,26 +49,85 @@ def content_profile(cells: DataFrame, features: DataFrame, window: int = WINDOW)
     return l2_normalize(summed, "user_id")
 
 
-def _lengths(cells: DataFrame, cosines: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(user_id, length) of the unscaled profiles, from the cosines within each window."""
-    top = profile_window(cells, window).select("user_id", F.col("product_id").alias("j"), F.col("value").alias("w"))
-    other = top.select("user_id", F.col("j").alias("i"), F.col("w").alias("w2"))
-    return top.join(other, "user_id").join(cosines, ["i", "j"]).groupBy("user_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w2") * F.col("cos"))).alias("length"))
+def _tiles(cells: DataFrame, items: DataFrame, packs: DataFrame, window: int) -> DataFrame:
+    """(users, seen, items): blocks of users with the packed rows of what they have seen, each beside every block of items."""
+    n_ub, n_ib = block_count(cells.select("user_id").distinct(), TILE_USERS), block_count(items)
+    top = profile_window(cells, window).select("user_id", "product_id", F.col("value").alias("w"))
+    history = cells.select("user_id", "product_id").join(top, ["user_id", "product_id"], "left").withColumn("ub", block_of("user_id", n_ub))
+    users = history.groupBy("ub").agg(F.collect_list(F.struct("user_id", "product_id", F.coalesce("w", F.lit(0.0)).alias("w"))).alias("users"))
+    seen = history.select("ub", "product_id").distinct().join(packs, "product_id").groupBy("ub").agg(F.collect_list(F.struct("product_id", "fs", "vs")).alias("seen"))
+    held = items.groupBy(block_of("product_id", n_ib).alias("ib")).agg(F.collect_list(F.struct(*items.columns)).alias("items"))
+    blocks = users.join(seen, "ub", "left").withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(n_ib - 1))))
+    # One tile a task, as far as that goes: tiles are megabytes.
+    return blocks.join(held, "ib").repartition(min(n_ub * n_ib, 10_000), "ub", "ib").select("users", "seen", "items")
+
+
+def _terms(users: pa.StructArray, seen: pa.StructArray | None, items: pa.StructArray) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
+    """(user, mean, max, own) of every user of a tile: both terms of all its items (0: nothing shared), and the places of those seen."""
+    place = {x: n for n, x in enumerate(items.field("product_id").to_pylist())}
+    lists = [(x.field("fs"), x.field("vs")) for x in (items, seen) if x is not None]
+    (rows, *rest), n_names = coded(lists)
+    known = {x: n for n, x in enumerate(seen.field("product_id").to_pylist())} if seen is not None else {}
+    person = users.field("user_id").dictionary_encode()
+    who, what, w = np.asarray(person.indices), users.field("product_id").to_pylist(), np.asarray(users.field("w"))
+    column = np.array([known.get(x, -1) for x in what], np.int64)
+    order = np.lexsort((column, who))
+    bounds = np.searchsorted(who[order], np.arange(len(person.dictionary) + 1))
+    n = len(person.dictionary)
+    mean, best = np.zeros((n, len(rows))), np.zeros((n, len(rows)))
+    for first in range(0, len(known), PRODUCT_COLUMNS):
+        cos = sparse.products(rows, rest[0].part(first, first + PRODUCT_COLUMNS), n_names)
+        for u in range(n):
+            mine = order[bounds[u] : bounds[u + 1]]
+            mine = mine[(column[mine] >= first) & (column[mine] < first + PRODUCT_COLUMNS)]
+            if len(mine):
+                met = cos[:, column[mine] - first]
+                np.maximum(best[u], met.max(axis=1), out=best[u])
+                mean[u] += met @ w[mine]
+    ends = np.concatenate([[0], np.cumsum(rest[0].sizes)]) if rest else np.zeros(1, np.int64)
+    for u, name in enumerate(person.dictionary.to_pylist()):
+        mine = order[bounds[u] : bounds[u + 1]]
+        in_profile = [m for m in mine if w[m] and column[m] >= 0]
+        if in_profile:
+            spans = [slice(ends[column[m]], ends[column[m] + 1]) for m in in_profile]
+            _, code = np.unique(np.concatenate([rest[0].codes[s] for s in spans]), return_inverse=True)
+            length = np.linalg.norm(np.bincount(code, np.concatenate([w[m] * rest[0].values[s] for m, s in zip(in_profile, spans, strict=True)])))
+            mean[u] = mean[u] / length if length > 0 else 0
+        yield name, mean[u], best[u], np.array([place[what[m]] for m in mine if what[m] in place], np.int64)
+
+
+def _parts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.StructArray, Iterator]]:
+    """The items of each tile and its users' terms."""
+    for batch in batches:
+        for r in range(batch.num_rows):
+            users, seen, items = (batch.column(c)[r].values for c in ("users", "seen", "items"))
+            yield items, _terms(users, seen, items)
+
+
+def terms(cells: DataFrame, packs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(user_id, product_id, mean, best) of users and all packed items that share a feature with what they have seen.
+
+    mean is null where nothing in the profile window shares one.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for items, users in _parts(batches):
+            for user, mean, best, _ in users:
+                met = np.flatnonzero(best)
+                yield pa.RecordBatch.from_arrays([pa.array([user] * len(met), pa.string()), items.field("product_id").take(pa.array(met)), pa.array(mean[met], mask=mean[met] == 0), pa.array(best[met])], ["user_id", "product_id", "mean", "best"])
 
+    return _tiles(cells, packs, packs, window).mapInArrow(run, "user_id string, product_id string, mean double, best double")
 
-def mean_scores(cells: DataFrame, cosines: DataFrame, window: int = WINDOW) -> DataFrame:
-    top = profile_window(cells, window).select("user_id", F.col("product_id").alias("j"), F.col("value").alias("w"))
-    length = _lengths(cells, cosines, window)
-    summed = top.join(cosines, "j").groupBy("user_id", F.col("i").alias("product_id")).agg(F.sum(F.col("w") * F.col("cos")).alias("dot"))
-    return summed.join(length.where("length > 0"), "user_id").select("user_id", "product_id", (F.col("dot") / F.col("length")).alias("score"))
 
+def mean_scores(cells: DataFrame, packs: DataFrame, window: int = WINDOW) -> DataFrame:
+    return terms(cells, packs, window).where("mean is not null").select("user_id", "product_id", F.col("mean").alias("score"))
 
-def max_scores(cells: DataFrame, cosines: DataFrame) -> DataFrame:
-    met = seen_items(cells).select("user_id", F.col("product_id").alias("j")).join(cosines, "j")
-    return met.groupBy("user_id", F.col("i").alias("product_id")).agg(F.max("cos").alias("score"))
 
+def max_scores(cells: DataFrame, packs: DataFrame) -> DataFrame:
+    return terms(cells, packs).select("user_id", "product_id", F.col("best").alias("score"))
 
-def scores(cells: DataFrame, products: DataFrame, cosines: DataFrame, users: DataFrame | None = None, aggregate: str = "mean_max") -> DataFrame:
+
+def scores(cells: DataFrame, products: DataFrame, packs: DataFrame, users: DataFrame | None = None, aggregate: str = "mean_max") -> DataFrame:
     """(user_id, product_id, score) of each user (those with cells by default) and the whole catalogue.
 
     aggregate quality_only leaves the mean term out; the other names give the same scores.
@@ -75,80 +137,30 @@ def scores(cells: DataFrame, products: DataFrame, cosines: DataFrame, users: Dat
     people = (users if users is not None else cells).select("user_id").distinct()
     # Every item has a quality, so the result is dense by definition: users times items.
     base = people.join(quality_prior(products).withColumn("score", F.col("quality") * QUALITY_WEIGHT).drop("quality"))
-    parts = base.unionByName(max_scores(cells, cosines).withColumn("score", F.col("score") * MAX_WEIGHT))
-    if aggregate != "quality_only":
-        parts = parts.unionByName(mean_scores(cells, cosines).withColumn("score", F.col("score") * MEAN_WEIGHT))
-    return parts.groupBy("user_id", "product_id").agg(F.sum("score").alias("score"))
-
-
-def seen_cosines(cells: DataFrame, features: DataFrame) -> DataFrame:
-    """Cosines of the catalogue with the items that anyone has seen."""
-    return item_cosine(features, cells.select("product_id"))
+    mean = F.lit(0.0) if aggregate == "quality_only" else F.coalesce("mean", F.lit(0.0)) * MEAN_WEIGHT
+    met = terms(cells, packs).select("user_id", "product_id", (mean + F.col("best") * MAX_WEIGHT).alias("score"))
+    return base.unionByName(met).groupBy("user_id", "product_id").agg(F.sum("score").alias("score"))
 
 
-def recommend(cells: DataFrame, products: DataFrame, cosines: DataFrame, k: int) -> DataFrame:
+def recommend(cells: DataFrame, products: DataFrame, packs: DataFrame, k: int) -> DataFrame:
     """Each user's best k unseen items, as ranking the dense scores would give.
 
-    Scores are made tile by tile: a block of users against a block of items, with numpy. Of
-    each tile only the k best of a user leave it, so the dense table is never written. A
-    tile of cosines holds TILE_CELLS numbers or so, a block of users their histories.
+    Of each tile only the k best of a user leave it, so the dense table is never written.
     """
-    n_users = cells.select("user_id").distinct().count()
-    n_ub, n_ib = -(-n_users // TILE_USERS) or 1, -(-cosines.count() // TILE_CELLS) or 1
-    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    window = profile_window(cells).select("user_id", "product_id", F.col("value").alias("w"))
-    history = cells.select("user_id", "product_id").join(window, ["user_id", "product_id"], "left").join(_lengths(cells, cosines), "user_id", "left")
-    history = history.withColumn("ub", block("user_id", n_ub)).groupBy("ub").agg(*(F.collect_list(F.coalesce(c, F.lit(0.0)) if c in ("w", "length") else F.col(c)).alias(c) for c in ("user_id", "product_id", "w", "length")))
-    tiles = quality_prior(products).select(F.col("product_id").alias("i"), "quality").withColumn("ib", block("i", n_ib)).groupBy("ib").agg(F.collect_list("i").alias("items"), F.collect_list("quality").alias("quality"))
-    known = cosines.withColumn("ib", block("i", n_ib)).groupBy("ib").agg(*(F.collect_list(c).alias(c) for c in ("i", "j", "cos")))
-    pairs = history.withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(n_ib - 1)))).join(tiles, "ib").join(known, "ib", "left")
+    items = quality_prior(products).join(packs, "product_id", "left")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                yield _tile_best({c: batch.column(c)[r].values for c in batch.schema.names if c not in ("ub", "ib")}, k)
-
-    # One tile a batch and task: tiles are megabytes.
-    best = pairs.repartition(min(n_ub * n_ib, 10_000), "ub", "ib").mapInArrow(run, "user_id string, product_id string, score double")
-    return rank_topk(best, k)
-
-
-def _tile_best(tile: dict[str, pa.Array | None], k: int) -> pa.RecordBatch:
-    """The k best unseen items of every user of a tile."""
-    codes = lambda a: a.dictionary_encode()
-    items = np.array(tile["items"].to_pylist(), object)
-    order = np.argsort(items)
-    items, quality = items[order], np.asarray(tile["quality"])[order]
-    row = {x: n for n, x in enumerate(items.tolist())}
-    seen_codes = codes(tile["product_id"])
-    column = {x: n for n, x in enumerate(seen_codes.dictionary.to_pylist())}
-    cosine = np.zeros((len(items), len(column)))
-    if tile["i"] is not None and len(tile["i"]):
-        i, j = codes(tile["i"]), codes(tile["j"])
-        rows = np.array([row.get(x, -1) for x in i.dictionary.to_pylist()])[np.asarray(i.indices)]
-        columns = np.array([column.get(x, -1) for x in j.dictionary.to_pylist()])[np.asarray(j.indices)]
-        both = (rows >= 0) & (columns >= 0)
-        cosine[rows[both], columns[both]] = np.asarray(tile["cos"])[both]
-    own = np.array([row.get(x, -1) for x in column])
-    users = codes(tile["user_id"])
-    by_user = np.argsort(np.asarray(users.indices), kind="stable")
-    ends = np.cumsum(np.bincount(np.asarray(users.indices), minlength=len(users.dictionary)))
-    place, w, length = np.asarray(seen_codes.indices), np.asarray(tile["w"]), np.asarray(tile["length"])
-    out: tuple[list, list, list] = ([], [], [])
-    for n, user in enumerate(users.dictionary.to_pylist()):
-        mine = by_user[ends[n - 1] if n else 0 : ends[n]]
-        met = cosine[:, place[mine]]
-        score = MAX_WEIGHT * np.maximum(met.max(axis=1), 0) + QUALITY_WEIGHT * quality
-        if length[mine[0]] > 0:
-            score += MEAN_WEIGHT * (met @ w[mine]) / length[mine[0]]
-        hidden = own[place[mine]]
-        score[hidden[hidden >= 0]] = -np.inf
-        top = np.argsort(-np.round(score, 9), kind="stable")[:k]
-        top = top[score[top] > -np.inf]
-        out[0].extend([user] * len(top))
-        out[1].extend(items[top])
-        out[2].extend(score[top])
-    return pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.float64())], ["user_id", "product_id", "score"])
+        for items, users in _parts(batches):
+            order = np.argsort(np.array(items.field("product_id").to_pylist(), object))
+            quality = QUALITY_WEIGHT * np.asarray(items.field("quality"))
+            for user, mean, best, own in users:
+                score = MEAN_WEIGHT * mean + MAX_WEIGHT * best + quality
+                score[own] = -np.inf
+                top = order[np.argsort(-np.round(score[order], 9), kind="stable")[:k]]
+                top = top[score[top] > -np.inf]
+                yield pa.RecordBatch.from_arrays([pa.array([user] * len(top), pa.string()), items.field("product_id").take(pa.array(top)), pa.array(score[top])], ["user_id", "product_id", "score"])
+
+    return rank_topk(_tiles(cells, items, packs, WINDOW).mapInArrow(run, "user_id string, product_id string, score double"), k)
 
 
 def similar(features: DataFrame, product_id: str, k: int = 10, exclude_self: bool = True) -> DataFrame:

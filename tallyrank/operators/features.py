@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import char_ngrams, item_text, word_ngrams
+from .sparse import cosines, packed
 
 WORD_MIN_DF = 2
 CHAR_MIN_DF = 3
@@ -119,15 +120,9 @@ def feature_counts(features: DataFrame) -> DataFrame:
 
 
 def item_cosine(features: DataFrame, items: DataFrame | None = None) -> DataFrame:
-    """(i, j, cos) of every item i with the items j (all, or those named): feature rows are unit rows.
-
-    A join on the feature and a sum over pairs: for items j that are few (the seen, the shown, one). It grows
-    with the square of a common feature's items.
-    """
-    left = features.select("feature", F.col("product_id").alias("i"), F.col("value").alias("vi"))
-    right = features if items is None else features.join(items.select("product_id").distinct(), "product_id", "left_semi")
-    right = right.select("feature", F.col("product_id").alias("j"), F.col("value").alias("vj"))
-    return left.join(right, "feature").groupBy("i", "j").agg(F.sum(F.col("vi") * F.col("vj")).alias("cos"))
+    """(i, j, cos) of every item i with the items j (all, or those named) that it shares a feature with: feature rows are unit rows."""
+    left = packed(features)
+    return cosines(left, left if items is None else left.join(items.select("product_id").distinct(), "product_id", "left_semi"))
 
 
 def embedding_topk(vectors: DataFrame, k: int, queries: DataFrame | None = None) -> DataFrame:

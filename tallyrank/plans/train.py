@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import content, features, hybrid, interactions, knn, latent, popularity
+from ..operators.sparse import packed
 from ..operators.split import TemporalSplit, segments, temporal_split
 from ..session import checkpointed
 from ..settings import Settings
@@ -52,7 +53,7 @@ class Fitted:
         self.near = checkpointed(knn.neighbours(knn.similarity(self.cells, settings.knn_shrink), settings.knn_top_k))
         made = latent.item_factors(self.cells, products, settings.svd_factors)
         self.factors = cells.sparkSession.createDataFrame(made, "product_id string, factors array<double>")
-        self.cosines = checkpointed(content.seen_cosines(self.cells, item_features))
+        self.packs = checkpointed(packed(item_features))
 
     def collaborative(self, k: int, knn_weight: float | None = None) -> DataFrame:
         weight = self.params["knn_weight"] if knn_weight is None else knn_weight
@@ -65,7 +66,7 @@ class Fitted:
         if strategy == "collaborative":
             return self.collaborative(k)
         if strategy == "content":
-            return content.recommend(self.cells, self.products, self.cosines, k)
+            return content.recommend(self.cells, self.products, self.packs, k)
         if strategy == "hybrid":
             depth = max(hybrid.DEPTH, k)
             return hybrid.recommend_rrf([(self.params[f"{n}_weight"], self.recommend(s, depth)) for n, s in (("content", "content"), ("collab", "collaborative"), ("popularity", "popularity"))], k)
@@ -129,6 +130,6 @@ def train(spark: SparkSession, store: Store, artifacts: ArtifactStore, settings:
     lists = {s: checkpointed(held.recommend(s, most)) for s in STRATEGIES}
     metrics = evaluate(lists, split.truth("test"), segments(split.train_counts), products, interactions.popularity_share(held.cells), settings.eval_top_k).withColumn("model_version", F.lit(version))
     served = fit(events, products, settings, params, item_features)
-    tables = {"products": products, "cells": served.cells, "neighbours": served.near, "factors": served.factors, "features": item_features, "cosines": served.cosines, "metrics": metrics}
+    tables = {"products": products, "cells": served.cells, "neighbours": served.near, "factors": served.factors, "features": item_features, "packs": served.packs, "metrics": metrics}
     artifacts.save(version, tables, {"params": params, "strategies": STRATEGIES})
     return version

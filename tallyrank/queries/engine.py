@@ -343,12 +343,12 @@ def content_profile(w: Workspace) -> DataFrame:
 
 @query("SELECT user_id, product_id, round(score, 6) AS score FROM m_cmean")
 def content_mean_scores(w: Workspace) -> DataFrame:
-    return rounded(content.mean_scores(w.models.cells, w.models.cosines), "score")
+    return rounded(content.mean_scores(w.models.cells, w.packs), "score")
 
 
 @query("SELECT user_id, product_id, round(score, 6) AS score FROM m_cmax")
 def content_max_scores(w: Workspace) -> DataFrame:
-    return rounded(content.max_scores(w.models.cells, w.models.cosines), "score")
+    return rounded(content.max_scores(w.models.cells, w.packs), "score")
 
 
 @query(_ranked("m_crecs"))

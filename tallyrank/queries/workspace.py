@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import content, features, hybrid, interactions, knn, latent, popularity
+from ..operators.sparse import packed
 from ..operators.split import TemporalSplit, segments, temporal_split
 from ..plans import tuning
 from ..session import checkpointed
@@ -51,13 +52,9 @@ class Models:
             self.lists["blends", k, weights] = self.work.keep(hybrid.collaborative_variants(self.cells, self.work.products, self.near, self.two_factors, k, weights))
         return self.lists["blends", k, weights]
 
-    @cached_property
-    def cosines(self) -> DataFrame:
-        return self.work.keep(content.seen_cosines(self.cells, self.work.features))
-
     @cached_property
     def content_scores(self) -> DataFrame:
-        return self.work.keep(content.scores(self.cells, self.work.products, self.cosines))
+        return self.work.keep(content.scores(self.cells, self.work.products, self.work.packs))
 
     def recommend(self, strategy: str, k: int) -> DataFrame:
         """Each user's k best, made once for each strategy and k."""
@@ -71,7 +68,7 @@ class Models:
         if strategy == "collaborative":
             return knn.recommend(self.cells, self.work.products, self.near, k)
         if strategy == "content":
-            return content.recommend(self.cells, self.work.products, self.cosines, k)
+            return content.recommend(self.cells, self.work.products, self.work.packs, k)
         raise ValueError(f"no strategy {strategy!r}")
 
     def member(self, strategy: str) -> DataFrame:
@@ -106,6 +103,10 @@ class Workspace:
     def features(self) -> DataFrame:
         return self.keep(features.item_features(self.products))
 
+    @cached_property
+    def packs(self) -> DataFrame:
+        return self.keep(packed(self.features))
+
     @cached_property
     def models(self) -> Models:
         return Models(self, interactions.interaction_matrix(self.events, self.products))

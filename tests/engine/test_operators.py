@@ -1,12 +1,13 @@
 from datetime import UTC, datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tallyrank.functions.text import char_ngrams, clean_text, word_ngrams
 from tallyrank.functions.weights import event_weight, recency_decay
-from tallyrank.operators import content, features, hybrid, interactions, knn, latent, popularity
+from tallyrank.operators import content, features, hybrid, interactions, knn, latent, popularity, sparse
 from tallyrank.operators.ranking import numbered, padded, rank_topk
 from tallyrank.operators.split import segments, temporal_split
 from tallyrank.sources.schemas import EVENT, POSITIVE_EVENTS
@@ -107,14 +108,49 @@ def test_padding_equals_dense_ranking(spark, world):
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
 
-@pytest.mark.parametrize("users, cosines_a_tile", [(256, 250_000), (7, 900)])
-def test_tiled_content_equals_dense_ranking(spark, world, users, cosines_a_tile, monkeypatch):
+def _joined_cosines(f):
+    """All pairs by a join on the feature: what blocks of sparse rows have to agree with."""
+    a, b = f.selectExpr("feature", "product_id i", "value vi"), f.selectExpr("feature", "product_id j", "value vj")
+    return a.join(b, "feature").groupBy("i", "j").agg(F.sum(F.col("vi") * F.col("vj")).alias("want"))
+
+
+@pytest.mark.parametrize("rows, step, share", [(1024, 1 << 22, 8), (7, 50, 1), (9, 40, 1000)])
+def test_blocked_products_equal_joined_cosines(spark, world, rows, step, share, monkeypatch):
     p, _, cells = world
-    cosines = content.seen_cosines(cells, features.item_features(p)).cache()
-    want = rank_topk(content.scores(cells, p, cosines), 15, exclude=interactions.seen_items(cells))
+    f = features.item_features(p).cache()
+    for name, value in (("BLOCK_ROWS", rows), ("INDEX_STEP", step), ("DENSE_SHARE", share)):
+        monkeypatch.setattr(sparse, name, value)
+    want = _joined_cosines(f)
+    got = features.item_cosine(f)
+    assert got.count() == want.count() == got.join(want, ["i", "j"]).where("abs(cos - want) < 1e-9").count()
+    some = features.item_cosine(f, cells.select("product_id").limit(3))
+    assert some.count() == want.join(cells.select("product_id").limit(3).distinct().withColumnRenamed("product_id", "j"), "j").count()
+
+
+def test_products_of_rows_without_names(spark):
+    lists = lambda rows: (pa.array([[n for n, _ in r] for r in rows], pa.list_(pa.string())), pa.array([[v for _, v in r] for r in rows], pa.list_(pa.float64())))
+    rows, other = [[("a", 1.0)], [], [("b", 2.0), ("c", 3.0)]], [[("c", 5.0), ("z", 1.0)], []]
+    (a, b), n = sparse.coded([lists(rows), lists(other)])
+    assert sparse.products(a, b, n).tolist() == [[0, 0], [0, 0], [15, 0]] and n == 4
+    (a, b), n = sparse.coded([lists(rows), lists([])])
+    assert sparse.products(a, b, n).shape == (3, 0)
+
+
+@pytest.mark.parametrize("users, rows, columns", [(256, 1024, 2048), (7, 9, 3)])
+def test_tiled_content_equals_dense_ranking(spark, world, users, rows, columns, monkeypatch):
+    p, _, cells = world
+    f = features.item_features(p).cache()
+    packs = sparse.packed(f).cache()
+    # Max and mean by joins over all cosines.
+    best = cells.select("user_id", F.col("product_id").alias("j")).join(_joined_cosines(f), "j").groupBy("user_id", F.col("i").alias("product_id")).agg(F.max("want").alias("best"))
+    mean = content.content_profile(cells, f).withColumnRenamed("value", "w").join(f, "feature").groupBy("user_id", "product_id").agg(F.sum(F.col("w") * F.col("value")).alias("mean"))
+    dense = cells.select("user_id").distinct().join(content.quality_prior(p)).join(best, ["user_id", "product_id"], "left").join(mean, ["user_id", "product_id"], "left")
+    dense = dense.select("user_id", "product_id", F.expr("0.05 * quality + 0.5 * coalesce(best, 0) + 0.5 * coalesce(mean, 0)").alias("score"))
+    want = rank_topk(dense, 15, exclude=interactions.seen_items(cells))
     monkeypatch.setattr(content, "TILE_USERS", users)
-    monkeypatch.setattr(content, "TILE_CELLS", cosines_a_tile)
-    got = content.recommend(cells, p, cosines, 15).withColumnRenamed("score", "got")
+    monkeypatch.setattr(sparse, "BLOCK_ROWS", rows)
+    monkeypatch.setattr(content, "PRODUCT_COLUMNS", columns)
+    got = content.recommend(cells, p, packs, 15).withColumnRenamed("score", "got")
     met = want.join(got, ["user_id", "product_id", "rank"])
     assert want.count() == got.count() == met.count() and met.where("abs(score - got) > 1e-9").count() == 0
 
@@ -123,8 +159,8 @@ def test_tiled_content_equals_dense_ranking(spark, world, users, cosines_a_tile,
 def test_invariants(spark, world, strategy):
     p, _, cells = world
     near = knn.neighbours(knn.similarity(cells), 30)
-    cosines = content.seen_cosines(cells, features.item_features(p))
-    make = {"popularity": lambda k: popularity.recommend(cells, p, k), "knn": lambda k: knn.recommend(cells, p, near, k), "content": lambda k: content.recommend(cells, p, cosines, k)}
+    packs = sparse.packed(features.item_features(p))
+    make = {"popularity": lambda k: popularity.recommend(cells, p, k), "knn": lambda k: knn.recommend(cells, p, near, k), "content": lambda k: content.recommend(cells, p, packs, k)}
     make["hybrid"] = lambda k: hybrid.recommend_rrf([(0.4, make["content"](100)), (0.5, make["knn"](100)), (0.1, make["popularity"](100))], k)
     rows = make[strategy](10).collect()
     seen = {(r.user_id, r.product_id) for r in cells.collect()}
@@ -195,7 +231,7 @@ def test_minmax(spark):
 def test_content_mean_from_cosines_equals_profile_dot_features(spark, world):
     p, _, cells = world
     f = features.item_features(p)
-    got = content.mean_scores(cells, content.seen_cosines(cells, f))
+    got = content.mean_scores(cells, sparse.packed(f))
     want = content.content_profile(cells, f).withColumnRenamed("value", "w").join(f, "feature").groupBy("user_id", "product_id").agg(F.sum(F.col("w") * F.col("value")).alias("want"))
     assert got.join(want, ["user_id", "product_id"]).where("abs(score - want) > 1e-9").count() == 0 and got.count() == want.count()
     with pytest.raises(ValueError):
