@@ -1,11 +1,17 @@
 """Item neighbours from shared users.
 
 sim(i, j) adds up, over users, the product of their two cells divided by the square of the
-user's row norm. Pairs are made once (i <= j) and mirrored after the aggregation.
+user's row norm. Pairs are made once (i <= j), in tiles of bounded size however long a history
+is, and mirrored after the aggregation.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,17 +21,87 @@ from .ranking import padded, rank_topk
 
 #: Candidates up to this many are sent to the scores; more are met by a shuffle.
 BROADCAST_ITEMS = 100_000
+#: Items of a history that are paired at once, and pairs that a task adds up before it passes them on.
+HISTORY_BLOCK = 512
+PAIRS_HELD = 1 << 22
+#: Tiles of long histories that a task gets, on average.
+TILES_A_TASK = 4
+
+
+def _history_tiles(rows: DataFrame) -> DataFrame:
+    """(a, b): the items of every history against themselves (b null), and, of histories of several blocks, each block against each later one.
+
+    rows (user_id, product_id, r, n) has each history's length n. A block holds HISTORY_BLOCK items
+    or so, so a history of any length is many small tiles.
+    """
+    blocks = rows.withColumn("of", F.ceil(F.col("n") / HISTORY_BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("product_id"), F.col("of")).cast("int"))
+    held = blocks.groupBy("user_id", "of", "block").agg(F.collect_list(F.struct("product_id", "r")).alias("a"))
+    long = checkpointed(held.where("of > 1"))
+    itself = held.select("a", F.lit(None).cast(held.schema["a"].dataType).alias("b"))
+    n_tiles = long.agg(F.sum(F.col("of") - 1 - F.col("block"))).first()[0]
+    if not n_tiles:
+        return itself
+    later = long.where("block < of - 1").select("user_id", F.col("block").alias("first"), F.explode(F.sequence(F.col("block") + 1, F.col("of") - 1)).alias("block"), "a")
+    crossed = later.join(long.select("user_id", "block", F.col("a").alias("b")), ["user_id", "block"])
+    # Dealt anew, by tile: the join leaves those that share a block in one task.
+    return itself.unionByName(crossed.repartition(min(-(-n_tiles // TILES_A_TASK), 10_000), "user_id", "first", "block").select("a", "b"))
+
+
+def _pair_sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(i, j, dot) of tiles, pairs added up before they leave the task."""
+    for batch in batches:
+        sides = [batch.column(c) for c in ("a", "b")]
+        every = pa.concat_arrays([x.flatten().field("product_id") for x in sides]).dictionary_encode()
+        names = np.array(every.dictionary.to_pylist(), object)
+        order = np.argsort(names)
+        rank = np.empty(len(names), np.int64)
+        rank[order] = np.arange(len(names))
+        code = rank[np.asarray(every.indices)] if len(names) else np.zeros(0, np.int64)
+        value = np.concatenate([np.asarray(x.flatten().field("r"), np.float64) for x in sides])
+        sizes = [np.asarray(x.value_lengths().fill_null(0)) for x in sides]
+        ends = [np.concatenate([[0], np.cumsum(s)]) for s in sizes]
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        n_held = 0
+
+        def added() -> pa.RecordBatch:
+            pair, where = np.unique(np.concatenate([p for p, _ in held]), return_inverse=True)
+            dot = np.bincount(where, np.concatenate([d for _, d in held]))
+            i, j = (pa.array(names[order[x]], pa.string()) for x in np.divmod(pair, len(names)))
+            held.clear()
+            return pa.RecordBatch.from_arrays([i, j, pa.array(dot)], ["i", "j", "dot"])
+
+        for t in range(batch.num_rows):
+            a = slice(ends[0][t], ends[0][t + 1])
+            if sides[1][t].is_valid:
+                b = slice(ends[0][-1] + ends[1][t], ends[0][-1] + ends[1][t + 1])
+                x, y = (z.ravel() for z in np.meshgrid(code[a], code[b], indexing="ij"))
+                dot = np.outer(value[a], value[b]).ravel()
+            else:
+                p, q = _triangle(a.stop - a.start)
+                x, y, dot = code[a][p], code[a][q], value[a][p] * value[a][q]
+            held.append((np.minimum(x, y) * len(names) + np.maximum(x, y), dot))
+            n_held += len(dot)
+            if n_held >= PAIRS_HELD:
+                yield added()
+                n_held = 0
+        if held:
+            yield added()
+
+
+@lru_cache(HISTORY_BLOCK)
+def _triangle(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(n)
 
 
 def cooccurrence(cells: DataFrame, normalise: bool = True) -> DataFrame:
-    """(i, j, dot) with i <= j over user rows of unit length (or as they are)."""
-    value = F.col("value")
-    if normalise:
-        value = value / F.sqrt(F.sum(F.col("value") * F.col("value")).over(Window.partitionBy("user_id")))
-    rows = cells.select("user_id", "product_id", value.alias("r"))
-    a = rows.select("user_id", F.col("product_id").alias("i"), F.col("r").alias("ri"))
-    b = rows.select("user_id", F.col("product_id").alias("j"), F.col("r").alias("rj"))
-    return a.join(b, "user_id").where("i <= j").groupBy("i", "j").agg(F.sum(F.col("ri") * F.col("rj")).alias("dot"))
+    """(i, j, dot) with i <= j over user rows of unit length (or as they are).
+
+    Pairs are made tile by tile and added up inside the task, so they are shuffled once as sums.
+    """
+    lengths = cells.groupBy("user_id").agg(F.count("*").alias("n"), F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("length"))
+    value = F.col("value") / F.col("length") if normalise else F.col("value")
+    rows = cells.select("user_id", "product_id", "value").join(lengths, "user_id").select("user_id", "product_id", value.alias("r"), "n")
+    return _history_tiles(rows).mapInArrow(_pair_sums, "i string, j string, dot double").groupBy("i", "j").agg(F.sum("dot").alias("dot"))
 
 
 def similarity(cells: DataFrame, shrink: float = 10.0) -> DataFrame:

@@ -98,6 +98,29 @@ def test_numbered_places(spark):
     assert got == {p: n for n, (_, p) in enumerate(sorted((-(i % 5), f"p{i:02d}") for i in range(40)), 1)}
 
 
+@pytest.mark.parametrize("block, held", [(512, 1 << 22), (4, 5)])
+def test_tiled_pairs_equal_joined_pairs(spark, world, block, held, monkeypatch):
+    _, _, cells = world
+    monkeypatch.setattr(knn, "HISTORY_BLOCK", block)
+    monkeypatch.setattr(knn, "PAIRS_HELD", held)
+    for unit in (True, False):
+        rows = cells.join(cells.groupBy("user_id").agg(F.expr("sqrt(sum(value * value))").alias("l")), "user_id").selectExpr("user_id", "product_id", f"value / {'l' if unit else 1} r")
+        a, b = rows.selectExpr("user_id", "product_id i", "r ri"), rows.selectExpr("user_id", "product_id j", "r rj")
+        want = a.join(b, "user_id").where("i <= j").groupBy("i", "j").agg(F.expr("sum(ri * rj)").alias("want"))
+        got = knn.cooccurrence(cells, unit)
+        assert got.count() == want.count() == got.join(want, ["i", "j"]).where("abs(dot - want) < 1e-9").count()
+
+
+def test_one_long_history_is_many_tasks(spark):
+    """A user with 3,000 items among short ones: tiles of all tasks stay small."""
+    cells = spark.range(3000).selectExpr("'U' user_id", "concat('P', id) product_id", "1.0D value").unionByName(spark.range(200).selectExpr("concat('u', id % 50) user_id", "concat('P', id) product_id", "2.0D value"))
+    rows = cells.join(cells.groupBy("user_id").agg(F.count("*").alias("n")), "user_id").withColumn("r", F.col("value"))
+    tiles = knn._history_tiles(rows).withColumn("task", F.spark_partition_id()).selectExpr("task", "size(a) na", "coalesce(size(b), 0) nb").collect()
+    assert max(t.na for t in tiles) < 2 * knn.HISTORY_BLOCK and sum(t.nb > 0 for t in tiles) == 15
+    assert len({t.task for t in tiles if t.nb > 0}) > 2
+    assert knn.cooccurrence(cells, False).where("dot > 0").count() == 3000 * 3001 // 2
+
+
 def test_padding_equals_dense_ranking(spark, world):
     p, _, cells = world
     near = knn.neighbours(knn.similarity(cells), 5)
