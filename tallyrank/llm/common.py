@@ -49,8 +49,11 @@ def bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
     """Like stored(), in buckets of the column: joins and windows by it (and more) then move no row.
 
     As many buckets as shuffle partitions; a df that is dealt by the column already writes a file each.
+    Sets spark.sql.requireAllClusterKeysForCoPartition to false in the session, without which a join by
+    the column and more would deal both sides anew.
     """
     spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column).option("path", scratch(spark, name)).saveAsTable(table)
     out = spark.table(table)
     spark.sql(f"DROP TABLE {table}")  # its name alone: out goes on reading the files
