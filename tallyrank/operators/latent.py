@@ -1,8 +1,9 @@
-"""Truncated singular vectors of the user by item table, by block power iterations.
+"""Truncated singular vectors of the user by item table, by passes over it until residuals are small.
 
-The items' factor block is small (items times factors) and checked against a bound; each
-iteration ships it to the tasks, which multiply their users' rows with it and back and
-add up whole blocks of items. The scores of a user are its row times V times V transposed, made for
+While the items' factor block (items times factors) is within a bound, the driver holds it and a Krylov basis
+made of it; each pass ships a block to the tasks, which multiply their users' rows with it and back and
+add up whole blocks of items. Beyond the bound the block is a table by item, passes are two
+joins with sums, and only matrices of the factors' width meet on the driver. The scores of a user are its row times V times V transposed, made for
 a chunk of users against all items by one matrix product; of the dense result only what is
 asked for leaves a task.
 """
@@ -18,10 +19,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
+from .sparse import block_count, block_of
 
 FACTORS = 64
-ITERATIONS = 15
 OVERSAMPLE = 10
+#: Residuals in units of the largest eigenvalue of X'X, and passes after which it's an error not to have reached it.
+TOLERANCE = 1e-7
+MAX_PASSES = 200
+#: Blocks of a Krylov basis before it starts anew from its best vectors.
+KRYLOV_BLOCKS = 8
+FACTOR_SCHEMA = "product_id string, factors array<double>"
 #: Numbers in the factor block: half a gigabyte of doubles.
 MAX_BLOCK = 1 << 26
 #: So many items or fewer are solved exactly, by one pass with a block as wide as they are many.
@@ -29,6 +36,7 @@ EXACT_ITEMS = 512
 #: Items of a block of partial sums, and numbers of a chunk of dense scores.
 BLOCK_ITEMS = 4096
 CHUNK_NUMBERS = 1 << 22
+BLOCK_USERS = 512
 
 
 def _checked(n_items: int, width: int) -> None:
@@ -36,22 +44,33 @@ def _checked(n_items: int, width: int) -> None:
         raise ValueError(f"{n_items} items with {width} factors exceed the block of {MAX_BLOCK} numbers")
 
 
-def item_factors(cells: DataFrame, products: DataFrame | None = None, n_factors: int = FACTORS, iterations: int = ITERATIONS, seed: int = 42) -> pd.DataFrame:
-    """product_id and factors (arrays) of the items that have cells, in order of id."""
+def item_factors(cells: DataFrame, products: DataFrame | None = None, n_factors: int = FACTORS, tolerance: float = TOLERANCE, seed: int = 42) -> DataFrame:
+    """(product_id, factors) of the items that have cells: right singular vectors, the largest first.
+
+    Passes go on until every factor's residual, |X'X v - lambda v|, is within the tolerance of the largest
+    lambda; RuntimeError if MAX_PASSES don't suffice. Up to MAX_BLOCK numbers the items' block is
+    held by the driver, beyond that by the tasks.
+    """
     n_users = cells.select("user_id").distinct().count()
     items = cells.select("product_id").distinct()
     n_own = items.count()
     n_items = products.select("product_id").distinct().count() if products is not None else n_own
-    f = min(n_factors, max(2, min(n_users, n_items) - 1))
-    width = min(f + OVERSAMPLE, max(1, n_own))
-    if n_own <= EXACT_ITEMS:
-        width, iterations = n_own, 0
-    _checked(n_own, width)
+    f = min(n_factors, max(2, min(n_users, n_items) - 1), max(1, n_own))
+    spark = cells.sparkSession
     if not n_own:
-        return pd.DataFrame({"product_id": [], "factors": []})
+        return spark.createDataFrame([], FACTOR_SCHEMA)
+    width = n_own if n_own <= EXACT_ITEMS else min(f + OVERSAMPLE, n_own)
+    if n_own * width > MAX_BLOCK:
+        return _spread_factors(cells, f, min(f + OVERSAMPLE, n_own), tolerance, seed)
     ids = [r.product_id for r in items.orderBy("product_id").collect()]
-    spark = cells.sparkSession
-    places = spark.createDataFrame(list(zip(ids, range(n_own), strict=True)), "product_id string, i int")
+    block = _driver_block(cells, ids, f, width, tolerance, seed)
+    return spark.createDataFrame(pd.DataFrame({"product_id": ids, "factors": block.tolist()}), FACTOR_SCHEMA)
+
+
+def _driver_block(cells: DataFrame, ids: list[str], f: int, width: int, tolerance: float, seed: int) -> np.ndarray:
+    """The factors as a block (items, f): a Krylov basis that each pass widens by the block of residuals, restarted from its best when it is full."""
+    spark, n = cells.sparkSession, len(ids)
+    places = spark.createDataFrame(list(zip(ids, range(n), strict=True)), "product_id string, i int")
     rows = checkpointed(cells.join(places, "product_id").groupBy("user_id").agg(F.collect_list("i").alias("i"), F.collect_list("value").alias("v")).select("i", "v"))
 
     def gram(block: np.ndarray) -> np.ndarray:
@@ -77,13 +96,100 @@ def item_factors(cells: DataFrame, products: DataFrame | None = None, n_factors:
         shipped.unpersist()
         return np.concatenate([np.frombuffer(r.y) for r in sorted(found, key=lambda r: r.b)]).reshape(block.shape)
 
-    block = np.linalg.qr(np.random.default_rng(seed).normal(size=(n_own, width)))[0]
-    for _ in range(iterations):
-        block = np.linalg.qr(gram(block))[0]
-    small = block.T @ gram(block)
-    values, vectors = np.linalg.eigh((small + small.T) / 2)
-    best = np.argsort(-values)[:f]
-    return pd.DataFrame({"product_id": ids, "factors": (block @ vectors[:, best]).tolist()})
+    most = max(width, min(n, MAX_BLOCK // n // 2, KRYLOV_BLOCKS * width))
+    basis = np.linalg.qr(np.random.default_rng(seed).normal(size=(n, width)))[0]
+    images = gram(basis)
+    for _ in range(MAX_PASSES):
+        small = basis.T @ images
+        values, vectors = np.linalg.eigh((small + small.T) / 2)
+        best = np.argsort(-values)[:width]
+        ritz, met = basis @ vectors[:, best], images @ vectors[:, best]
+        rest = met - ritz * values[best]
+        if basis.shape[1] == n or np.linalg.norm(rest[:, :f], axis=0).max() <= tolerance * max(values[best[0]], 1e-300):
+            return ritz[:, :f]
+        if basis.shape[1] + width > most:
+            basis, images = ritz, met
+        for _ in range(2):
+            rest -= basis @ (basis.T @ rest)
+            rest = np.linalg.qr(rest)[0]
+        rest = rest[:, : n - basis.shape[1]]
+        basis, images = np.hstack([basis, rest]), np.hstack([images, gram(rest)])
+    raise RuntimeError(f"factors did not settle within {tolerance} in {MAX_PASSES} passes")
+
+
+def _entries(rows: DataFrame, name: str, parts) -> dict[int, float]:
+    """The sum over tasks of the small matrix that parts makes of a batch's columns, by entry: its size doesn't depend on the items."""
+
+    columns = rows.columns
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0.0
+        for batch in batches:
+            if batch.num_rows:
+                total = total + parts(*(_matrix(batch.column(c)) for c in columns)).ravel()
+        if np.ndim(total):
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["at", name])
+
+    return dict(rows.mapInArrow(run, f"at long, {name} double").groupBy("at").agg(F.sum(name)).collect())
+
+
+def _matrix(column: pa.ListArray) -> np.ndarray:
+    return np.asarray(column.flatten(), float).reshape(len(column), -1)
+
+
+def _small(entries: dict[int, float], width: int) -> np.ndarray:
+    out = np.zeros(width * width)
+    out[list(entries)] = list(entries.values())
+    return out.reshape(width, width)
+
+
+def _times(rows: DataFrame, column: str, by: np.ndarray) -> DataFrame:
+    """(product_id, factors): the array column of each row times a small matrix."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("product_id"), pa.array(list(_matrix(batch.column(column)) @ by), pa.list_(pa.float64()))], ["product_id", "factors"])
+
+    return rows.select("product_id", column).mapInArrow(run, FACTOR_SCHEMA)
+
+
+def _orthonormal(rows: DataFrame, width: int) -> DataFrame:
+    """Rows whose columns are orthonormal and span the same, by two rounds of Cholesky factors of their small Gram matrix."""
+    for _ in range(2):
+        gram = _small(_entries(rows.select("factors"), "g", lambda q: q.T @ q), width)
+        scale = np.sqrt(np.maximum(np.diag(gram), 1e-300))
+        gram = gram / np.outer(scale, scale) + 1e-14 * np.eye(width)
+        rows = checkpointed(_times(rows, "factors", np.linalg.inv(np.linalg.cholesky(gram)).T / scale[:, None]))
+    return rows
+
+
+def user_projections(cells: DataFrame, factors: DataFrame, width: int) -> DataFrame:
+    """(user_id, u): each user's row times the factors, as sums of columns."""
+    met = cells.join(factors, "product_id").groupBy("user_id").agg(*(F.sum(F.col("value") * F.get("factors", F.lit(c))).alias(f"u{c}") for c in range(width)))
+    return met.select("user_id", F.array(*(f"u{c}" for c in range(width))).alias("u"))
+
+
+def _spread_factors(cells: DataFrame, f: int, width: int, tolerance: float, seed: int) -> DataFrame:
+    """item_factors with the block laid out by item: joins and sums make X'X times it, small matrices alone meet on the driver."""
+
+    def start(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [np.random.default_rng([seed, *p.encode()]).normal(size=width) for p in batch.column("product_id").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("product_id"), pa.array(rows, pa.list_(pa.float64()))], ["product_id", "factors"])
+
+    q = _orthonormal(checkpointed(cells.select("product_id").distinct().mapInArrow(start, FACTOR_SCHEMA)), width)
+    for _ in range(MAX_PASSES):
+        sums = cells.join(user_projections(cells, q, width), "user_id").groupBy("product_id").agg(*(F.sum(F.col("value") * F.get("u", F.lit(c))).alias(f"y{c}") for c in range(width)))
+        both = checkpointed(q.join(sums.select("product_id", F.array(*(f"y{c}" for c in range(width))).alias("y")), "product_id"))
+        small = _small(_entries(both.select("factors", "y"), "s", lambda a, y: a.T @ y), width)
+        values, vectors = np.linalg.eigh((small + small.T) / 2)
+        best = np.argsort(-values)[:f]
+        values, vectors = values[best], vectors[:, best]
+        rest = _entries(both.select("factors", "y"), "r", lambda a, y: ((y @ vectors - a @ vectors * values) ** 2).sum(axis=0))  # noqa: B023
+        if np.sqrt(max(rest.values())) <= tolerance * max(values[0], 1e-300):
+            return checkpointed(_times(both, "factors", vectors))
+        q = _orthonormal(both.select("product_id", F.col("y").alias("factors")), width)
+    raise RuntimeError(f"factors did not settle within {tolerance} in {MAX_PASSES} passes")
 
 
 def factor_block(factors: DataFrame) -> tuple[list[str], np.ndarray]:
@@ -112,6 +218,9 @@ def projections(batch: pa.RecordBatch, block: np.ndarray, first: int, last: int)
 
 def scores(cells: DataFrame, factors: DataFrame) -> DataFrame:
     """(user_id, product_id, score) of each user with cells and each item with factors: dense."""
+    width = factors.agg(F.max(F.size("factors"))).first()[0] or 0
+    if factors.count() * width > MAX_BLOCK:
+        return _spread_scores(cells, factors, width)
     ids, block = factor_block(factors)
     shipped = cells.sparkSession.sparkContext.broadcast((ids, block))
 
@@ -128,6 +237,25 @@ def scores(cells: DataFrame, factors: DataFrame) -> DataFrame:
     return user_rows(cells, ids).mapInArrow(run, "user_id string, product_id string, score double")
 
 
+def _spread_scores(cells: DataFrame, factors: DataFrame, width: int) -> DataFrame:
+    """scores() for factors that no one machine holds: blocks of users meet blocks of items."""
+    users = cells.select("user_id").distinct().join(user_projections(cells, factors, width), "user_id", "left").select("user_id", F.coalesce("u", F.array_repeat(F.lit(0.0), width)).alias("u"))
+    n_ub, n_ib = block_count(users, BLOCK_USERS), block_count(factors, BLOCK_ITEMS)
+    people = users.groupBy(block_of("user_id", n_ub).alias("ub")).agg(F.collect_list(F.struct("user_id", "u")).alias("users"))
+    items = factors.groupBy(block_of("product_id", n_ib).alias("ib")).agg(F.collect_list(F.struct("product_id", "factors")).alias("items"))
+    pairs = people.withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(n_ib - 1)))).join(items, "ib")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                a, b = batch.column("users")[r].values, batch.column("items")[r].values
+                dense = _matrix(a.field("u")) @ _matrix(b.field("factors")).T
+                i, j = (pa.array(x.ravel()) for x in np.indices(dense.shape))
+                yield pa.RecordBatch.from_arrays([a.field("user_id").take(i), b.field("product_id").take(j), pa.array(dense.ravel())], ["user_id", "product_id", "score"])
+
+    return pairs.repartition(min(n_ub * n_ib, 10_000), "ub", "ib").select("users", "items").mapInArrow(run, "user_id string, product_id string, score double")
+
+
 def explain(cells: DataFrame, factors: DataFrame, near: DataFrame) -> DataFrame:
     """One row: explained_variance (see explained), n_factors, and knn_nnz, the entries of the neighbour table."""
     width = factors.agg(F.coalesce(F.max(F.size("factors")), F.lit(0)).alias("n_factors"))

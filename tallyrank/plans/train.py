@@ -51,8 +51,7 @@ class Fitted:
         self.products, self.features, self.settings, self.params = products, item_features, settings, params
         self.cells = checkpointed(cells)
         self.near = checkpointed(knn.neighbours(knn.similarity(self.cells, settings.knn_shrink), settings.knn_top_k))
-        made = latent.item_factors(self.cells, products, settings.svd_factors)
-        self.factors = cells.sparkSession.createDataFrame(made, "product_id string, factors array<double>")
+        self.factors = checkpointed(latent.item_factors(self.cells, products, settings.svd_factors))
         self.packs = checkpointed(packed(item_features))
 
     def collaborative(self, k: int, knn_weight: float | None = None) -> DataFrame:

@@ -365,8 +365,7 @@ def similar_content(w: Workspace) -> DataFrame:
 
 
 def _factors(w: Workspace) -> DataFrame:
-    made = latent.item_factors(w.models.cells, w.products)
-    return w.spark.createDataFrame(made, "product_id string, factors array<double>")
+    return w.keep(latent.item_factors(w.models.cells, w.products))
 
 
 @query()

@@ -43,8 +43,7 @@ class Models:
     @cached_property
     def two_factors(self) -> DataFrame:
         """What SQL can follow of the latent part: the two largest singular vectors. The default is latent.FACTORS."""
-        made = latent.item_factors(self.cells, self.work.products, 2)
-        return self.work.keep(self.work.spark.createDataFrame(made, "product_id string, factors array<double>"))
+        return self.work.keep(latent.item_factors(self.cells, self.work.products, 2))
 
     def blends(self, k: int, weights: tuple[float, ...] = (0.5,)) -> DataFrame:
         """Collaborative lists with the latent part, one for each neighbour weight."""

@@ -215,8 +215,7 @@ def test_knn_matches_numpy_and_is_symmetric_before_pruning(spark, world):
 def test_svd_matches_numpy(spark, world):
     p, _, cells = world
     users, items, m = dense(cells)
-    made = latent.item_factors(cells, p, n_factors=8, iterations=40)
-    factors = spark.createDataFrame(made, "product_id string, factors array<double>")
+    factors = latent.item_factors(cells, p, n_factors=8)
     v = np.linalg.svd(m)[2][:8].T
     want = m @ v @ v.T
     got = np.zeros_like(want)
@@ -335,7 +334,7 @@ def test_collaborative_blend_matches_numpy(spark, world, weights, monkeypatch):
     monkeypatch.setattr(latent, "CHUNK_NUMBERS", 500)
     p, _, cells = world
     near = knn.neighbours(knn.similarity(cells), 6)
-    factors = spark.createDataFrame(latent.item_factors(cells, p, n_factors=4), "product_id string, factors array<double>")
+    factors = latent.item_factors(cells, p, n_factors=4)
     ids = sorted(r.product_id for r in p.collect())
     users, items, m = dense(cells)
     v = np.linalg.svd(m)[2][:4].T
@@ -359,15 +358,34 @@ def test_collaborative_blend_matches_numpy(spark, world, weights, monkeypatch):
 
 def test_exact_and_iterated_factors_agree(spark, world, monkeypatch):
     p, _, cells = world
-    exact = latent.item_factors(cells, p, n_factors=3)
+    def block(df):
+        rows = sorted(df.collect())
+        return [r.product_id for r in rows], np.array([r.factors for r in rows])
+
+    ids, exact = block(latent.item_factors(cells, p, n_factors=3))
+    dense_scores = {(r.user_id, r.product_id): r.score for r in latent.scores(cells, latent.item_factors(cells, p, n_factors=3)).collect()}
     monkeypatch.setattr(latent, "EXACT_ITEMS", 0)
     monkeypatch.setattr(latent, "BLOCK_ITEMS", 16)
-    found = latent.item_factors(cells, p, n_factors=3, iterations=60)
-    a, b = np.array(exact["factors"].tolist()), np.array(found["factors"].tolist())
-    assert list(exact["product_id"]) == list(found["product_id"]) and np.allclose(a @ a.T, b @ b.T, atol=1e-4)
-    monkeypatch.setattr(latent, "MAX_BLOCK", 100)
+    monkeypatch.setattr(latent, "OVERSAMPLE", 2)
+    monkeypatch.setattr(latent, "KRYLOV_BLOCKS", 3)
+    m = dense(cells)[2]
+    for most in (1 << 26, 100):  # held by the driver, then by the tasks
+        monkeypatch.setattr(latent, "MAX_BLOCK", most)
+        tolerance = 1e-9 if most > 100 else 1e-4
+        factors = latent.item_factors(cells, p, n_factors=3, tolerance=tolerance).cache()
+        names, found = block(factors)
+        assert names == ids and np.allclose(found.T @ found, np.eye(3), atol=1e-9)
+        gram = m.T @ m
+        assert np.linalg.norm(gram @ found - found @ (found.T @ gram @ found), axis=0).max() <= 2 * tolerance * np.linalg.eigvalsh(gram)[-1]
+        assert np.allclose(exact @ exact.T, found @ found.T, atol=1e-6 if most > 100 else 0.03)
+        scored = {(r.user_id, r.product_id): r.score for r in latent.scores(cells, factors).collect()}
+        assert scored.keys() == dense_scores.keys() and all(abs(x - dense_scores[k]) < (1e-5 if most > 100 else 0.2) for k, x in scored.items())
     with pytest.raises(ValueError):
-        latent.item_factors(cells, p)
+        latent.factor_block(factors)
+    monkeypatch.setattr(latent, "MAX_PASSES", 1)
+    monkeypatch.setattr(latent, "MAX_BLOCK", 1 << 26)
+    with pytest.raises(RuntimeError):
+        latent.item_factors(cells, p, n_factors=3, tolerance=1e-15)
 
 
 def test_users_with_few_scores_are_padded_and_others_are_not(spark):
