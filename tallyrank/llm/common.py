@@ -54,7 +54,7 @@ def bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
     """
     spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
-    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column).option("path", scratch(spark, name)).saveAsTable(table)
+    df.write.option("compression", "zstd").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column).option("path", scratch(spark, name)).saveAsTable(table)
     out = spark.table(table)
     spark.sql(f"DROP TABLE {table}")  # its name alone: out goes on reading the files
     return out

@@ -101,20 +101,23 @@ class Tokenizers:
 
 
 _ENCODED = pa.schema(
-    [("block", pa.int64()), ("nth", pa.int32()), ("text", pa.int32()), ("doc_id", pa.int64()), ("words", pa.list_(pa.int32())), ("word", pa.int32())]
+    [("block", pa.int64()), ("first", pa.int64()), ("text", pa.int64()), ("doc_id", pa.int64()), ("words", pa.list_(pa.int32())), ("word", pa.int64())]
     + [(c, pa.list_(pa.int32())) for c in ("a", "b", "a_sizes", "b_sizes")]
 )
-_ENCODED_SQL = "block long, nth int, text int, doc_id long, words array<int>, word int, a array<int>, b array<int>, a_sizes array<int>, b_sizes array<int>"
-#: A word of a block.
-WORD = ["block", "nth", "word"]
-TEXT = ["block", "nth", "text"]
+_ENCODED_SQL = "block long, first long, text long, doc_id long, words array<int>, word long, a array<int>, b array<int>, a_sizes array<int>, b_sizes array<int>"
+#: A word and a text of a block.
+WORD = ["block", "word"]
+TEXT = ["block", "text"]
 
 
 class _Block:
-    """Texts until they are enough, and their distinct words; named by the hash of the first, by which it is dealt."""
+    """Texts until they are enough, and their distinct words; named by the hash of the first, by which it is dealt.
+
+    Several blocks of a task may share a name, so words and texts are numbered from the block's place in its task on.
+    """
 
     def __init__(self, name: int, nth: int):
-        self.name, self.nth, self.size, self.texts = name, nth, 0, []
+        self.name, self.first, self.size, self.texts = name, nth << 32, 0, []
         self.words: dict[str, int] = defaultdict()
         self.words.default_factory = self.words.__len__
 
@@ -129,19 +132,21 @@ class _Block:
             a, b, good = pair.encode(some)
             bad[at : at + len(some)] = ~np.array(good)
             sized = [pa.array([s[np.array(x, np.int64)] for x in y], pa.list_(pa.int32())) for s, y in ((pair.a_sizes, a), (pair.b_sizes, b))]
-            yield self._batch(len(some), word=np.arange(at, at + len(some)), a=a, b=b, a_sizes=sized[0], b_sizes=sized[1])
+            yield self._batch(len(some), word=np.arange(at, at + len(some)) + self.first, a=a, b=b, a_sizes=sized[0], b_sizes=sized[1])
         for at in range(0, len(self.texts), 200):
             some = self.texts[at : at + 200]
             # A text with a word that is not its tokens' bytes has no tokens at all.
-            yield self._batch(len(some), text=np.arange(at, at + len(some)), doc_id=[d for d, _ in some], words=[w[:0] if bad[w].any() else w for _, w in some])
+            yield self._batch(len(some), text=np.arange(at, at + len(some)) + self.first, doc_id=[d for d, _ in some], words=[w[:0] if bad[w].any() else w for _, w in some])
 
     def _batch(self, n: int, **columns) -> pa.RecordBatch:
-        columns |= {"block": np.full(n, self.name, np.int64), "nth": np.full(n, self.nth, np.int32)}
+        columns |= {"block": np.full(n, self.name, np.int64), "first": np.full(n, self.first, np.int64)}
         return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _ENCODED], schema=_ENCODED)
 
 
 def encoded(docs: DataFrame, tokenizers: Tokenizers) -> DataFrame:
-    """Rows of words (block, nth, word, a, b, a_sizes, b_sizes) and of texts (block, nth, text, doc_id, words), in buckets of block.
+    """Rows of words (block, word, a, b, a_sizes, b_sizes) and of texts (block, first, text, doc_id, words), in buckets of block.
+
+    A text's words are places from the block's first on.
 
     docs (doc_id, text) holds no null or empty text.
     """
@@ -171,7 +176,7 @@ def _ends(words: DataFrame, side: str) -> DataFrame:
 
 
 def aligned(words: DataFrame) -> DataFrame:
-    """(block, nth, word, groups): a word's groups in order, each the ids and sizes of its A and B tokens."""
+    """(block, word, groups): a word's groups in order, each the ids and sizes of its A and B tokens."""
     cuts = _ends(words, "a").join(_ends(words, "b"), [*WORD, "end"])
     listed = cuts.groupBy(*WORD).agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("cuts"))
 
@@ -207,7 +212,7 @@ def _group_links(group: Column) -> Column:
 
 
 def _range_links(words: DataFrame) -> DataFrame:
-    """(block, nth, word, far): the links of long groups. Both sides are laid out by ranges of RANGE bytes, and a pair counts where it begins."""
+    """(block, word, far): the links of long groups. Both sides are laid out by ranges of RANGE bytes, and a pair counts where it begins."""
     long = words.select(*WORD, F.posexplode("groups").alias("g", "group")).where(~_is_small(F.col("group")))
     key = [*WORD, "g"]
 
@@ -222,7 +227,7 @@ def _range_links(words: DataFrame) -> DataFrame:
 
 
 def word_links(words: DataFrame) -> DataFrame:
-    """(block, nth, word, groups, pairs): all links of a word, an id pair as one number."""
+    """(block, word, groups, pairs): all links of a word, an id pair as one number."""
     near = words.withColumn("pairs", F.flatten(F.transform(F.filter("groups", _is_small), _group_links)))
     far = stored(_range_links(words), "far")
     if far.isEmpty():
@@ -232,7 +237,7 @@ def word_links(words: DataFrame) -> DataFrame:
 
 def pair_counts(texts: DataFrame, words: DataFrame) -> DataFrame:
     """(pair, n, best): how many texts hold the pair linked, and whether that is the highest of its A id."""
-    own = texts.select(*TEXT, F.explode(F.array_distinct("words")).alias("word"))
+    own = texts.select(*TEXT, "first", F.explode(F.array_distinct("words")).alias("w")).select(*TEXT, (F.col("first") + F.col("w")).alias("word"))
     held = own.join(words.select(*WORD, F.array_distinct("pairs").alias("pairs")), WORD)
     n = stored(held.select(*TEXT, F.explode("pairs").alias("pair")).distinct().groupBy("pair").agg(F.count("*").alias("n")), "pairs")
     highest = n.groupBy(F.shiftright("pair", 32).alias("a")).agg(F.max("n").alias("most"))
@@ -248,7 +253,7 @@ def align(docs: DataFrame, tokenizers: Tokenizers) -> DataFrame:
     docs = documents_of(docs)
     some = F.coalesce(F.octet_length("text"), F.lit(0)) > 0
     rows = encoded(docs.where(some), tokenizers)
-    texts = rows.where("text is not null").select(*TEXT, "doc_id", "words")
+    texts = rows.where("text is not null").select(*TEXT, "first", "doc_id", "words")
     words = word_links(aligned(rows.where("word is not null")))
     counts = pair_counts(texts, words)
     # Each block's distinct pairs fetch their counts, rather than each word's.
@@ -258,7 +263,8 @@ def align(docs: DataFrame, tokenizers: Tokenizers) -> DataFrame:
     spelt = F.array_join(F.transform("groups", lambda g: F.concat(F.concat_ws(",", g["a"].cast("array<string>")), F.lit("|"), F.concat_ws(",", g["b"].cast("array<string>")))), ";")
     total = lambda side: F.aggregate("groups", F.lit(0).cast("long"), lambda s, g: s + F.size(g[side]))
     facts = words.select(*WORD, total("a").alias("n_a"), total("b").alias("n_b"), F.size("groups").cast("long").alias("n_groups"), spelt.alias("spelt")).join(sums, WORD)
-    met = texts.select(*TEXT, "doc_id", F.posexplode_outer("words").alias("p", "word")).join(facts, WORD, "left")
+    laid = texts.select(*TEXT, "doc_id", "first", F.posexplode_outer("words").alias("p", "w"))
+    met = laid.select(*TEXT, "doc_id", "p", (F.col("first") + F.col("w")).alias("word")).join(facts, WORD, "left")
     names = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
     listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("spelt").isNotNull(), F.struct("p", "spelt")))), lambda x: x["spelt"]), ";")
     found = met.groupBy(*TEXT, "doc_id").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names), listed.alias("groups"))

@@ -112,8 +112,8 @@ def test_no_row_moves_within_blocks(spark, request):
     docs = spark.createDataFrame([r for r in ROWS if r[1]], "doc_id long, text string")
     rows = token_alignment.encoded(docs, Tokenizers(spark))
     words = token_alignment.aligned(rows.where("word is not null"))
-    held = words.join(rows.where("text is not null").selectExpr("block", "nth", "text", "explode(words) word"), ["block", "nth", "word"]).groupBy("block", "nth", "text").count()
-    ends = token_alignment._ends(rows.where("word is not null"), "a").join(token_alignment._ends(rows.where("word is not null"), "b"), ["block", "nth", "word", "end"])
+    held = words.join(rows.where("text is not null").selectExpr("block", "text", "first", "explode(words) w").selectExpr("block", "text", "first + w word"), ["block", "word"]).groupBy("block", "text").count()
+    ends = token_alignment._ends(rows.where("word is not null"), "a").join(token_alignment._ends(rows.where("word is not null"), "b"), ["block", "word", "end"])
     for df in (words, ends, held):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan and ("Join" in plan or df is words)
