@@ -12,6 +12,7 @@ from ..functions.weights import event_weight, recency_decay
 from ..operators import catalog, content, features, hybrid, interactions, knn, latent, metrics, popularity
 from ..operators.ranking import rank_topk
 from ..operators.split import segments
+from ..plans import evaluate
 from ..sources import store
 from ..sources.adapters import read
 from .fragments import oracle
@@ -373,6 +374,13 @@ def svd_scores(w: Workspace) -> DataFrame:
     return rounded(latent.scores(w.models.cells, _factors(w)), "score")
 
 
+@query("SELECT product_id, round(x, 6) AS x FROM o_first1")
+def svd_first_factor(w: Workspace) -> DataFrame:
+    """The first factor of all orders (they hardly fade) against the whole catalogue, by passes until its residual is small."""
+    cells = w.keep(interactions.interaction_matrix(w.star, w.products, halflife_days=36500.0))
+    return latent.item_factors(cells, w.products, 1).select("product_id", F.round(F.abs(F.get("factors", F.lit(0))), 6).alias("x"))
+
+
 @query()
 def collaborative_recs(w: Workspace) -> DataFrame:
     return rounded(hybrid.recommend_collaborative(w.models.cells, w.products, w.models.near, _factors(w), 10), "score")
@@ -478,13 +486,8 @@ def metrics_at_k(w: Workspace) -> DataFrame:
 
 @query("SELECT model, segment, k, count(*)::BIGINT AS n_users, " + ", ".join(f'round(avg("{c}"), 6) AS "{c}"' for c in _METRICS) + " FROM (SELECT 'collaborative' AS model, * FROM kuser UNION ALL SELECT 'popularity', * FROM puser) u JOIN s_seg USING (user_id) GROUP BY ALL")
 def eval_summary(w: Workspace) -> DataFrame:
-    from ..plans.evaluate import summarise
-
-    found = None
-    for name in ("collaborative", "popularity"):
-        part = summarise(name, w.split_models.recommend(name, 20), w.split.truth(), segments(w.split.train_counts), KS)
-        found = part if found is None else found.unionByName(part)
-    return rounded(found, *_METRICS)
+    recs = evaluate.of_models({name: w.split_models.recommend(name, 20) for name in ("collaborative", "popularity")})
+    return rounded(evaluate.summarise(recs, w.split.truth(), segments(w.split.train_counts), KS), *_METRICS)
 
 
 @query("SELECT k, round(count(DISTINCT product_id) / (SELECT count(*) FROM prod), 6) AS coverage FROM krecs20 JOIN (SELECT unnest([5, 10, 20]) AS k) ON rank <= k GROUP BY k")
@@ -544,18 +547,33 @@ def tuning_grid_full(w: Workspace) -> DataFrame:
 
 @query("SELECT split_part(u.user_id, '#', 1) AS model, segment, k, count(*)::BIGINT AS n_users, " + ", ".join(f'round(avg("{c}"), 6) AS "{c}"' for c in _METRICS) + " FROM evuser u JOIN t_seg s ON split_part(u.user_id, '#', 2) = s.user_id GROUP BY ALL")
 def eval_models(w: Workspace) -> DataFrame:
-    """Four models over the split of the events table; the collaborative one, and the hybrid's member, with two latent factors."""
-    from ..plans.evaluate import summarise
-
+    """Four models over the split of visitors' events; the collaborative one, and the hybrid's member, with two latent factors."""
+    s = w.tuning_split
+    return rounded(evaluate.summarise(evaluate.of_models(w.four_models), s.truth(), segments(s.train_counts), KS), *_METRICS)
+
+
+_EV = """(SELECT split_part(r.user_id, '#', 1) AS model, s.user_id, segment, k, product_id, rank FROM evrecs r JOIN t_seg s ON split_part(r.user_id, '#', 2) = s.user_id
+    JOIN (SELECT unnest([5, 10, 20]) AS k) ON rank <= k WHERE s.user_id IN (SELECT user_id FROM t_test))"""
+_EV_CHOSEN = f"""(SELECT model, segment, k, nth, items FROM (SELECT model, segment, k, user_id, list(product_id) AS items, row_number() OVER (PARTITION BY model, segment, k ORDER BY user_id) AS nth, count(*) OVER (PARTITION BY model, segment, k) AS n_lists
+  FROM {_EV} GROUP BY model, segment, k, user_id HAVING count(*) > 1) WHERE (nth - 1) % greatest(1, n_lists // 200) = 0 AND (nth - 1) // greatest(1, n_lists // 200) < 200)"""
+_EV_COS = "(SELECT x.product_id AS i, y.product_id AS j, sum(x.value * y.value) AS cos FROM feat x JOIN feat y USING (feature) WHERE x.product_id IN (SELECT product_id FROM evrecs) AND y.product_id IN (SELECT product_id FROM evrecs) GROUP BY ALL)"
+
+
+@query(f"""SELECT model, segment, k, coverage, novelty, personalisation, diversity FROM
+  (SELECT model, segment, k, round(count(DISTINCT product_id) / (SELECT count(*) FROM prod), 5) AS coverage FROM {_EV} GROUP BY ALL)
+  JOIN (SELECT model, segment, k, round(avg(n), 5) AS novelty FROM (SELECT model, segment, k, user_id, avg(-log2(greatest(coalesce(total / (SELECT sum(total) FROM tm_pop), 0), 1e-12))) AS n FROM {_EV} e LEFT JOIN tm_pop USING (product_id) GROUP BY ALL) GROUP BY ALL) USING (model, segment, k)
+  JOIN (SELECT model, segment, k, round(coalesce(1 - avg(len(list_intersect(x.items, y.items)) / len(list_distinct(list_concat(x.items, y.items)))), 0), 5) AS personalisation FROM {_EV_CHOSEN} x JOIN {_EV_CHOSEN} y USING (model, segment, k) WHERE x.nth < y.nth GROUP BY ALL) USING (model, segment, k)
+  JOIN (SELECT model, segment, k, round(avg(CASE WHEN n < 2 THEN 0 ELSE 1 - coalesce(total, 0) / (n * (n - 1)) END), 5) AS diversity FROM
+    (SELECT model, segment, k, user_id, count(*) AS n FROM {_EV} GROUP BY ALL) LEFT JOIN
+    (SELECT a.model, a.segment, a.k, a.user_id, sum(cos) AS total FROM {_EV} a JOIN {_EV} b ON a.model = b.model AND a.segment = b.segment AND a.k = b.k AND a.user_id = b.user_id AND a.rank <> b.rank JOIN {_EV_COS} c ON c.i = a.product_id AND c.j = b.product_id GROUP BY ALL)
+    USING (model, segment, k, user_id) GROUP BY ALL) USING (model, segment, k)""")
+def eval_beyond_accuracy(w: Workspace) -> DataFrame:
+    """What the full report says of the same four models besides accuracy: three segments, three prefixes."""
     m, s = w.tuning_models, w.tuning_split
-    blend = m.blends(100).drop("knn_weight")
-    fused = hybrid.recommend_rrf([(0.4, m.member("content")), (0.5, blend), (0.1, m.member("popularity"))], 20)
-    lists = {"content": m.member("content").where("rank <= 20"), "collaborative": blend.where("rank <= 20"), "popularity": m.member("popularity").where("rank <= 20"), "hybrid": fused}
-    found = None
-    for name, recs in lists.items():
-        part = summarise(name, recs, s.truth(), segments(s.train_counts), KS)
-        found = part if found is None else found.unionByName(part)
-    return rounded(found, *_METRICS)
+    shown = features.packed(w.features.join(evaluate.of_models(w.four_models).select("product_id").distinct(), "product_id", "left_semi"))
+    cosines = w.keep(features.cosines(shown, shown))
+    report = evaluate.evaluate(w.four_models, s.truth(), segments(s.train_counts), w.products, interactions.popularity_share(m.cells), KS, cosines)
+    return report.select("model", "segment", "k", "coverage", "novelty", "personalisation", "diversity")
 
 
 @query()

@@ -94,6 +94,19 @@ def _latent(cells: str, p: str) -> dict[str, str]:
     return out
 
 
+POWERS = 30
+
+
+def _power(cells: str, p: str) -> dict[str, str]:
+    """The largest right singular vector by powers of X'X on the sparse table; its size says nothing."""
+    out = {f"{p}_w0": f"SELECT product_id, 1.0::DOUBLE AS x FROM {cells} GROUP BY product_id"}
+    for n in range(POWERS):
+        out[f"{p}_a{n}"] = f"SELECT user_id, sum(value * x) AS x FROM {cells} JOIN {p}_w{n} USING (product_id) GROUP BY user_id"
+        out[f"{p}_w{n + 1}"] = f"SELECT product_id, sum(value * x) / (SELECT max(x) FROM {p}_a{n}) AS x FROM {cells} JOIN {p}_a{n} USING (user_id) GROUP BY product_id"
+    out[f"{p}_first1"] = f"SELECT product_id, x / sqrt(sum(x * x) OVER ()) AS x FROM {p}_w{POWERS}"
+    return out
+
+
 def _clean(x: str) -> str:
     return f"trim(regexp_replace(lower(coalesce({x}, '')), '[^a-z0-9]+', ' ', 'g'))"
 
@@ -121,6 +134,7 @@ def _tfidf(terms: str, min_df: int) -> str:
 
 FRAGMENTS: dict[str, str] = {
     "ev": f"SELECT {_pad('E', 'event_id')} AS event_id, {_pad('U', 'user_id')} AS user_id, {_pad('P', "json_extract_string(props, '$.k')")} AS product_id, CASE event_type WHEN 'click' THEN 'add_to_cart' WHEN 'signup' THEN 'wishlist' ELSE event_type END AS event_type, epoch_us(ts) AS us FROM events",
+    "vis": "SELECT event_id, user_id || '-' || (1 + sum(gap) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING)) AS user_id, product_id, event_type, us FROM (SELECT *, (us - coalesce(lag(us) OVER (PARTITION BY user_id ORDER BY us, event_id), us) > 48 * 3600000000)::INT AS gap FROM ev)",
     "star": f"""
   SELECT lpad(l_orderkey::VARCHAR, 10, '0') || '-' || lpad(l_linenumber::VARCHAR, 4, '0') || '-' || lpad(l_partkey::VARCHAR, 9, '0') || '-' || lpad(l_suppkey::VARCHAR, 9, '0') || '-' ||
          lpad(epoch_us(l_shipdate)::VARCHAR, 18, '0') || '-' || lpad(CAST(round(l_extendedprice * 100) AS BIGINT)::VARCHAR, 12, '0') AS event_id,
@@ -160,9 +174,11 @@ FRAGMENTS: dict[str, str] = {
     UNION ALL SELECT product_id, 'taxonomy:' || feature, 0.6 * value FROM tax UNION ALL SELECT product_id, 'numeric:' || feature, 0.25 * value FROM snum) WHERE v <> 0""",
     **_models("im", "m"),
     **_split("star", 5, 2, "s"),
-    **_split("ev", 7, 2, "t"),
+    **_split("vis", 7, 2, "t"),
     **_models("s_cells", "sm"),
     **_models("t_cells", "tm"),
+    "star_cells": _cells("star", halflife=36500.0),
+    **_power("star_cells", "o"),
     **_latent("im", "m"),
     **_latent("t_cells", "tm"),
     "fused": "SELECT user_id, product_id, sum(w / (60 + rank)) AS score FROM (SELECT 0.4 AS w, user_id, product_id, rank FROM m_crecs WHERE rank <= 100 UNION ALL SELECT 0.5, user_id, product_id, rank FROM m_krecs WHERE rank <= 100 UNION ALL SELECT 0.1, user_id, product_id, rank FROM m_poprecs WHERE rank <= 100) GROUP BY ALL",

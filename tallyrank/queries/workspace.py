@@ -86,6 +86,11 @@ class Workspace:
     def events(self) -> DataFrame:
         return adapters.dense_events(self.spark, self.sf_dir)
 
+    @cached_property
+    def visits(self) -> DataFrame:
+        """Events of visitors, with users of all segments among them."""
+        return self.keep(adapters.visitor_events(self.events))
+
     @cached_property
     def star(self) -> DataFrame:
         return self.keep(adapters.star_events(self.spark, self.sf_dir))
@@ -120,12 +125,20 @@ class Workspace:
 
     @cached_property
     def tuning_split(self) -> TemporalSplit:
-        return self._kept_split(temporal_split(self.events, 7, 2))
+        return self._kept_split(temporal_split(self.visits, 7, 2))
 
     @cached_property
     def tuning_models(self) -> Models:
         return Models(self, interactions.interaction_matrix(self.tuning_split.train, self.products))
 
+    @cached_property
+    def four_models(self) -> dict[str, DataFrame]:
+        """Lists of 20 of each model over the visitors' split."""
+        m = self.tuning_models
+        blend = m.blends(100).drop("knn_weight")
+        fused = self.keep(hybrid.recommend_rrf([(0.4, m.member("content")), (0.5, blend), (0.1, m.member("popularity"))], 20))
+        return {"content": m.member("content").where("rank <= 20"), "collaborative": blend.where("rank <= 20"), "popularity": m.member("popularity").where("rank <= 20"), "hybrid": fused}
+
     @cached_property
     def trial_scores(self) -> DataFrame:
         """Every fusion of the grid, scored on the validation part."""

@@ -1,16 +1,19 @@
 """The entities read from star-schema tables.
 
 dense_events: the events table; a hundred products, many events a user.
+visitor_events: events of visitors whose identity ends with a long silence; short and long histories.
 star_events: orders with their lines; sparse, many ties, users with little history.
 catalogue: parts as products. people: customers as users.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _TYPES = {"view": "view", "click": "add_to_cart", "signup": "wishlist", "purchase": "purchase"}
+#: A visitor who was silent for so long is not known again.
+SILENCE_HOURS = 48
 _FLAGS = {"A": "purchase", "R": "add_to_cart"}
 
 
@@ -38,6 +41,17 @@ def dense_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def visitor_events(events: DataFrame, silence_hours: int = SILENCE_HOURS) -> DataFrame:
+    """events with users cut into visitors: after so many hours without an event one comes back as another.
+
+    user_id becomes `user-1`, `user-2` and so on in order of time.
+    """
+    line = Window.partitionBy("user_id").orderBy("timestamp", "event_id")
+    gap = F.unix_micros("timestamp") - F.lag(F.unix_micros("timestamp")).over(line)
+    visit = F.sum((F.coalesce(gap, F.lit(0)) > silence_hours * 3_600_000_000).cast("int")).over(line) + 1
+    return events.withColumn("__gap", visit.cast("string")).withColumn("user_id", F.concat_ws("-", "user_id", "__gap")).drop("__gap")
+
+
 def star_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six columns identify a line; together they are its event_id."""
     flag = F.lit("view")
