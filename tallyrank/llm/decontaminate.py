@@ -5,8 +5,8 @@ words, fewer for items that are shorter). One scan joins the documents' shingle
 the benchmark's: what survives tells how often each shingle stands in the corpus, and so
 the order by rarity. A window can only occur where its rarest shingle does, so that prefix
 proposes (document, item, offset) and the windows' length and position bounds apply to it;
-then the surviving shingles on a proposed offset are laid out as runs, a run as long as
-the window agrees in every consecutive shingle hash, and the words of the few documents with
+then the item's shingles are laid out from a proposed offset on and joined with the document's at the same places: a run
+of them as long as the window agrees in every consecutive shingle hash, and the words of the few documents with
 such runs are compared with the item's one by one, so that no occurrence rests on hashes.
 
 The survivors are a few bytes each. The benchmark's shingles are broadcast up to a checked count, a
@@ -109,8 +109,9 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shi
     begin = F.col("offset") + F.col("start")
     bounded = proposed.where((begin >= 0) & (begin + F.col("need") + F.col("k") - 1 <= F.col("n_words")))
     offsets = bounded.select("doc_id", "mark", "item_id", "copy", "offset").distinct()
-    laid = hits.join(bench.select("item_id", "copy", "k", "need", "ipos", "h"), ["k", "h"]).withColumn("offset", F.col("pos") - F.col("ipos"))
-    verified = laid.join(offsets, [laid.doc_id.eqNullSafe(offsets.doc_id), laid.mark == offsets.mark, *(laid[c] == offsets[c] for c in ("item_id", "copy", "offset"))], "left_semi")
+    # Every shingle of a proposed item, where it would stand; the document's own at that place has to be the same.
+    laid = offsets.join(bench.select("item_id", "copy", "k", "need", "ipos", "h"), ["item_id", "copy"]).withColumn("pos", F.col("offset") + F.col("ipos")).where("pos >= 0")
+    verified = laid.join(hits, [laid.doc_id.eqNullSafe(hits.doc_id), *(laid[c] == hits[c] for c in ("mark", "k", "pos", "h"))], "left_semi")
     line = Window.partitionBy("doc_id", "mark", "item_id", "copy", "offset").orderBy("pos")
     runs = verified.withColumn("run", F.col("pos") - F.row_number().over(line)).groupBy("doc_id", "mark", "item_id", "copy", "offset", "run")
     spans = runs.agg(F.min("pos").alias("first"), (F.max("pos") + F.max("k") - 1).alias("last"), F.count("*").alias("n"), F.max("need").alias("need")).where("n >= need")
@@ -167,9 +168,3 @@ def clean_rows(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     gone = _judged(docs, benchmark, **options).where("contaminated").select(F.col("doc_id").alias(i), F.col("mark").alias(m)).distinct()
     same = docs["doc_id"].cast("long").eqNullSafe(F.col(i)) & (F.xxhash64(docs["text"].cast("string")) == F.col(m))
     return docs.join(gone, same, "left_anti")
-
-
-def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without the documents of which a row is contaminated, by doc_id; all columns stay. A row without doc_id stays."""
-    gone = contamination(docs, benchmark, **options).where("contaminated").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")

@@ -11,8 +11,10 @@ templates that pass slide over the stretches around their prefix tokens.
 
 Licenses quote each other, so templates overlap. Of the blocks that share words, the one with the
 best containment counts, then that of the larger template, then the tightest; what lies
-left and right of it is judged by itself. A notice of the GPL is thus none of the AGPL, whose
-template has a word more, and a text with both notices has both labels.
+left and right of it is judged by itself. Where one word tells a family's licenses apart, containment
+can't: such words are named with the template, and a block counts only if it holds the template's own and,
+up to REACH words on, none of its siblings'. A notice of the GPL is thus none of the AGPL or LGPL,
+Attribution-NoDerivs isn't Attribution, and a text with several notices has all their labels.
 
 Templates are a small parameter, so they travel to the texts; no text moves.
 """
@@ -20,6 +22,7 @@ Templates are a small parameter, so they travel to the texts; no text moves.
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
+from itertools import product
 from math import ceil
 
 import pyarrow as pa
@@ -34,20 +37,24 @@ PHRASES = {
     "apache license version 2": "apache-2",
     "cc by nc": "cc-by-nc",
 }
-# Public license notices, openings or whole, by label.
-_GNU = "this {thing} is free software you can redistribute it and or modify it under the terms of the gnu {name} as published by the free software foundation either version {version} of the license or at your option any later version"
-_GNU_OPENING = "this {thing} is free software you can redistribute it and or modify it under the terms of the gnu {name}"
-_CC = "this work is licensed under a creative commons {name} {version} license"
+#: Words that tell a family's licenses apart: a block needs those of its template, and has none of the others.
+GNU_NAMES = frozenset({"affero", "lesser"})
+GNU = GNU_NAMES | {"2", "3"}
+CC = frozenset("noncommercial non commercial sharealike share alike noderivatives noderivs no derivatives derivs derivative".split())
+_NC, _SA = ("noncommercial", "non commercial"), ("sharealike", "share alike")
+_ND = ("noderivatives", "noderivs", "no derivatives", "no derivs", "no derivative works")
+# Public license notices, openings or whole, and statements, by label.
+_OPENING = "this is free software you can redistribute it and or modify it under the terms of the gnu {name}"
+_NOTICE = _OPENING + " as published by the free software foundation either version {version} of the license or at your option any later version"
+_ONLY = _OPENING + " version {version} as published by the free software foundation"
+_STATEMENT = "licensed under the gnu {name} version {version}"
+_CC = "this work is licensed under a creative commons attribution {terms} license"
+_GNU_LICENSES = (("gpl", "general public license", ("2", "3")), ("agpl", "affero general public license", ("3",)), ("lgpl", "lesser general public license", ("2.1", "3")))
 TEMPLATES = (
-    *((f"{label}-{version}", _GNU.format(thing=thing, name=name, version=version.replace(".", " ")))
-      for label, thing, name, versions in (("gpl", "program", "general public license", ("2", "3")), ("agpl", "program", "affero general public license", ("3",)), ("lgpl", "library", "lesser general public license", ("2.1", "3")))
-      for version in versions),
-    ("gpl", _GNU_OPENING.format(thing="program", name="general public license")),
-    ("agpl-3", _GNU_OPENING.format(thing="program", name="affero general public license")),
-    ("lgpl", _GNU_OPENING.format(thing="library", name="lesser general public license")),
-    *((label, _CC.format(name=name, version=version))
-      for label, name in (("cc-by", "attribution"), ("cc-by-sa", "attribution sharealike"), ("cc-by-nc", "attribution noncommercial"), ("cc-by-nd", "attribution noderivatives"), ("cc-by-nc-sa", "attribution noncommercial sharealike"), ("cc-by-nc-nd", "attribution noncommercial noderivatives"))
-      for version in ("4 0 international", "3 0 unported")),
+    *((f"{label}-{version}", form.format(name=name, version=version.replace(".", " ")), GNU) for label, name, versions in _GNU_LICENSES for version in versions for form in (_NOTICE, _ONLY, _STATEMENT)),
+    *((label, _OPENING.format(name=name), GNU_NAMES) for label, name in (("gpl", "general public license"), ("agpl-3", "affero general public license"), ("lgpl", "lesser general public license"))),
+    *(("-".join(("cc-by", *parts)), _CC.format(terms=" ".join(terms)), CC)
+      for parts, spelt in (((), ()), (("sa",), (_SA,)), (("nc",), (_NC,)), (("nd",), (_ND,)), (("nc", "sa"), (_NC, _SA)), (("nc", "nd"), (_NC, _ND))) for terms in product(*spelt)),
     ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
     ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
     ("apache-2", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
@@ -64,6 +71,8 @@ TEMPLATES = (
 THRESHOLD = 0.8
 #: A template's block is a run of so many times its words.
 BLOCK_FACTOR = 2
+#: A name goes on so many words behind what a block holds of it: "Attribution" may be that of "Attribution-NonCommercial".
+REACH = 6
 
 #: A-Z to a-z, every other ASCII character but a-z and 0-9 to a space; what lies beyond ASCII stays.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
@@ -74,14 +83,20 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class Templates:
-    """Templates in frequency order with their prefix index."""
+    """Templates in frequency order with their prefix index.
 
-    def __init__(self, templates: Sequence[tuple[str, str]], frequency: Mapping[bytes, int], threshold: float = THRESHOLD, factor: int = BLOCK_FACTOR):
-        held = [(label, text.encode().split()) for label, text in templates]
+    A template is (label, text), or (label, text, marks) with the words that tell its family apart.
+    """
+
+    def __init__(self, templates: Sequence[tuple], frequency: Mapping[bytes, int], threshold: float = THRESHOLD, factor: int = BLOCK_FACTOR):
+        held = [(label, text.encode().split()) for label, text, *_ in templates]
+        marks = [{m.encode() for m in (t[2] if len(t) > 2 else ())} for t in templates]
         every = sorted({w for _, words in held for w in words}, key=lambda w: (frequency.get(w, 0), w))
         self.rank = {w: i for i, w in enumerate(every)}
         self.labels = [label for label, _ in held]
         self.sets = [{*words} for _, words in held]
+        self.own = [m & words for m, words in zip(marks, self.sets, strict=True)]
+        self.foreign = [m - words for m, words in zip(marks, self.sets, strict=True)]
         self.block = [factor * len(words) for _, words in held]
         self.tokens = [sorted(words, key=self.rank.__getitem__) for words in self.sets]
         self.need = [ceil(threshold * len(words) - 1e-9) for words in self.sets]
@@ -109,7 +124,7 @@ class Templates:
 
     def windows(self, k: int, words: list[bytes], first: int, end: int) -> list[tuple[int, int, int]]:
         """(held, start, stop) of the tightest stretch before each end that holds most of template k, where it meets the threshold."""
-        reach, sought, out = self.block[k], self.sets[k], []
+        reach, sought, foreign, out = self.block[k], self.sets[k], self.foreign[k], []
         # A block without a prefix token can't meet the threshold, so only what lies near one is walked.
         near, at = [], first
         for p in (i for i in range(first, end) if words[i] in self.prefix[k]):
@@ -120,6 +135,8 @@ class Templates:
         left = 0
         for i in near:
             w = words[i]
+            if w in foreign:  # no block goes over it
+                held, places, left = {}, [], 0
             if w not in sought:
                 continue
             places.append(i)
@@ -130,7 +147,7 @@ class Templates:
                 if not held[gone]:
                     del held[gone]
                 left += 1
-            if len(held) >= self.need[k]:
+            if len(held) >= self.need[k] and self.own[k] <= held.keys() and foreign.isdisjoint(words[i + 1 : i + 1 + REACH]):
                 out.append((len(held), places[left], i + 1))
         return out
 
@@ -166,9 +183,9 @@ def phrase_starts(words: list[bytes], phrase: bytes) -> list[int]:
     return starts
 
 
-def token_frequencies(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES) -> dict[bytes, int]:
+def token_frequencies(docs: DataFrame, templates: Sequence[tuple] = TEMPLATES) -> dict[bytes, int]:
     """In how many documents each template token stands; as many entries as templates have tokens."""
-    vocabulary = {w for _, text in templates for w in text.encode().split()}
+    vocabulary = {w for _, text, *_ in templates for w in text.encode().split()}
 
     def run(batches):
         counts = dict.fromkeys(vocabulary, 0)
@@ -187,7 +204,7 @@ _SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word lo
 _FIELDS = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ("n_words", "n_base", "first_word", "last_word")), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("blocks", pa.list_(_BLOCK))])
 
 
-def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, phrases: Mapping[str, str] = PHRASES, threshold: float = THRESHOLD, block_factor: int = BLOCK_FACTOR) -> DataFrame:
+def scan(docs: DataFrame, templates: Sequence[tuple] = TEMPLATES, phrases: Mapping[str, str] = PHRASES, threshold: float = THRESHOLD, block_factor: int = BLOCK_FACTOR) -> DataFrame:
     """One row per row of docs with its license phrases, labels, score, and the blocks that templates found.
 
     score is 1 with a phrase, else the best containment among the blocks, else 0. Null and empty

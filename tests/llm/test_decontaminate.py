@@ -63,9 +63,15 @@ def test_empty_tables_and_clean(spark):
     none = decontaminate.contamination(docs, bench.limit(0)).collect()
     assert len(none) == len(rows) and not any(r.contaminated or r.n_hit for r in none)
     assert decontaminate.contamination(docs.limit(0), bench).count() == 0
-    bad = {d for d, t in rows if slow(t, items)[-1] and d is not None}
-    left = decontaminate.clean(docs.withColumn("more", F.lit("x")), bench)
-    assert left.columns == ["doc_id", "text", "more"] and sorted((r.doc_id for r in left.collect()), key=str) == sorted((d for d, _ in rows if d not in bad), key=str)
+    left = decontaminate.clean_rows(docs.withColumn("more", F.lit("x")), bench)
+    assert left.columns == ["doc_id", "text", "more"] and sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted((x for x in rows if not slow(x[1], items)[-1]), key=str)
+
+
+def test_hits_meet_proposed_places_only(spark):
+    """No join of all surviving shingles with all of the benchmark's: each joins with what proposals lay out."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 9}" for j in range(60))) for i in range(20)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "w1 w2 w3 w4 w5 w6 w7 w8 w0 w1 w2 w3 w4 w5"), (2, " ".join(f"w{j % 9}" for j in range(40)))], "item_id long, text string")
+    assert sorted(tuple(r) for r in decontaminate.contamination(docs, bench).collect()) == sorted((d, *slow(t, [(r.item_id, r.text) for r in bench.collect()])) for d, t in docs.collect())
 
 
 def test_stage_judges_rows_without_or_with_repeated_ids(spark, monkeypatch):

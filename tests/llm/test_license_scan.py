@@ -53,12 +53,39 @@ def test_several_notices_in_one_text(spark):
 def test_distinguishing_words_decide(spark):
     cut = {
         WRAPPED["agpl-3"].replace("Affero ", ""): "gpl-3", WRAPPED["gpl-3"].replace("redistribute", "share"): "gpl-3", WRAPPED["agpl-3"].replace("redistribute", "share"): "agpl-3",
-        WRAPPED["cc-by-sa"].replace("-ShareAlike", ""): "cc-by", "This work is licensed under the GNU General Public License, version 3.": "",
+        WRAPPED["cc-by-sa"].replace("-ShareAlike", ""): "cc-by", "This work is licensed under the GNU General Public License, version 3.": "gpl-3",
         "a program that is free and under a license of the public": "",
     }
     assert [r.labels for r in scanned(spark, cut)] == list(cut.values())
 
 
+SIBLINGS = {
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.": "lgpl-3",
+    "This library is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.": "gpl-3",
+    "Foo is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License, as published by the Free Software Foundation, either version 3 of the License or any later version.": "agpl-3",
+    "This software is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.": "gpl-2",
+    "This file is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License.": "lgpl",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivs 3.0 Unported License.": "cc-by-nc-nd",
+    "This work is licensed under the Creative Commons Attribution-NoDerivs 2.5 Generic License.": "cc-by-nd",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License": "cc-by-nc-nd",
+    "This document is licensed under a Creative Commons Attribution 2.0 License.": "cc-by",
+    "Except where noted, this work is licensed under a Creative Commons Attribution-Share Alike 3.0 United States License.": "cc-by-sa",
+    "This work is licensed under a Creative Commons Attribution-Non-Commercial-Share Alike 2.0 License.": "cc-by-nc-sa",
+    "This work is licensed under a Creative Commons Attribution-No Derivative Works 3.0 License": "cc-by-nd",
+    "Licensed under the GNU Lesser General Public License, version 2.1": "lgpl-2.1",
+    "The code is licensed under the terms of the GNU Affero General Public License version 3.": "agpl-3",
+    "Licensed under the GNU General Public License (GPL), version 2 or 3": "",
+}
+
+
+def test_siblings_worded_unlike_the_templates(spark):
+    assert [(r.labels, r.score >= 0.8) for r in scanned(spark, SIBLINGS)] == [(x, bool(x)) for x in SIBLINGS.values()]
+    # Below one another in one text, with something between, each keeps its label.
+    both = list(SIBLINGS)[:2] + list(SIBLINGS)[5:9]
+    (r,) = scanned(spark, ["\nSome words of their own stand between.\n".join(both)])
+    assert r.labels == ",".join(sorted({SIBLINGS[x] for x in both}))
+
+
 def test_spread_notices(spark):
     notice = "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files".split()
     apart = lambda pads: " ".join(w + " pad" * pads for w in notice)
