@@ -7,6 +7,8 @@ layer gives its logit. All windows of a text are scored; the text's score is tha
 highest window. Training is multiple-instance: in every round each row's windows are
 scored, and its highest one (for clean rows its highest two and a random one) carries the row's label.
 
+The result is the mean of the networks of two seeds.
+
 Training takes a sample of labelled rows of at most TRAIN_ROWS toxic and CLEAN_TIMES as many clean ones, chosen by a
 hash of their ids, of texts up to TRAIN_CHARS; scoring covers every text whole. One scan, no shuffle.
 How the settings were chosen, without the held-out rows, is in toxicity_trials.
@@ -14,8 +16,9 @@ How the settings were chosen, without the held-out rows, is in toxicity_trials.
 
 from __future__ import annotations
 
+import pickle
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,6 +45,8 @@ MAX_WORDS = 20_000
 TRAIN_CHARS = 40_000
 BATCH = 128
 THRESHOLD = 0.7
+#: The networks that are averaged. Scoring costs as many times one network's.
+SEEDS = (0, 1)
 
 
 @dataclass(frozen=True)
@@ -315,12 +320,35 @@ def training_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS)
     return sorted({(r.text, r.toxic) for r in found})
 
 
-def trained(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Network:
-    sample = training_sample(docs, labels, rows)
-    return train([t.encode() for t, _ in sample], [y for _, y in sample])
+class Ensemble:
+    """Networks of several seeds; a text's logit is the mean of theirs, so that a result hangs less on one start."""
+
+    def __init__(self, networks: list[Network]):
+        self.networks = networks
+
+    def text_logits(self, texts: list[bytes | None]) -> np.ndarray:
+        return np.mean([n.text_logits(texts)[0] for n in self.networks], axis=0)
+
+    def scores(self, texts: list[bytes | None]) -> np.ndarray:
+        return _sigmoid(self.text_logits(texts).astype(np.float64))
+
+
+def trained(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, seeds: Sequence[int] = SEEDS) -> Ensemble:
+    """An ensemble for the labelled rows, a task for each seed; the bounded sample is sent to them."""
+    spark = docs.sparkSession
+    shipped = spark.sparkContext.broadcast(training_sample(docs, labels, rows))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in batch.column("id").to_pylist():
+                net = train([t.encode() for t, _ in shipped.value], [y for _, y in shipped.value], seeds[n])
+                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([pickle.dumps(net)], pa.binary())], ["id", "network"])
+
+    found = spark.range(0, len(seeds), 1, len(seeds)).mapInArrow(run, "id long, network binary").collect()
+    return Ensemble([pickle.loads(r.network) for r in sorted(found, key=lambda r: r.id)])
 
 
-def score_texts(docs: DataFrame, network: Network) -> DataFrame:
+def score_texts(docs: DataFrame, network: Network | Ensemble) -> DataFrame:
     """Per row of docs: doc_id, held_out, score (0 to 1), predicted (1 from the threshold).
 
     Texts without words, null ones too, score what the network's output bias gives. Null
@@ -336,7 +364,7 @@ def score_texts(docs: DataFrame, network: Network) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
-def drop_toxic(docs: DataFrame, network: Network, threshold: float = THRESHOLD) -> DataFrame:
+def drop_toxic(docs: DataFrame, network: Network | Ensemble, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the rows that score at or above the threshold; all columns stay."""
     shipped = docs.sparkSession.sparkContext.broadcast(network)
 
