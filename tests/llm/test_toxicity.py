@@ -176,9 +176,9 @@ def test_ensemble_is_the_mean_of_its_networks(spark):
     texts = [f"good words number {i} stand here" for i in range(12)] + [f"vile slur number {i} stands here" for i in range(12)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i >= 12)) for i in range(24)], "doc_id long, toxic int")
-    both = toxicity.trained(docs, labels, seeds=(3, 4))
-    sample = toxicity.training_sample(docs, labels)
-    alone = [toxicity.train([t.encode() for t, _ in sample], [y for _, y in sample], seed) for seed in (3, 4)]
+    both = tx.trained(docs, labels, seeds=(3, 4))
+    sample = tx.training_sample(docs, labels)
+    alone = [tx.train([t.encode() for t, _ in sample], [y for _, y in sample], seed) for seed in (3, 4)]
     want = np.mean([n.text_logits([t.encode() for t in texts])[0] for n in alone], axis=0)
     assert np.allclose(both.text_logits([t.encode() for t in texts]), want, atol=1e-4)
     assert both.scores([None, b""]).shape == (2,)
