@@ -10,10 +10,11 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import char_ngrams, item_text, word_ngrams
+from ..session import checkpointed
 from .sparse import cosines, packed
 
 WORD_MIN_DF = 2
@@ -46,13 +47,21 @@ def char_terms(products: DataFrame) -> DataFrame:
     return terms(products, char_ngrams(F.col("text")))
 
 
-def tfidf(counts: DataFrame, products: DataFrame, min_df: int) -> DataFrame:
-    """(product_id, term, value): (1 + ln n) * (ln((1 + N) / (1 + df)) + 1), unit rows."""
+def inverse_frequencies(counts: DataFrame, products: DataFrame, min_df: int) -> DataFrame:
+    """(term, idf) of the terms that min_df products or more have: ln((1 + N) / (1 + df)) + 1."""
     df = counts.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)
     n_docs = products.agg(F.count("*").alias("n_docs"))
-    weighed = counts.join(df, "term").crossJoin(F.broadcast(n_docs))  # one row
-    value = (1 + F.log("n")) * (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1)
-    return l2_normalize(weighed.select("product_id", "term", value.alias("value")))
+    return df.crossJoin(F.broadcast(n_docs)).select("term", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))  # one row
+
+
+def weighed_terms(counts: DataFrame, idf: DataFrame) -> DataFrame:
+    """(product_id, term, value): (1 + ln n) * idf of the terms that idf knows, unit rows."""
+    return l2_normalize(counts.join(idf, "term").select("product_id", "term", ((1 + F.log("n")) * F.col("idf")).alias("value")))
+
+
+def tfidf(counts: DataFrame, products: DataFrame, min_df: int) -> DataFrame:
+    """(product_id, term, value): (1 + ln n) * (ln((1 + N) / (1 + df)) + 1), unit rows."""
+    return weighed_terms(counts, inverse_frequencies(counts, products, min_df))
 
 
 def numeric_features(products: DataFrame) -> DataFrame:
@@ -67,8 +76,17 @@ def numeric_features(products: DataFrame) -> DataFrame:
 
 def scaled_numeric(products: DataFrame) -> DataFrame:
     """(product_id, feature, value): the absolute distance from the mean in population deviations."""
+    return standardised(products, number_stats(products))
+
+
+def number_stats(products: DataFrame) -> DataFrame:
+    """One row: the mean and the population deviation of each number."""
+    return numeric_features(products).agg(*(f(c).alias(f"{name}_{c}") for c in NUMERIC for name, f in (("mean", F.avg), ("std", F.stddev_pop))))
+
+
+def standardised(products: DataFrame, stats: DataFrame) -> DataFrame:
+    """(product_id, feature, value) of the numbers by stats, the one row of number_stats()."""
     numbers = numeric_features(products)
-    stats = numbers.agg(*(f(c).alias(f"{name}_{c}") for c in NUMERIC for name, f in (("mean", F.avg), ("std", F.stddev_pop))))
     met = numbers.crossJoin(F.broadcast(stats))  # one row
     made = [F.struct(F.lit(c).alias("feature"), F.abs((F.col(c) - F.col(f"mean_{c}")) / F.when(F.col(f"std_{c}") > 0, F.col(f"std_{c}")).otherwise(1.0)).alias("value")) for c in NUMERIC]
     return met.select("product_id", F.explode(F.array(*made)).alias("f")).select("product_id", "f.feature", "f.value")
@@ -82,12 +100,17 @@ def taxonomy_onehot(products: DataFrame) -> DataFrame:
 
 def item_features(products: DataFrame) -> DataFrame:
     """The weighted blocks beside one another, unit rows, without zeros."""
-    blocks = {
-        "word": tfidf(word_terms(products), products, WORD_MIN_DF).withColumnRenamed("term", "feature"),
-        "char": tfidf(char_terms(products), products, CHAR_MIN_DF).withColumnRenamed("term", "feature"),
-        "taxonomy": taxonomy_onehot(products),
-        "numeric": scaled_numeric(products),
-    }
+    return side_by_side(
+        {
+            "word": tfidf(word_terms(products), products, WORD_MIN_DF).withColumnRenamed("term", "feature"),
+            "char": tfidf(char_terms(products), products, CHAR_MIN_DF).withColumnRenamed("term", "feature"),
+            "taxonomy": taxonomy_onehot(products),
+            "numeric": scaled_numeric(products),
+        }
+    )
+
+
+def side_by_side(blocks: dict[str, DataFrame]) -> DataFrame:
     out = None
     for name, block in blocks.items():
         part = block.select("product_id", F.concat(F.lit(f"{name}:"), "feature").alias("feature"), (F.col("value") * BLOCK_WEIGHTS[name]).alias("value"))
@@ -95,6 +118,66 @@ def item_features(products: DataFrame) -> DataFrame:
     return l2_normalize(out.where("value != 0"))
 
 
+class FittedFeatures:
+    """What a catalogue teaches about its features, so that single items can be described by it later.
+
+    terms (block, term, idf) is the vocabulary with its weights, levels (feature) the taxonomy's values, stats
+    one row of means and deviations. Describing all of the catalogue gives item_features() again.
+    """
+
+    TABLES = ("terms", "levels", "stats", "items")
+
+    def __init__(self, terms: DataFrame, levels: DataFrame, stats: DataFrame, items: DataFrame):
+        self.terms, self.levels, self.stats, self.items = terms, levels, stats, items
+
+    @classmethod
+    def fit(cls, products: DataFrame) -> FittedFeatures:
+        words = inverse_frequencies(word_terms(products), products, WORD_MIN_DF).withColumn("block", F.lit("word"))
+        chars = inverse_frequencies(char_terms(products), products, CHAR_MIN_DF).withColumn("block", F.lit("char"))
+        made = words.unionByName(chars), taxonomy_onehot(products).select("feature").distinct(), number_stats(products), products
+        return cls(*map(checkpointed, made))
+
+    def save(self, path: str) -> None:
+        for name in self.TABLES:
+            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> FittedFeatures:
+        return cls(*(spark.read.parquet(f"{path}/{name}") for name in cls.TABLES))
+
+    def transform(self, products: DataFrame) -> DataFrame:
+        """(product_id, feature, value) of any products, known or new; terms and levels that fitting did not meet are left out."""
+        of = lambda block: self.terms.where(F.col("block") == block).select("term", "idf")
+        return side_by_side(
+            {
+                "word": weighed_terms(word_terms(products), of("word")).withColumnRenamed("term", "feature"),
+                "char": weighed_terms(char_terms(products), of("char")).withColumnRenamed("term", "feature"),
+                "taxonomy": taxonomy_onehot(products).join(self.levels, "feature", "left_semi").select("product_id", "feature", "value"),
+                "numeric": standardised(products, self.stats),
+            }
+        )
+
+    def describe(self, product_ids: Sequence[str]) -> DataFrame:
+        """transform() of the catalogue's items named; KeyError for the first that it lacks."""
+        own = self.items.where(F.col("product_id").isin(list(product_ids)))
+        known = {r.product_id for r in own.select("product_id").collect()}  # at most those asked for
+        for p in product_ids:
+            if p not in known:
+                raise KeyError(p)
+        return self.transform(own)
+
+    def dense(self, product_ids: Sequence[str]) -> tuple[list[str], np.ndarray]:
+        """The names of all features in order, and a row of numbers for each item named, in the order asked."""
+        rows = self.describe(product_ids).collect()
+        names = self.terms.select(F.concat("block", F.lit(":"), "term").alias("f")).unionByName(self.levels.select(F.concat(F.lit("taxonomy:"), "feature").alias("f")))
+        columns = sorted([r.f for r in names.collect()] + [f"numeric:{c}" for c in NUMERIC])  # the vocabulary, as wide as each row
+        place, row = {f: n for n, f in enumerate(columns)}, {p: n for n, p in enumerate(product_ids)}
+        out = np.zeros((len(product_ids), len(columns)))
+        for r in rows:
+            out[row[r.product_id], place[r.feature]] = r.value
+        return columns, out[[row[p] for p in product_ids]]
+
+
 def vector_for(features: DataFrame, product_id: str) -> DataFrame:
     """(feature, value) of one item; KeyError if it has none."""
     own = features.where(F.col("product_id") == product_id).select("feature", "value")

@@ -7,13 +7,15 @@ import uuid
 import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 from .files import Folder
 
-_scopes: list[str] = []
+#: The open scopes of this thread (or task of an event loop): another one's tables don't go with them.
+_scopes: ContextVar[tuple[str, ...]] = ContextVar("scopes", default=())
 
 
 def get_session(app: str = "tallyrank", **settings: str) -> SparkSession:
@@ -52,19 +54,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path of this application, inside the innermost open scope."""
-    return "/".join([shared_dir(spark), spark.sparkContext.applicationId, *_scopes, f"{name}-{uuid.uuid4().hex}"])
+    return "/".join([shared_dir(spark), spark.sparkContext.applicationId, *_scopes.get(), f"{name}-{uuid.uuid4().hex}"])
 
 
 @contextmanager
 def scratch_scope(spark: SparkSession) -> Iterator[None]:
     """What is stored inside is removed at the end; results have to be stored outside."""
-    name = f"scope-{uuid.uuid4().hex}"
-    _scopes.append(name)
-    where = "/".join(_scopes)
+    inner = (*_scopes.get(), f"scope-{uuid.uuid4().hex}")
+    token, where = _scopes.set(inner), "/".join(inner)
     try:
         yield
     finally:
-        _scopes.pop()
+        _scopes.reset(token)
         Folder(spark, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}").remove(where)
 
 

@@ -121,6 +121,23 @@ def test_one_long_history_is_many_tasks(spark):
     assert knn.cooccurrence(cells, False).where("dot > 0").count() == 3000 * 3001 // 2
 
 
+def test_fitted_features_describe_items(spark, world, tmp_path):
+    p, _, _ = world
+    whole = features.item_features(p).cache()
+    features.FittedFeatures.fit(p).save(f"file://{tmp_path}/fitted")
+    fitted = features.FittedFeatures.load(spark, f"file://{tmp_path}/fitted")
+    same = lambda a, b: a.count() == b.count() == a.join(b.withColumnRenamed("value", "other"), ["product_id", "feature"]).where("abs(value - other) < 1e-9").count()
+    assert same(fitted.transform(p), whole)
+    assert same(fitted.describe(["P007", "P003"]), whole.where("product_id in ('P003', 'P007')"))
+    names, rows = fitted.dense(["P007", "P003", "P007"])
+    assert rows.shape == (3, len(names)) and np.allclose(np.linalg.norm(rows, axis=1), 1) and (rows[0] == rows[2]).all() and (rows[0] != rows[1]).any()
+    with pytest.raises(KeyError):
+        fitted.describe(["P003", "nope"])
+    new = p.limit(1).withColumn("product_id", F.lit("NEW")).withColumn("brand", F.lit("never seen")).withColumn("title", F.lit("zzzz red"))
+    got = {r.feature for r in fitted.transform(new).collect()}
+    assert "word:red" in got and "word:zzzz" not in got and "taxonomy:brand=never seen" not in got
+
+
 def test_padding_equals_dense_ranking(spark, world):
     p, _, cells = world
     near = knn.neighbours(knn.similarity(cells), 5)

@@ -1,4 +1,5 @@
 import re
+import threading
 from datetime import UTC, datetime, timedelta
 from pathlib import Path
 
@@ -59,6 +60,64 @@ def test_events_are_laid_out_by_day_and_compacted(spark, tmp_path, capsys):
     assert [r.product_id for r in store.products().collect()] == []
 
 
+def test_an_upsert_writes_the_buckets_it_touches(spark, tmp_path, monkeypatch):
+    store = Store(spark, f"file://{tmp_path}/store")
+    rows = lambda price, ids: spark.createDataFrame([(f"P{i}", float(price)) for i in ids], "product_id string, price double")
+    store.upsert_products(rows(1, range(200)))
+    files = lambda: {p for p in (tmp_path / "store" / "products").rglob("*.parquet")}
+    before = files()
+    store.upsert_products(rows(2, [7]))
+    (new,) = files() - before
+    assert new.parent.parent.name.startswith("d-") and {p for p in before} <= files()
+    store.upsert_products(rows(3, [7, 8, 500]))
+    store.upsert_products(rows(4, [8, 8]))
+    got = {r.product_id: r.price for r in store.products().collect()}
+    assert len(got) == 201 and (got["P7"], got["P8"], got["P500"], got["P9"]) == (3, 4, 3, 1)
+    one = store.product("P8")
+    assert one.first().price == 4 and store.product("nope").count() == 0
+    assert "PartitionFilters: []" not in one._jdf.queryExecution().executedPlan().toString()
+    store.compact()
+    assert store._pointer("products")["deltas"] == [] and {r.product_id: r.price for r in store.products().collect()} == got
+    monkeypatch.setattr("tallyrank.sources.store.MAX_DELTAS", 2)
+    for n in range(4):
+        store.upsert_products(rows(10 + n, [1]))
+    assert len(store._pointer("products")["deltas"]) == 1 and store.product("P1").first().price == 13
+
+
+def test_events_in_order_cost_one_shuffle(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    events = [(f"E{i}", f"U{i % 3}", f"P{i % 5}", "view", T0 - timedelta(hours=i % 50), None, None) for i in range(300)]
+    store.insert_events(spark.createDataFrame(events, EVENT))
+    store.insert_events(spark.createDataFrame(events[:20], EVENT))
+    found = store.events()
+    rows = [(r.user_id, r.timestamp, r.event_id) for r in found.collect()]
+    assert rows == sorted(rows) and len(rows) == 300
+    plan = store.events()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "rangepartitioning" in plan
+    assert "day" in store.events(since="2025-12-31 00:00:00")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_scope_leaves_other_threads_tables(spark):
+    inside, done = threading.Event(), threading.Event()
+    kept = []
+
+    def other():
+        inside.wait(60)
+        kept.append(session.stored(spark.range(5)))
+        done.set()
+
+    thread = threading.Thread(target=other)
+    thread.start()
+    with session.scratch_scope(spark):
+        gone = session.stored(spark.range(3))
+        inside.set()
+        assert done.wait(60) and gone.count() == 3
+    thread.join()
+    assert kept[0].count() == 5
+    with pytest.raises(Exception):
+        gone.count()
+
+
 def test_document_keys_stand_in(spark):
     rows = spark.createDataFrame([("a", None), ("b", "own")], "_id string, product_id string")
     assert sorted(r.product_id for r in conform(rows, PRODUCT).collect()) == ["a", "own"]
