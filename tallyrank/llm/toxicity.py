@@ -17,7 +17,7 @@ How the settings were chosen, without the held-out rows, is in toxicity_trials.
 from __future__ import annotations
 
 import pickle
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -113,6 +113,39 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
+def hashes_of(words: list[bytes]) -> tuple[np.ndarray, ...]:
+    """What the inputs of words look up, whatever the network: trigrams with their starts and sizes, beginnings and how many."""
+    codes, starts = trigrams(words)
+    return codes, starts, np.fromiter(map(len, words), np.float32, len(words))[:, None], *beginnings(words)
+
+
+class Laid:
+    """Texts as numbers of their distinct words, cut into windows: what networks of one stride share."""
+
+    def __init__(self, texts: list[bytes | None], stride: int = STRIDE):
+        seen: dict[bytes, int] = defaultdict()
+        seen.default_factory = seen.__len__
+        ids = [np.fromiter(map(seen.__getitem__, words_of(t)), np.int64) for t in texts]
+        self.words = list(seen)
+        self.hashed = hashes_of(self.words) if self.words else None
+        self.flat = np.concatenate([*ids, np.zeros(0, np.int64)])
+        lengths = np.array([len(i) for i in ids], np.int64)
+        firsts = [windows_of(n, stride) for n in lengths.tolist()]
+        self.counts = np.array([len(f) for f in firsts], np.int64)
+        self.begin = np.concatenate([*(f + b for f, b in zip(firsts, np.cumsum([0, *lengths])[:-1], strict=True)), np.zeros(0, np.int64)])
+        self.size = np.repeat(np.minimum(lengths, WINDOW), self.counts)
+        self.n_windows = len(self.begin)
+
+    def windows(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
+        """(which windows, places of their words, mask of short ones) in pieces."""
+        for full in (True, False):
+            some = np.flatnonzero((self.size == WINDOW) == full)
+            for at in range(0, len(some), 4096):
+                rows = some[at : at + 4096]
+                place = self.begin[rows, None] + np.minimum(np.arange(WINDOW), self.size[rows, None] - 1)
+                yield rows, self.flat[place], None if full else np.arange(WINDOW) < self.size[rows, None]
+
+
 class Network:
     """Parameters: word, char (embeddings), W/b/U of both directions (z, r, n side by side), q (attention), w, c (output)."""
 
@@ -124,12 +157,10 @@ class Network:
         for k in "fb":
             self.p |= {f"W{k}": new(d, 3 * HIDDEN, s=d**-0.5), f"U{k}": new(HIDDEN, 3 * HIDDEN, s=HIDDEN**-0.5), f"b{k}": np.zeros(3 * HIDDEN, np.float32)}
 
-    def inputs(self, words: list[bytes]) -> np.ndarray:
-        """One row for each word."""
+    def inputs(self, words: list[bytes], hashed: tuple | None = None) -> np.ndarray:
+        """One row for each word; hashed is hashes_of(words), where it is made already."""
         ids = np.fromiter((self.vocabulary.get(w, 0) for w in words), np.int64, len(words))
-        codes, starts = trigrams(words)
-        sizes = np.fromiter(map(len, words), np.float32, len(words))[:, None]
-        first, many = beginnings(words)
+        codes, starts, sizes, first, many = hashed or hashes_of(words)
         from_first = np.add.reduceat(self.p["begin"][first], np.concatenate([[0], np.cumsum(many)[:-1]]), axis=0) / many[:, None].astype(np.float32)
         return np.hstack([self.p["word"][ids], np.add.reduceat(self.p["char"][codes], starts, axis=0) / sizes, from_first])
 
@@ -192,27 +223,16 @@ class Network:
             dx += da_rows @ p[f"W{k}"].T
         return g, dx
 
-    def text_logits(self, texts: list[bytes | None]) -> tuple[np.ndarray, list[np.ndarray]]:
+    def text_logits(self, texts: list[bytes | None], laid: Laid | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
         """Each text's highest logit (without words: the output's bias), and all its windows' logits."""
-        seen: dict[bytes, int] = {}
-        ids = [[seen.setdefault(w, len(seen)) for w in words_of(t)] for t in texts]
-        if not seen:
+        laid = laid or Laid(texts, self.stride)
+        if not laid.words:
             return np.full(len(texts), self.p["c"][0], np.float32), [np.zeros(0, np.float32)] * len(texts)
-        x = self.inputs(list(seen))
-        flat = np.concatenate([np.array(i, np.int64) for i in ids])
-        base = np.cumsum([0, *map(len, ids)])
-        firsts = [windows_of(len(i), self.stride) for i in ids]
-        counts = np.array([len(f) for f in firsts])
-        begin = np.concatenate([f + b for f, b in zip(firsts, base[:-1], strict=True)])
-        size = np.repeat(np.minimum([len(i) for i in ids], WINDOW), counts)
-        logits = np.empty(len(begin), np.float32)
-        for full in (True, False):
-            some = np.flatnonzero((size == WINDOW) == full)
-            for at in range(0, len(some), 4096):
-                rows = some[at : at + 4096]
-                place = begin[rows, None] + np.minimum(np.arange(WINDOW), size[rows, None] - 1)
-                logits[rows] = self.forward(x, flat[place], None if full else np.arange(WINDOW) < size[rows, None])
-        parts = np.split(logits, np.cumsum(counts)[:-1])
+        x = self.inputs(laid.words, laid.hashed)
+        logits = np.empty(laid.n_windows, np.float32)
+        for rows, index, mask in laid.windows():
+            logits[rows] = self.forward(x, index, mask)
+        parts = np.split(logits, np.cumsum(laid.counts)[:-1])
         return np.array([w.max() if len(w) else self.p["c"][0] for w in parts], np.float32), parts
 
     def scores(self, texts: list[bytes | None]) -> np.ndarray:
@@ -327,7 +347,8 @@ class Ensemble:
         self.networks = networks
 
     def text_logits(self, texts: list[bytes | None]) -> np.ndarray:
-        return np.mean([n.text_logits(texts)[0] for n in self.networks], axis=0)
+        laid = Laid(texts, self.networks[0].stride)
+        return np.mean([n.text_logits(texts, laid)[0] for n in self.networks], axis=0)
 
     def scores(self, texts: list[bytes | None]) -> np.ndarray:
         return _sigmoid(self.text_logits(texts).astype(np.float64))
