@@ -203,7 +203,7 @@ def fold_event(profile: DataFrame, features: DataFrame, events: DataFrame) -> Da
     """
     packed = lambda df, key: df.groupBy(key).agg(F.collect_list("feature").alias("fs"), F.collect_list("value").alias("vs"))
     items = packed(features, "product_id")
-    first = F.lit("1000-01-01").cast("timestamp")
+    first = F.lit("1970-01-01").cast("timestamp")  # kind comes first anyway
     steps = events.join(items, "product_id").select("user_id", F.lit(1).alias("kind"), F.col("timestamp").alias("at"), "event_id", F.col("weight").cast("double"), "fs", "vs")
     start = packed(profile, "user_id").select("user_id", F.lit(0).alias("kind"), first.alias("at"), F.lit("").alias("event_id"), F.lit(1.0).alias("weight"), "fs", "vs")
 

@@ -214,6 +214,24 @@ def test_train_and_serve(spark, trained):
     assert row.n_events == 1 and row.cold_start and service.profile("nobody").count() == 0
 
 
+def test_a_recorded_event_is_folded_at_once(spark, trained, tmp_path):
+    base, _ = trained
+    service = Service(spark, base.store, base.artifacts, base.settings, live_path=f"file://{tmp_path}/live")
+    with pytest.raises(ValueError):
+        base.live()
+    model = service.model()
+    user = model.cells.orderBy("user_id").first().user_id
+    start = {r.feature: r.value for r in content.content_profile(model.cells, model.features).where(F.col("user_id") == user).collect()}
+    item = {r.feature: r.value for r in model.features.where("product_id = 'P000000007'").collect()}
+    service.record_event(user, "P000000007", "purchase")
+    service.record_event(user, "P000000007", "view")
+    got = {r.feature: r.value for r in service.live().profiles().collect()}
+    want = content.folded(start, [(5.0, item)])
+    assert got.keys() == want.keys() and all(abs(got[f] - x) < 1e-9 for f, x in want.items())
+    service.live().invalidate([user])
+    assert service.live().profiles().count() == 0
+
+
 def test_stream_equals_batch(spark, tmp_path):
     products, events = adapters.catalogue(spark, SF), adapters.dense_events(spark, SF)
     f = features.item_features(products).cache()
@@ -249,7 +267,7 @@ def test_retrain_reports_its_state(spark, tmp_path):
     assert service.train_status()["status"] == "idle" and service.health() == {"status": "degraded", "store": True, "model": False}
     assert service.retrain(background=False)["status"] == "failed" and "holds no products" in service.train_status()["message"]
     service._training.acquire()
-    assert "already in progress" in service.retrain()["message"]
+    assert "busy" in service.retrain()["message"]
     service._training.release()
 
 
