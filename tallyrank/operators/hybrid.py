@@ -12,11 +12,16 @@ from pyspark.sql import functions as F
 
 from . import content, knn, latent
 from .interactions import minmax_per_user
+from .popularity import popularity_scores
 from .ranking import rank_topk
+from .sparse import coded
+from .sparse import products as sparse_products
 
 # The rank constant, the members' depth and weights.
 RRF_K = 60
 DEPTH = 100
+#: Numbers of the catalogue's sparse rows that are sent to tasks: 200 MB.
+SPARSE_NUMBERS = 1 << 24
 WEIGHTS = {"content": 0.4, "collab": 0.5, "popularity": 0.1}
 
 
@@ -77,14 +82,10 @@ def _collaborative(cells: DataFrame, products: DataFrame, near: DataFrame, facto
                 b = min(a + step, batch.num_rows)
                 yield from chunk(batch, names, v, a, b)
 
-    def unit(m: np.ndarray) -> np.ndarray:
-        low, high = m.min(axis=1, keepdims=True), m.max(axis=1, keepdims=True)
-        return np.where(high - low > 1e-12, (m - low) / np.where(high - low > 1e-12, high - low, 1), 0.0)
-
     def chunk(batch: pa.RecordBatch, names: np.ndarray, v: np.ndarray, a: int, b: int) -> Iterator[pa.RecordBatch]:
         if not len(names):
             return
-        hidden = unit(latent.projections(batch, v, a, b) @ v.T)
+        hidden = _unit(latent.projections(batch, v, a, b) @ v.T)
         at = np.asarray(batch.column("i").offsets)
         flat = slice(int(at[a]), int(at[b]))
         who = np.repeat(np.arange(b - a), np.diff(at[a : b + 1]))
@@ -92,7 +93,7 @@ def _collaborative(cells: DataFrame, products: DataFrame, near: DataFrame, facto
         seen = batch.column("seen").values.to_numpy(zero_copy_only=False)[flat]
         near_scores = np.zeros((b - a, len(names)))
         near_scores[who, item] = score
-        near_scores = unit(near_scores)
+        near_scores = _unit(near_scores)
         users = batch.column("user_id").slice(a, b - a)
         for w in knn_weights:
             total = w * near_scores + (1 - w) * hidden
@@ -121,6 +122,90 @@ def _collaborative(cells: DataFrame, products: DataFrame, near: DataFrame, facto
     return rows.mapInArrow(run, "user_id string, product_id string, score double, rank int, knn_weight double")
 
 
+def recommend_scored(cells: DataFrame, products: DataFrame, near: DataFrame, factors: DataFrame, packs: DataFrame, k: int, weights: dict[str, float] = WEIGHTS, knn_weight: float = 0.5) -> DataFrame:
+    """(user_id, product_id, score, rank): each user's k best unseen items by the members' scores instead of their ranks.
+
+    Each member is scaled by its least and largest score over the whole catalogue, then weighed by its share of
+    the weights. All three are made and scaled in one task for a chunk of users, so no table of users times
+    items is written; the catalogue's ids, factors and sparse rows are sent to the tasks within latent.MAX_BLOCK
+    and SPARSE_NUMBERS numbers, and refused beyond.
+    """
+    known, block = latent.factor_block(factors)
+    catalogue = content.quality_prior(products).join(popularity_scores(cells, products).withColumnRenamed("score", "common"), "product_id").join(packs, "product_id", "left")
+    n_numbers = catalogue.agg(F.sum(F.size("fs"))).first()[0] or 0
+    if n_numbers > SPARSE_NUMBERS:
+        raise ValueError(f"the catalogue's {n_numbers} features exceed {SPARSE_NUMBERS}")
+    items = catalogue.orderBy("product_id").toArrow().combine_chunks()
+    ids = items["product_id"].to_pylist()
+    latent._checked(len(ids), max(1, block.shape[1]))
+    lists = [items[c].combine_chunks() if items[c].num_chunks else pa.array([], items[c].type) for c in ("fs", "vs")]
+    (rows,), n_names = coded([tuple(lists)])
+    row = {p: n for n, p in enumerate(known)}
+    full = np.zeros((len(ids), block.shape[1]))
+    for n, p in enumerate(ids):
+        if p in row:
+            full[n] = block[row[p]]
+    spark, window = cells.sparkSession, content.profile_window(cells).select("user_id", "product_id", F.col("value").alias("w"))
+    shipped = spark.sparkContext.broadcast((ids, full, rows, n_names, np.asarray(items["quality"]), np.asarray(items["common"])))
+    places = spark.createDataFrame(list(zip(ids, range(len(ids)), strict=True)), "product_id string, i int")
+    own = cells.select("user_id", "product_id", "value").join(window, ["user_id", "product_id"], "left")
+    scored = knn.scores_and_seen(cells, near).join(own, ["user_id", "product_id"], "left").join(places, "product_id")
+    number = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
+    people = scored.groupBy("user_id").agg(F.collect_list(F.struct("i", number("value"), number("w"), "score", "seen")).alias("c"))
+    share = sum(w for w in weights.values() if w > 0) or 1.0
+    parts = {name: max(w, 0) / share for name, w in weights.items()}
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, v, rows, n_names, quality, common = shipped.value
+        names = np.array(names, object)
+        step = max(1, latent.CHUNK_NUMBERS // max(1, len(names)))
+        for batch in batches:
+            for a in range(0, batch.num_rows, step):
+                part = batch.slice(a, step)
+                cell = part.column("c").flatten()
+                who = np.repeat(np.arange(part.num_rows), np.asarray(part.column("c").value_lengths()))
+                item, value, w, score = (np.asarray(cell.field(f)) for f in ("i", "value", "w", "score"))
+                seen = cell.field("seen").to_numpy(zero_copy_only=False)
+                near_scores, table = (np.zeros((part.num_rows, len(names))) for _ in range(2))
+                near_scores[who, item] = score
+                table[who, item] = value
+                collab = knn_weight * _unit(near_scores) + (1 - knn_weight) * _unit(table @ v @ v.T)
+                met = content_chunk(rows, n_names, quality, who[seen], item[seen], w[seen], part.num_rows)
+                total = parts["content"] * _unit(met) + parts["collab"] * _unit(collab) + parts["popularity"] * _unit(common[None, :])
+                order = np.round(total, 9)
+                order[who[seen], item[seen]] = -np.inf
+                pick = np.argsort(-order, axis=1, kind="stable")[:, :k]
+                keep = np.take_along_axis(order, pick, axis=1) > -np.inf
+                rank = np.tile(np.arange(1, pick.shape[1] + 1, dtype=np.int32), (part.num_rows, 1))[keep]
+                whose = part.column("user_id").take(pa.array(np.repeat(np.arange(part.num_rows), keep.sum(axis=1))))
+                yield pa.RecordBatch.from_arrays([whose, pa.array(names[pick[keep]], pa.string()), pa.array(np.take_along_axis(total, pick, axis=1)[keep]), pa.array(rank)], ["user_id", "product_id", "score", "rank"])
+
+    def content_chunk(rows, n_names: int, quality: np.ndarray, who: np.ndarray, item: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
+        """Content scores of the chunk's users for all items."""
+        mean, best = np.zeros((n, len(rows))), np.zeros((n, len(rows)))
+        columns, column = np.unique(item, return_inverse=True)
+        step = max(1, latent.CHUNK_NUMBERS // max(1, len(rows)))
+        for a in range(0, len(columns), step):
+            cos = sparse_products(rows, rows.take(columns[a : a + step]), n_names).T
+            for c in np.flatnonzero((column >= a) & (column < a + step)).tolist():
+                np.maximum(best[who[c]], cos[column[c] - a], out=best[who[c]])
+                mean[who[c]] += w[c] * cos[column[c] - a]
+        for u in np.unique(who[w > 0]).tolist():
+            mine = (who == u) & (w > 0)
+            profile = rows.take(item[mine])
+            length = np.linalg.norm(np.bincount(profile.codes, profile.values * w[mine][profile.row]))
+            mean[u] /= length if length > 0 else 1
+        return content.MEAN_WEIGHT * mean + content.MAX_WEIGHT * best + content.QUALITY_WEIGHT * quality
+
+    return people.mapInArrow(run, "user_id string, product_id string, score double, rank int")
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    """Rows scaled to 0..1; rows of one value are zero."""
+    low, high = m.min(axis=1, keepdims=True), m.max(axis=1, keepdims=True)
+    return np.where(high - low > 1e-12, (m - low) / np.where(high - low > 1e-12, high - low, 1), 0.0)
+
+
 def blended_scores(members: Sequence[tuple[float, DataFrame]]) -> DataFrame:
     """Dense scores of each member scaled per user, then weighed by their shares of the weights above zero."""
     used = [(w, s) for w, s in members if w > 0]

@@ -34,10 +34,13 @@ def interaction_matrix(events: DataFrame, products: DataFrame | None = None, use
     return cells.select("user_id", "product_id", F.log1p("value").alias("value"))
 
 
-def interaction_frame(cells: DataFrame, halflife_days: float = 30.0, reference=None) -> DataFrame:
-    """cells beside how they were made: (user_id, product_id, value, halflife_days, reference_time)."""
-    when = F.lit(reference).cast("timestamp") if reference is not None else F.current_timestamp()
-    return cells.select("user_id", "product_id", "value", F.lit(float(halflife_days)).alias("halflife_days"), when.alias("reference_time"))
+def interaction_frame(events: DataFrame, products: DataFrame | None = None, users: DataFrame | None = None, halflife_days: float = 30.0, positive_only: bool = False, reference=None) -> DataFrame:
+    """interaction_matrix() beside how it was made: (user_id, product_id, value, halflife_days, reference_time)."""
+    cells = interaction_matrix(events, products, users, halflife_days, positive_only, reference)
+    rows = positive_events(events) if positive_only else events
+    when = F.lit(reference).cast("timestamp") if reference is not None else F.max("timestamp")
+    made = rows.agg(when.alias("reference_time")) if reference is None else rows.sparkSession.range(1).select(when.alias("reference_time"))
+    return cells.crossJoin(F.broadcast(made)).select("user_id", "product_id", "value", F.lit(float(halflife_days)).alias("halflife_days"), "reference_time")  # one row
 
 
 def seen_items(cells: DataFrame) -> DataFrame:

@@ -26,14 +26,15 @@ def metrics_at_k(recs: DataFrame, truth: DataFrame, ks: Sequence[int], by: Seque
     """
     relevant = truth.select("user_id", "product_id").distinct()
     n_rel = relevant.groupBy("user_id").agg(F.count("*").alias("n_rel"))
-    rows = _at(recs.select(*by, "user_id", "product_id", "rank"), ks).join(n_rel, "user_id")
+    rows = recs.select(*by, "user_id", "product_id", "rank").where(F.col("rank") <= max(ks)).join(n_rel, "user_id")
     hit = rows.join(relevant.withColumn("hit", F.lit(1)), ["user_id", "product_id"], "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
-    so_far = Window.partitionBy(*by, "user_id", "k").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    hit = hit.withColumn("hits", F.sum("hit").over(so_far))
+    # Hits up to a rank are the same for every k, so they are counted before prefixes are made.
+    so_far = Window.partitionBy(*by, "user_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    hit = _at(hit.withColumn("hits", F.sum("hit").over(so_far)), ks)
     ideal = F.aggregate(F.sequence(F.lit(1), F.least("n_rel", "k").cast("int")), F.lit(0.0), lambda s, r: s + 1 / F.log2(r + 1.0))
     out = hit.groupBy(*by, "user_id", "k", "n_rel").agg(
         (F.sum("hit") / F.col("k")).alias("precision"),
-        (F.count_distinct(F.when(F.col("hit") == 1, F.col("product_id"))) / F.col("n_rel")).alias("recall"),
+        (F.size(F.collect_set(F.when(F.col("hit") == 1, F.col("product_id")))) / F.col("n_rel")).alias("recall"),
         (F.sum(F.when(F.col("hit") == 1, F.col("hits") / F.col("rank")).otherwise(0.0)) / F.least("n_rel", "k")).alias("map"),
         F.sum(F.col("hit") / F.log2(F.col("rank") + 1.0)).alias("dcg"),
         F.coalesce(1 / F.min(F.when(F.col("hit") == 1, F.col("rank"))), F.lit(0.0)).alias("mrr"),

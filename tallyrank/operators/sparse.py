@@ -46,6 +46,11 @@ class Rows:
     def __len__(self) -> int:
         return len(self.sizes)
 
+    def take(self, rows: np.ndarray) -> Rows:
+        ends = np.concatenate([[0], np.cumsum(self.sizes)])
+        at = np.concatenate([np.arange(ends[r], ends[r + 1]) for r in rows.tolist()] or [np.zeros(0, np.int64)])
+        return Rows(self.codes[at], self.values[at], self.sizes[rows])
+
     def part(self, first: int, end: int) -> Rows:
         a, b = np.searchsorted(self.row, [first, end])
         return Rows(self.codes[a:b], self.values[a:b], self.sizes[first:end])

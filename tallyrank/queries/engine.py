@@ -430,6 +430,16 @@ def hybrid_score_recs(w: Workspace) -> DataFrame:
     return rounded(rank_topk(blended, 10, exclude=interactions.seen_items(m.cells)), "score")
 
 
+@query(f"""SELECT user_id, product_id, round(score, 6) AS score, (row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, product_id))::INT AS rank FROM (
+  SELECT user_id, product_id, 0.4 * c.x + 0.5 * k.x + 0.1 * p.x AS score FROM m_grid g JOIN ({_scaled('m_cscore')}) c USING (user_id, product_id)
+  JOIN ({_scaled('(SELECT user_id, product_id, 0.5 * score + 0.5 * latent AS score FROM m_kscore JOIN m_lscore USING (user_id, product_id))')}) k USING (user_id, product_id)
+  JOIN ({_scaled('(SELECT user_id, product_id, score FROM m_users, m_popscore)')}) p USING (user_id, product_id) WHERE NOT g.seen) QUALIFY rank <= 10""")
+def hybrid_scored_2f(w: Workspace) -> DataFrame:
+    """The full hybrid by scores, with two latent factors, without a table of users times items."""
+    m = w.models
+    return rounded(hybrid.recommend_scored(m.cells, w.products, m.near, m.two_factors, w.packs, 10), "score")
+
+
 @query(f"""SELECT product_id, round(score, 6) AS score, (row_number() OVER (ORDER BY round(score, 9) DESC, product_id))::INT AS rank FROM (
   SELECT product_id, sum(w / (60 + rank)) AS score FROM (SELECT 0.4 AS w, product_id, rank FROM ({_similar_content(20)}) UNION ALL SELECT 0.5, product_id, rank FROM ({_similar_knn(20)})) GROUP BY product_id) QUALIFY rank <= 10""")
 def similar_hybrid(w: Workspace) -> DataFrame:

@@ -418,3 +418,23 @@ def test_users_with_few_scores_are_padded_and_others_are_not(spark):
     assert [p for _, p, _ in sorted(got["u3"])] == ["p07", "p06", "p05", "p04"]
     some = products.where("product_id in ('p03', 'p05', 'p08')")
     assert {r.user_id: r.n for r in knn.recommend(cells, products, near, 4, some).groupBy("user_id").agg(F.count("*").alias("n")).collect()} == {"u1": 3, "u2": 3, "u3": 3}
+
+
+def test_scored_hybrid_equals_dense_blend(spark, world, monkeypatch):
+    p, _, cells = world
+    monkeypatch.setattr(latent, "CHUNK_NUMBERS", 700)
+    near, factors = knn.neighbours(knn.similarity(cells), 6), latent.item_factors(cells, p, n_factors=4)
+    packs = sparse.packed(features.item_features(p))
+    people = cells.select("user_id").distinct()
+    members = [
+        (0.4, content.scores(cells, p, packs)),
+        (0.5, hybrid.collaborative_scores(cells, p, near, factors, 0.3)),
+        (0.1, people.join(popularity.popularity_scores(cells, p))),
+    ]
+    want = rank_topk(hybrid.blended_scores(members), 9, exclude=interactions.seen_items(cells))
+    got = hybrid.recommend_scored(cells, p, near, factors, packs, 9, knn_weight=0.3).withColumnRenamed("score", "got")
+    met = want.join(got, ["user_id", "product_id", "rank"])
+    assert want.count() == got.count() == met.count() and met.where("abs(score - got) > 1e-9").count() == 0
+    monkeypatch.setattr(hybrid, "SPARSE_NUMBERS", 10)
+    with pytest.raises(ValueError):
+        hybrid.recommend_scored(cells, p, near, factors, packs, 9)

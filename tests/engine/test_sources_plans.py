@@ -278,8 +278,13 @@ def test_service_tells_what_it_holds(trained):
 
 
 def test_frames_and_vectors(spark):
-    cells = spark.createDataFrame([("u", "p", 1.0)], "user_id string, product_id string, value double")
-    assert tuple(interactions.interaction_frame(cells, 7, "2026-01-01 00:00:00").first())[:4] == ("u", "p", 1.0, 7.0)
+    events = spark.createDataFrame([("E1", "u", "p", "view", T0, None, None), ("E2", "u", "q", "purchase", T0 - timedelta(days=7), None, None)], EVENT)
+    frame = {r.product_id: r for r in interactions.interaction_frame(events, halflife_days=7).collect()}
+    cells = {r.product_id: r.value for r in interactions.interaction_matrix(events, halflife_days=7).collect()}
+    assert {p: r.value for p, r in frame.items()} == cells and {r.halflife_days for r in frame.values()} == {7.0}
+    assert {r.reference_time.replace(tzinfo=UTC) for r in frame.values()} == {T0}  # the matrix's own, not the clock's
+    later = interactions.interaction_frame(events, halflife_days=7, reference="2026-01-08 00:00:00").collect()
+    assert all(r.value < cells[r.product_id] for r in later)
     rows = spark.createDataFrame([("a", "word:x", 0.6), ("a", "numeric:y", 0.8), ("b", "char:z", 1.0)], "product_id string, feature string, value double")
     assert features.vectors_for(rows, ["a"]).count() == 2 and tuple(features.feature_counts(rows).first()) == (2, 2)
     with pytest.raises(KeyError):
