@@ -7,7 +7,8 @@ under a fresh name and counts once its commit file exists; the same batch id aga
 does nothing. One writer at a time; readers see committed batches only.
 
 Layout under path: batches/<attempt>/{ledger,deltas} and commits/<batch id>, which names the attempt;
-bases/<attempt> names a compaction of all batches up to a number.
+bases/<attempt> names a compaction of all batches up to a number. Ledgers lie in buckets of the key, and a batch
+reads those of its own keys.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import json
 import re
 import uuid
 from collections.abc import Iterable
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,6 +31,9 @@ KEY = ("doc_key", "tokenizer")
 CELL = ("source", "lang", "tokenizer")
 SUMS = ("n_docs", "n_tokens", "n_chars")
 _LEDGER = "doc_key string, tokenizer string, source string, lang string, n_tokens long, n_chars long, live boolean, batch long, n_docs long"
+#: Folders of a ledger, by a hash of the key.
+BUCKETS = 64
+_BUCKETED = f"{_LEDGER}, bucket int"
 _DELTAS = "source string, lang string, tokenizer string, n_docs long, n_tokens long, n_chars long"
 
 
@@ -37,6 +42,10 @@ def _state() -> Column:
     return F.struct("source", "lang", "n_tokens", "n_chars", "live", F.coalesce("n_docs", F.lit(1).cast("long")).alias("n_docs"))
 
 
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64(*KEY), F.lit(BUCKETS)).cast("int")
+
+
 def count_changes(docs: DataFrame, encoder: Encoder, op: str = "insert") -> DataFrame:
     """docs as changes: whole texts tokenized.
 
@@ -66,15 +75,23 @@ class TokenRollup:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         self._files = Folder(spark, self.path)
+        self._known: dict[str, dict] = {}
+
+    def _entries(self, folder: str) -> list[dict]:
+        """A folder's small files, by batch number; they never change, so each is read once."""
+        names = [f"{folder}/{x}" for x in self._files.names(folder)]
+        for name in names:
+            if name not in self._known:
+                self._known[name] = json.loads(self._files.read(name))
+        return sorted((self._known[name] for name in names), key=lambda c: c["batch"])
 
     def _commits(self) -> list[dict]:
         """The committed batches, oldest first."""
-        return sorted((json.loads(self._files.read(f"commits/{x}")) for x in self._files.names("commits")), key=lambda c: c["batch"])
+        return self._entries("commits")
 
     def _base(self) -> dict | None:
         """The newest compaction: it stands for every batch up to its number."""
-        found = [json.loads(self._files.read(f"bases/{x}")) for x in self._files.names("bases")]
-        return max(found, key=lambda c: c["batch"], default=None)
+        return next(reversed(self._entries("bases")), None)
 
     def _commit(self, batch_id: str, entry: dict) -> None:
         """The rename is what commits: before it, readers see none of the batch."""
@@ -83,16 +100,19 @@ class TokenRollup:
         except FileExistsError:
             raise RuntimeError(f"batch {batch_id} was committed by another writer") from None
 
-    def _read(self, part: str, schema: str) -> DataFrame:
+    def _read(self, part: str) -> DataFrame:
+        schema = {"ledger": _BUCKETED, "deltas": _DELTAS}[part]
         base, commits = self._base(), self._commits()
         paths = [f"{self.path}/batches/{c['attempt']}/{part}" for c in commits if base is None or c["batch"] > base["batch"]]
         paths += [f"{self.path}/batches/{base['attempt']}/{part}"] if base else []
+        if part == "ledger":  # each has bucket folders of its own, so they are read one by one
+            return reduce(DataFrame.unionByName, (self.spark.read.schema(schema).parquet(p) for p in paths), self.spark.createDataFrame([], schema))
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def compact(self) -> None:
         """One table of each key's last state and one of the totals in place of all batches so far; the results stay.
 
-        The ledger is sorted by key within files, so that a batch's keys skip row groups. What it stands for isn't deleted.
+        The ledger is sorted by key within files, so that a batch's keys skip row groups. What it stands for stays until vacuum().
         """
         done = self._commits()
         if not done:
@@ -100,11 +120,24 @@ class TokenRollup:
         last = done[-1]["batch"]
         attempt = f"base-{last:09d}.{uuid.uuid4().hex}"
         target = f"{self.path}/batches/{attempt}"
-        states = self._read("ledger", _LEDGER).groupBy(*KEY).agg(F.max_by(F.struct(*(c for c in self._ledger_columns() if c not in KEY)), "batch").alias("s")).select(*KEY, "s.*")
-        states.sortWithinPartitions(*KEY).select(*self._ledger_columns()).write.parquet(f"{target}/ledger")
-        self._read("deltas", _DELTAS).groupBy(*CELL).agg(*(F.sum(c).alias(c) for c in SUMS)).write.parquet(f"{target}/deltas")
+        states = self._read("ledger").groupBy(*KEY).agg(F.max_by(F.struct(*(c for c in self._ledger_columns() if c not in KEY)), "batch").alias("s")).select(*KEY, "s.*")
+        self._laid(states).parquet(f"{target}/ledger")
+        self._read("deltas").groupBy(*CELL).agg(*(F.sum(c).alias(c) for c in SUMS)).write.parquet(f"{target}/deltas")
         self._files.write(f"bases/{attempt}", json.dumps({"batch": last, "attempt": attempt}).encode())
 
+    def vacuum(self) -> None:
+        """Remove attempts that failed or that a compaction stands for. No reader or writer may be at work."""
+        base = self._base()
+        needed = {c["attempt"] for c in self._commits() if base is None or c["batch"] > base["batch"]} | ({base["attempt"]} if base else set())
+        for attempt in self._files.names("batches"):
+            if attempt not in needed:
+                self._files.remove(f"batches/{attempt}")
+
+    @classmethod
+    def _laid(cls, states: DataFrame):
+        rows = states.select(*cls._ledger_columns()).withColumn("bucket", _bucket()).repartition("bucket")
+        return rows.sortWithinPartitions("bucket", *KEY).write.partitionBy("bucket")
+
     @staticmethod
     def _ledger_columns() -> list[str]:
         return [c.split()[0] for c in _LEDGER.split(", ")]
@@ -131,11 +164,12 @@ class TokenRollup:
         state = F.struct(seq.alias("seq"), live.alias("live"), F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"), F.coalesce("n_chars", F.lit(0)).cast("long").alias("n_chars"), "source", "lang", n_docs.cast("long").alias("n_docs"))
         now = changes.select(*KEY, state.alias("s")).groupBy(*KEY).agg(F.max("s").alias("s")).select(*KEY, "s.source", "s.lang", "s.n_tokens", "s.n_chars", "s.live", F.lit(number).cast("long").alias("batch"), "s.n_docs")
         target = f"{self.path}/batches/{attempt}"
-        now.write.parquet(f"{target}/ledger")
-        now = self.spark.read.schema(_LEDGER).parquet(f"{target}/ledger")
+        self._laid(now).parquet(f"{target}/ledger")
+        now = self.spark.read.schema(_BUCKETED).parquet(f"{target}/ledger")
         signed = now.where("live").select(*CELL, F.lit(1).alias("sign"), *SUMS)
         if done:
-            older = self._read("ledger", _LEDGER).join(now.select(*KEY), [*KEY], "left_semi")
+            buckets = [r.bucket for r in now.select("bucket").distinct().collect()]  # at most BUCKETS
+            older = self._read("ledger").where(F.col("bucket").isin(buckets)).join(now.select(*KEY), [*KEY], "left_semi")
             last = older.groupBy(*KEY).agg(F.max_by(_state(), "batch").alias("s")).select("tokenizer", "s.*").where("live")
             signed = signed.unionByName(last.select(*CELL, F.lit(-1).alias("sign"), *SUMS))
         deltas = signed.groupBy(*CELL).agg(*(F.sum(F.col("sign") * F.col(c)).alias(c) for c in SUMS))
@@ -145,9 +179,9 @@ class TokenRollup:
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, n_docs, n_tokens, n_chars of all committed batches; no cell without documents."""
-        return self._read("deltas", _DELTAS).groupBy(*CELL).agg(*(F.sum(c).alias(c) for c in SUMS)).where("n_docs > 0")
+        return self._read("deltas").groupBy(*CELL).agg(*(F.sum(c).alias(c) for c in SUMS)).where("n_docs > 0")
 
     def recount(self) -> DataFrame:
         """The same totals from the ledger alone, for audits."""
-        last = self._read("ledger", _LEDGER).groupBy(*KEY).agg(F.max_by(_state(), "batch").alias("s")).select("tokenizer", "s.*").where("live")
+        last = self._read("ledger").groupBy(*KEY).agg(F.max_by(_state(), "batch").alias("s")).select("tokenizer", "s.*").where("live")
         return last.groupBy(*CELL).agg(*(F.sum(c).alias(c) for c in SUMS))

@@ -72,4 +72,31 @@ def test_compaction_changes_nothing(spark):
     assert not roll.apply("one", batch(("zz", "t", "insert", "s", "en", 1, 1))) and roll.apply("three", batch(("a", "t", "delete", "s", "de", 0, 0), ("b", "t", "insert", "s", "en", 2, 2)))
     roll.compact()
     assert cells(roll.totals()) == cells(roll.recount()) == [("s", "en", "t", 1, 2, 2)]
-    assert len(roll._read("ledger", "doc_key string").inputFiles()) <= 4
+    assert len(roll._read("ledger").inputFiles()) <= 4
+
+
+def test_a_batch_reads_its_buckets_and_vacuum_keeps_what_counts(spark, tmp_path):
+    roll = TokenRollup(spark, f"file://{tmp_path}/rollup")
+    batch = lambda *rows: spark.createDataFrame([(*r, *[0] * (8 - len(r))) for r in rows], SCHEMA)
+    roll.apply("one", batch(*((f"k{i}", "t", "insert", "s", "en", i, i) for i in range(300))))
+    ledger = next((tmp_path / "rollup" / "batches").glob("one.*")) / "ledger"
+    folders = sorted(ledger.glob("bucket=*"))
+    assert len(folders) > 30 and all(len(list(f.glob("*.parquet"))) == 1 for f in folders)
+    # All buckets but that of k7 gone: a batch for k7 doesn't miss them.
+    own = {r.bucket for r in spark.read.parquet(str(ledger)).where("doc_key = 'k7'").collect()}
+    for f in folders:
+        if f.name not in {f"bucket={b}" for b in own}:
+            f.rename(tmp_path / f.name)
+    roll.apply("two", batch(("k7", "t", "delete", "s", "en", 0, 0)))
+    for f in folders:
+        if not f.exists():
+            (tmp_path / f.name).rename(f)
+    want = [("s", "en", "t", 299, sum(range(300)) - 7, sum(range(300)) - 7)]
+    assert cells(roll.totals()) == cells(roll.recount()) == want
+    roll.compact()
+    roll.apply("three", batch(("k8", "t", "delete", "s", "en", 0, 0)))
+    (tmp_path / "rollup" / "batches" / "broken.1").mkdir()
+    roll.vacuum()
+    assert sorted(p.name.split(".")[0] for p in (tmp_path / "rollup" / "batches").iterdir()) == ["base-000000001", "three"]
+    assert cells(TokenRollup(spark, f"file://{tmp_path}/rollup").totals()) == cells(roll.recount()) == [("s", "en", "t", 298, want[0][4] - 8, want[0][5] - 8)]
+    assert not roll.apply("one", batch(("zz", "t", "insert", "s", "en", 1, 1)))
