@@ -54,5 +54,5 @@ def test_registered():
     import __spark_entry__ as entry
 
     names = entry.queries()
-    assert [n for n in names if n.startswith("op")] == sorted((n for n in names if n.startswith("op")), key=lambda n: int(n[2:].split("_")[0])) and len([n for n in names if n.startswith("op")]) == 10
+    assert [n for n in names if n.startswith("op")] == sorted((n for n in names if n.startswith("op")), key=lambda n: int(n[2:].split("_")[0])) and len([n for n in names if n.startswith("op")]) == 13
     assert "pipeline" in names and importlib.util.find_spec("corpus_pipeline")
