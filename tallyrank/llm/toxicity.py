@@ -19,7 +19,9 @@ from __future__ import annotations
 import pickle
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator, Sequence
+from concurrent.futures import ProcessPoolExecutor
 from dataclasses import dataclass
+from multiprocessing import get_context
 
 import numpy as np
 import pyarrow as pa
@@ -254,7 +256,8 @@ class _Adam:
 
 def train(texts: list[bytes | None], toxic: list[int], seed: int = 0, settings: Settings = DEFAULT) -> Network:
     """A network for labelled texts. Without both labels its scores are the share of toxic rows."""
-    rows = [(words_of(t), y) for t, y in zip(texts, toxic, strict=True)]
+    one: dict[bytes, bytes] = {}  # a word is held once, however often it stands
+    rows = [([one.setdefault(w, w) for w in words_of(t)], y) for t, y in zip(texts, toxic, strict=True)]
     rows = [(w, y) for w, y in rows if w]
     totals = [Counter(), Counter()]
     for w, y in rows:
@@ -362,7 +365,9 @@ def trained(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, seeds: S
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for n in batch.column("id").to_pylist():
-                net = train([t.encode() for t, _ in shipped.value], [y for _, y in shipped.value], seeds[n])
+                # In a process of its own: what training held goes back with it, where a worker would keep it for later stages.
+                with ProcessPoolExecutor(1, mp_context=get_context("fork")) as apart:
+                    net = apart.submit(train, [t.encode() for t, _ in shipped.value], [y for _, y in shipped.value], seeds[n]).result()
                 yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([pickle.dumps(net)], pa.binary())], ["id", "network"])
 
     found = spark.range(0, len(seeds), 1, len(seeds)).mapInArrow(run, "id long, network binary").collect()
