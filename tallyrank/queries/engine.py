@@ -569,10 +569,10 @@ _EV_CHOSEN = f"""(SELECT model, segment, k, nth, items FROM (SELECT model, segme
 _EV_COS = "(SELECT x.product_id AS i, y.product_id AS j, sum(x.value * y.value) AS cos FROM feat x JOIN feat y USING (feature) WHERE x.product_id IN (SELECT product_id FROM evrecs) AND y.product_id IN (SELECT product_id FROM evrecs) GROUP BY ALL)"
 
 
-@query(f"""SELECT model, segment, k, coverage, novelty, personalisation, diversity FROM
+@query(f"""SELECT model, segment, k, coverage, novelty, coalesce(personalisation, 0) AS personalisation, diversity FROM
   (SELECT model, segment, k, round(count(DISTINCT product_id) / (SELECT count(*) FROM prod), 5) AS coverage FROM {_EV} GROUP BY ALL)
   JOIN (SELECT model, segment, k, round(avg(n), 5) AS novelty FROM (SELECT model, segment, k, user_id, avg(-log2(greatest(coalesce(total / (SELECT sum(total) FROM tm_pop), 0), 1e-12))) AS n FROM {_EV} e LEFT JOIN tm_pop USING (product_id) GROUP BY ALL) GROUP BY ALL) USING (model, segment, k)
-  JOIN (SELECT model, segment, k, round(coalesce(1 - avg(len(list_intersect(x.items, y.items)) / len(list_distinct(list_concat(x.items, y.items)))), 0), 5) AS personalisation FROM {_EV_CHOSEN} x JOIN {_EV_CHOSEN} y USING (model, segment, k) WHERE x.nth < y.nth GROUP BY ALL) USING (model, segment, k)
+  LEFT JOIN (SELECT model, segment, k, round(coalesce(1 - avg(len(list_intersect(x.items, y.items)) / len(list_distinct(list_concat(x.items, y.items)))), 0), 5) AS personalisation FROM {_EV_CHOSEN} x JOIN {_EV_CHOSEN} y USING (model, segment, k) WHERE x.nth < y.nth GROUP BY ALL) USING (model, segment, k)
   JOIN (SELECT model, segment, k, round(avg(CASE WHEN n < 2 THEN 0 ELSE 1 - coalesce(total, 0) / (n * (n - 1)) END), 5) AS diversity FROM
     (SELECT model, segment, k, user_id, count(*) AS n FROM {_EV} GROUP BY ALL) LEFT JOIN
     (SELECT a.model, a.segment, a.k, a.user_id, sum(cos) AS total FROM {_EV} a JOIN {_EV} b ON a.model = b.model AND a.segment = b.segment AND a.k = b.k AND a.user_id = b.user_id AND a.rank <> b.rank JOIN {_EV_COS} c ON c.i = a.product_id AND c.j = b.product_id GROUP BY ALL)
