@@ -438,3 +438,19 @@ def test_scored_hybrid_equals_dense_blend(spark, world, monkeypatch):
     monkeypatch.setattr(hybrid, "SPARSE_NUMBERS", 10)
     with pytest.raises(ValueError):
         hybrid.recommend_scored(cells, p, near, factors, packs, 9)
+
+
+def _exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line.strip() for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+
+
+def test_terms_are_counted_where_their_texts_are(spark):
+    rows = [(f"P{i:05d}", "large ring", "d", "c", "s", "b", ["large"]) for i in range(3 * features.TERM_PRODUCTS)]
+    products = spark.createDataFrame(rows, "product_id string, title string, description string, category string, subcategory string, brand string, tags array<string>")
+    for made in (features.word_terms(products), features.char_terms(products)):
+        (moved,) = _exchanges(made)
+        assert "term" not in moved and "product_id" in moved
+        assert made.rdd.getNumPartitions() == 3
+    twice = features.word_terms(products.where("product_id = 'P00007'").unionByName(products.where("product_id = 'P00007'")))
+    assert [r.n for r in twice.where("term = 'ring'").collect()] == [2]  # ring stands apart once in a text, the title's seam hides the other
