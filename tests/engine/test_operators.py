@@ -454,3 +454,24 @@ def test_terms_are_counted_where_their_texts_are(spark):
         assert made.rdd.getNumPartitions() == 3
     twice = features.word_terms(products.where("product_id = 'P00007'").unionByName(products.where("product_id = 'P00007'")))
     assert [r.n for r in twice.where("term = 'ring'").collect()] == [2]  # ring stands apart once in a text, the title's seam hides the other
+
+
+def test_split_moves_events_once(spark):
+    rows = [(f"e{u}-{n}", f"u{u}", f"p{n % 7}", "purchase" if n % 3 else "view", n) for u in range(4) for n in range(30)]
+    rows += [("x1", None, "p1", "purchase", 1), ("x2", "u1", "p1", None, 99), ("x3", "u2", "p9", "purchase", 40), ("x4", "u9", "p1", "view", 3)]
+    events = spark.createDataFrame(rows, "event_id string, user_id string, product_id string, event_type string, timestamp long")
+    made = temporal_split(events, 5, 2)
+    assert not any(_exchanges(part) for part in (made.train, made.val, made.test))
+    got = {name: {r.event_id for r in getattr(made, name).collect()} for name in ("train", "val", "test")}
+    want = {"train": set(), "val": set(), "test": set()}
+    for u in {r[1] for r in rows if r[1]}:
+        own = sorted((r for r in rows if r[1] == u), key=lambda r: (r[4], r[0]))
+        held = [r for r in own if r[3] in ("purchase", "wishlist", "add_to_cart")][-5:]
+        train = [r for r in own if not held or r[4] < held[0][4]]
+        if len(train) >= 5:
+            want["train"] |= {r[0] for r in train}
+            for n, r in enumerate(held):
+                if r[2] not in {t[2] for t in train}:
+                    want["val" if n < 2 else "test"].add(r[0])
+    assert got == want and want["test"]
+    assert {r.user_id: r.n_train for r in made.train_counts.collect()} == {u: sum(r.startswith(f"e{u[1:]}-") for r in got["train"]) for u in ("u0", "u1", "u2", "u3")}
