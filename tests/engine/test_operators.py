@@ -475,3 +475,20 @@ def test_split_moves_events_once(spark):
                     want["val" if n < 2 else "test"].add(r[0])
     assert got == want and want["test"]
     assert {r.user_id: r.n_train for r in made.train_counts.collect()} == {u: sum(r.startswith(f"e{u[1:]}-") for r in got["train"]) for u in ("u0", "u1", "u2", "u3")}
+
+
+def test_collaborative_lists_beyond_the_block(spark, world, monkeypatch):
+    products, events, _ = world
+    cells = interactions.interaction_matrix(events, products.where("product_id < 'P020'"))
+    near, factors = knn.neighbours(knn.similarity(cells)), latent.item_factors(cells, products, 4)
+    n_own = cells.select("product_id").distinct().count()
+    rows = lambda k: sorted((r.user_id, r.rank, r.product_id, round(r.score, 9)) for r in hybrid.recommend_collaborative(cells, products, near, factors, k).collect())
+    everything = sorted(hybrid.collaborative_scores(cells, products, near, factors).collect(), key=lambda r: (r.user_id, -round(r.score, 9), r.product_id))
+    seen = {(r.user_id, r.product_id) for r in cells.collect()}
+    want = []
+    for u in {r.user_id for r in everything}:
+        own = [r for r in everything if r.user_id == u and (u, r.product_id) not in seen][:30]
+        want += [(u, n, r.product_id, round(r.score, 9)) for n, r in enumerate(own, 1)]
+    monkeypatch.setattr(latent, "MAX_BLOCK", (n_own + 30) * 4)
+    assert (n_own + 30) * 4 < products.count() * 4
+    assert rows(30) == sorted(want)
