@@ -1,3 +1,4 @@
+import re
 from datetime import UTC, datetime, timedelta
 
 import numpy as np
@@ -492,3 +493,17 @@ def test_collaborative_lists_beyond_the_block(spark, world, monkeypatch):
     monkeypatch.setattr(latent, "MAX_BLOCK", (n_own + 30) * 4)
     assert (n_own + 30) * 4 < products.count() * 4
     assert rows(30) == sorted(want)
+
+
+def test_vectors_meet_in_few_large_tiles(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    m = r.normal(size=(3000, 4)).astype(np.float32)
+    vectors = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(m)], "vec_id long, embedding array<float>")
+    monkeypatch.setattr(features, "TILE_COSINES", 100_000)
+    found = features.embedding_topk(vectors, 2)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert re.findall(r"Repartition\w+ \[q_block#\d+, v_block#\d+\], (\d+)", plan) == ["1"]
+    unit = m.astype(float) / np.linalg.norm(m.astype(float), axis=1, keepdims=True)
+    cosine = unit @ unit.T
+    np.fill_diagonal(cosine, -2)
+    assert {r.query_id: round(r.cosine, 9) for r in found.where("rank = 1").collect()} == {i: pytest.approx(round(c, 9), abs=2e-9) for i, c in enumerate(cosine.max(axis=1))}
