@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tallyrank.operators import content
 from tallyrank.session import broadcast_by_measure, stored
 
 
@@ -18,3 +19,17 @@ def test_small_file_of_many_rows_is_not_broadcast(spark):
     small = wide.join(stored(other.where("n < 5")), "p").select("n", "fs")
     assert len(small.collect()) == 5
     assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+
+def test_content_lists_leave_a_part_cut(spark, monkeypatch):
+    """Of a part, k rows a user leave, however many blocks of items have passed; ties go by id across blocks."""
+    cells = spark.createDataFrame([(f"u{u}", f"p{u:03d}", 1.0) for u in range(5)], "user_id string, product_id string, value double")
+    products = spark.range(60).select(F.format_string("p%03d", "id").alias("product_id"), F.lit(1.0).alias("price"), F.lit(4.0).alias("rating"), F.lit(9).alias("rating_count"))
+    packs = products.select("product_id", F.array(F.lit("word:a")).alias("fs"), F.array(F.lit(1.0)).alias("vs"))
+    monkeypatch.setattr(content.sparse, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(content, "LEAST_PARTS", 1, raising=False)
+    monkeypatch.setattr(content, "rank_topk", lambda rows, k: rows)
+    got = {}
+    for r in content.recommend(cells, products, packs, 3).collect():
+        got.setdefault(r.user_id, []).append(r.product_id)
+    assert {u: sorted(x) for u, x in got.items()} == {f"u{u}": [p for p in (f"p{n:03d}" for n in range(4)) if p != f"p{u:03d}"][:3] for u in range(5)}
