@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from tallyrank.operators import content
+from tallyrank.operators import content, hybrid, knn, popularity
+from tallyrank.operators.ranking import rank_topk
 from tallyrank.session import broadcast_by_measure, stored
 
 
@@ -33,3 +34,21 @@ def test_content_lists_leave_a_part_cut(spark, monkeypatch):
     for r in content.recommend(cells, products, packs, 3).collect():
         got.setdefault(r.user_id, []).append(r.product_id)
     assert {u: sorted(x) for u, x in got.items()} == {f"u{u}": [p for p in (f"p{n:03d}" for n in range(4)) if p != f"p{u:03d}"][:3] for u in range(5)}
+
+
+def test_blended_lists_equal_dense_scores(spark, monkeypatch):
+    products = spark.range(60).select(F.format_string("p%03d", "id").alias("product_id"), (F.col("id") % 7).alias("price"), (F.col("id") % 5).alias("rating"), (F.col("id") % 11).alias("rating_count"))
+    packs = products.where("product_id > 'p004'").select("product_id", F.array(F.lit("word:a"), F.concat(F.lit("word:"), F.col("price").cast("string"))).alias("fs"), F.array(F.lit(0.6), F.lit(0.8)).alias("vs"))
+    cells = spark.range(90).select(F.concat(F.lit("u"), (F.col("id") % 9).cast("string")).alias("user_id"), F.format_string("p%03d", F.col("id") * 7 % 60).alias("product_id"), (1 + F.col("id") % 4).cast("double").alias("value")).dropDuplicates(["user_id", "product_id"])
+    near = knn.scaled_scores(knn.scores(cells, knn.neighbours(knn.similarity(cells), 4)), spark.sql("select 60L as n"))
+    common = popularity.popularity_scores(cells, products)
+    people = cells.select("user_id").distinct()
+    dense = people.join(products.select("product_id")).join(near, ["user_id", "product_id"], "left").select("user_id", "product_id", F.coalesce("score", F.lit(0.0)).alias("score"))
+    members = [(0.4, content.scores(cells, products, packs)), (0.5, dense), (0.1, people.join(common))]
+    want = rank_topk(hybrid.blended_scores(members), 8, exclude=cells).collect()
+    for name, value in (("TILE_USERS", 4), ("GROUP_ITEMS", 20)):
+        monkeypatch.setattr(content, name, value)
+    monkeypatch.setattr(content.sparse, "BLOCK_ROWS", 7)
+    got = {(r.user_id, r["rank"]): r for r in content.blended(cells, products, packs, near, common, 8, (0.4, 0.5, 0.1)).collect()}
+    assert len(got) == len(want) == 72
+    assert all(got[r.user_id, r["rank"]].product_id == r.product_id and abs(got[r.user_id, r["rank"]].score - r.score) < 1e-9 for r in want)
