@@ -182,3 +182,18 @@ def test_ensemble_is_the_mean_of_its_networks(spark):
     want = np.mean([n.text_logits([t.encode() for t in texts])[0] for n in alone], axis=0)
     assert np.allclose(both.text_logits([t.encode() for t in texts]), want, atol=1e-4)
     assert both.scores([None, b""]).shape == (2,)
+
+
+def test_networks_are_trained_one_after_another(spark):
+    """Two trainings at once on one executor took it over its memory."""
+    rows = corpus(20)
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "doc_id long, toxic int")
+    spark.sparkContext.setJobGroup("training", "")
+    try:
+        assert len(tx.trained(docs, labels, seeds=(0, 1)).networks) == 2
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    status = spark.sparkContext.statusTracker()
+    last = status.getJobInfo(max(status.getJobIdsForGroup("training")))
+    assert [status.getStageInfo(s).numTasks for s in last.stageIds] == [1]
