@@ -50,7 +50,7 @@ class Fitted:
     def __init__(self, cells: DataFrame, products: DataFrame, item_features: DataFrame, settings: Settings, params: dict[str, float]):
         self.products, self.features, self.settings, self.params = products, item_features, settings, params
         self.cells = checkpointed(cells)
-        self.near = checkpointed(knn.neighbours(knn.similarity(self.cells, settings.knn_shrink), settings.knn_top_k))
+        self.near = knn.neighbour_table(self.cells, settings.knn_top_k, settings.knn_shrink)
         self.factors = checkpointed(latent.item_factors(self.cells, products, settings.svd_factors))
         self.packs = checkpointed(packed(item_features))
 
